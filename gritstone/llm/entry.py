@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gritstone.llm import secrets_dfa
+from gritstone.llm import secrets_dfa, substring_dedup
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return secrets_dfa.digest(secrets_dfa.scan_secrets(table(spark, sf, "documents")))
 
 
-QUERIES = {"op8_secrets": op8}
+QUERIES = {"op5_repeats": op5, "op8_secrets": op8}
 ORACLES: dict[str, str] = {}

@@ -42,6 +42,6 @@ def release(spark: SparkSession) -> None:
 def bucket_count(df: DataFrame, bytes_per_bucket: int = 16 << 20, per_partition: int = 4) -> int:
     """How many buckets a packed exchange of ``df`` needs: from the plan's size estimate, never from a count of rows."""
     spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
     return int(min(max(least, size // bytes_per_bucket), 1 << 20))
