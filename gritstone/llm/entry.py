@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gritstone.llm import secrets_dfa, substring_dedup
+from gritstone.llm import parity_join, secrets_dfa, substring_dedup
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -21,5 +21,9 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return secrets_dfa.digest(secrets_dfa.scan_secrets(table(spark, sf, "documents")))
 
 
-QUERIES = {"op5_repeats": op5, "op8_secrets": op8}
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return parity_join.link_documents(table(spark, sf, "documents"))
+
+
+QUERIES = {"op5_repeats": op5, "op8_secrets": op8, "op9_jaccard": op9}
 ORACLES: dict[str, str] = {}
