@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gritstone.llm import parity_join, secrets_dfa, substring_dedup
+from gritstone.llm import mixing, parity_join, secrets_dfa, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.digest(table(spark, sf, "documents"))
+
+
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.digest(table(spark, sf, "documents"))
+
+
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(table(spark, sf, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -25,5 +33,5 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return parity_join.link_documents(table(spark, sf, "documents"))
 
 
-QUERIES = {"op5_repeats": op5, "op8_secrets": op8, "op9_jaccard": op9}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_sharding": op1, "op2_mixing": op2, "op5_repeats": op5, "op8_secrets": op8, "op9_jaccard": op9}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE_SQL}
