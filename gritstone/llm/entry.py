@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from gritstone.llm import mixing, parity_join, secrets_dfa, sharding, substring_dedup
 
 
+#: Rows of an Arrow batch: texts are whole and some are long, so the default of 10,000 rows would hold too much at once.
+BATCH_ROWS = "1000"
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

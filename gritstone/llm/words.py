@@ -18,7 +18,7 @@ MASK = (1 << 64) - 1
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD1342543DE82EF95
 #: Bytes of text handled at once; a longer document makes a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _space = np.zeros(256, bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
@@ -45,11 +45,11 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length() if n > 1 else 1)
+        size = -(-n // (1 << 16)) << 16
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if size > 1 << 23:
+        if size > 1 << 20:  # kept only for common sizes
             return have[:n]
         _powers[base] = have
     return have[:n]
