@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gritstone.llm import mixing, parity_join, secrets_dfa, sharding, substring_dedup
+from gritstone.llm import html_extract, mixing, parity_join, secrets_dfa, sharding, substring_dedup
 
 
 #: Rows of an Arrow batch: texts are whole and some are long, so the default of 10,000 rows would hold too much at once.
@@ -25,6 +25,10 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.digest(table(spark, sf, "documents"))
 
 
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return html_extract.digest(table(spark, sf, "pages"))
+
+
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(table(spark, sf, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -38,5 +42,5 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return parity_join.link_documents(table(spark, sf, "documents"))
 
 
-QUERIES = {"op1_sharding": op1, "op2_mixing": op2, "op5_repeats": op5, "op8_secrets": op8, "op9_jaccard": op9}
+QUERIES = {"op1_sharding": op1, "op2_mixing": op2, "op4_html": op4, "op5_repeats": op5, "op8_secrets": op8, "op9_jaccard": op9}
 ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE_SQL}
