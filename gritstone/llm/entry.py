@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gritstone.llm import html_extract, mixing, parity_join, secrets_dfa, sharding, substring_dedup
+from gritstone.llm import graph_ann, html_extract, mixing, parity_join, quality_crf, secrets_dfa, sharding, substring_dedup
 
 
 #: Rows of an Arrow batch: texts are whole and some are long, so the default of 10,000 rows would hold too much at once.
@@ -34,6 +34,14 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_ann.nearest_neighbours(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_crf.digest(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return secrets_dfa.digest(secrets_dfa.scan_secrets(table(spark, sf, "documents")))
 
@@ -42,5 +50,5 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return parity_join.link_documents(table(spark, sf, "documents"))
 
 
-QUERIES = {"op1_sharding": op1, "op2_mixing": op2, "op4_html": op4, "op5_repeats": op5, "op8_secrets": op8, "op9_jaccard": op9}
+QUERIES = {"op1_sharding": op1, "op2_mixing": op2, "op4_html": op4, "op5_repeats": op5, "op6_ann": op6, "op7_quality": op7, "op8_secrets": op8, "op9_jaccard": op9}
 ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE_SQL}
