@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gritstone.llm.storage import ship
+
 DEGREE = 24
 BEAM = 56
 #: Edges a node may hold before it is pruned back to DEGREE.
@@ -210,6 +212,7 @@ def usable(vector: Column) -> Column:
 
 def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: tuple[int, int] = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``queries`` selects, its k nearest other rows."""
+    ship(vectors.sparkSession)
     spark = vectors.sparkSession
     chosen = vectors.filter(vectors[id_col].isNotNull() & usable(vectors[vector_col]))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gritstone.llm.storage import materialize
+from gritstone.llm.storage import materialize, ship
 
 GAMMA = 0.9
 LOW = 0.2
@@ -224,6 +224,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text): the main text of every page."""
+    ship(pages.sparkSession)
     source = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), host_of(pages[url_col]).alias("host"), pages[html_col].alias("html"))
     low = node_importance(source.select("host", "html")).filter((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LOW))
     low = materialize(low.groupBy("host").agg(F.collect_set("node").alias("low")), "low-nodes")

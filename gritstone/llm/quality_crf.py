@@ -25,7 +25,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from gritstone.llm.storage import ship
 from gritstone.llm.words import slices, words_of
 
 TRAIN_DOCS = 4000
@@ -283,6 +285,7 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS, most_
 
 def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, score) and the carried columns, for every row."""
+    ship(docs.sparkSession)
     source = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text"), *[docs[f"`{c}`"].alias(f"_c{i}") for i, c in enumerate(carry)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +294,7 @@ def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_
                 scores = pa.array(score_texts(field, batch.column("text")))
                 yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "score"])
 
-    schema = source.schema.add("score", "double")
+    schema = StructType([*source.schema.fields, StructField("score", DoubleType())])
     out = source.mapInArrow(run, schema)
     return out.select(F.col("_id").alias(id_col), "score", *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])
 

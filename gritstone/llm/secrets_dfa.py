@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gritstone.llm.storage import ship
 from gritstone.llm.words import slices
 
 
@@ -259,6 +260,7 @@ def exact_spans(rules: tuple[Rule, ...], compiled: list[re.Pattern], line: str,
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Findings of every text: (id, spans array<struct<kind, start, end>>), by start and then by the rules' order."""
+    ship(docs.sparkSession)
     dfa = compile_rules(rules)
     schema = docs.select(id_col).schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ", 1)
     struct = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_gritstone_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="gritstone-")), "gritstone.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for f in sorted(top.rglob("*.py")):
+            out.write(f, f.relative_to(top.parent))
+    context.addPyFile(target)
+    context._gritstone_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where a test session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.llm.packed import blocks, by_bucket, schema_of
-from gritstone.llm.storage import bucket_count
+from gritstone.llm.storage import bucket_count, ship
 from gritstone.llm.words import Words, gram_hash, mix, slices, words_of
 
 WINDOW = 20
@@ -238,6 +238,7 @@ def remove(window: int = WINDOW):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text): texts without the words of runs that start earlier elsewhere."""
+    ship(docs.sparkSession)
     n = bucket_count(docs, per_partition=8)
     homes = n | 1
     parts = max(n // 8, 1)
