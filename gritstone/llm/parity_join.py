@@ -12,9 +12,10 @@ sizes a <= b link when 100 * intersection >= 80 * union, so that they differ in
 3. Candidates share a part. Groups of at most ``SMALL`` classes give all their pairs; larger ones a star around the
    least, and their members are kept aside.
 4. Verification compares whole sets: members travel to their star's centre, at most ``FAN`` of them to one task.
-5. Components by large and small stars. Large groups that still hold several components have their members compared
-   by bit sketches across components, in blocks; only pairs that the Hamming bound lets through are verified, and the
-   components are found again. So no link is lost, and no group of copies emits its pairs.
+5. Components by large and small stars. In large groups that still hold several components, each member outside the
+   largest one asks its nearest members of other components, by bit sketches, compared in blocks; pairs that the Hamming
+   bound lets through are verified, and the components are found again. The number asked grows fourfold a round until
+   all that the bound allows have been asked. So no link is lost, and no group of copies emits its pairs.
 
 Sets are told apart by 64-bit hashes of their shingles. Defined results: null and wordless texts have no shingles and
 link with nothing; texts of one to four words are one shingle, the whole sequence; a null ``doc_id`` counts as the
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from gritstone.llm.components import components
 from gritstone.llm.packed import blocks, by_bucket, schema_of
-from gritstone.llm.storage import bucket_count, materialize, release
+from gritstone.llm.storage import bucket_count, materialize, release, ship
 from gritstone.llm.substring_dedup import NO_ID, ids_of
 from gritstone.llm.words import WORD_BASE, Words, gram_hash, mix, run_hash, slices, words_of
 
@@ -214,29 +215,44 @@ def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], ["a", "b"])
 
 
-def across(block: int = 512):
-    """Pairs of different components within one large group whose sketches leave a link possible."""
+ACROSS = "a bigint, b bigint, more boolean"
+
+
+def across(width: int, block: int = 512):
+    """For each large group and each member outside the group's largest component: up to ``width`` members of other
+    components, nearest by sketch, whose sketches leave a link possible. ``more`` tells that there were others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compared(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compared(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, bool]:
             t = pa.Table.from_batches(rows).combine_chunks()
             rep, part, n = (np.asarray(t.column(c)).astype(np.int64) for c in ("rep", "component", "n"))
             bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(rep), -1)
             order = np.argsort(n, kind="stable")
             rep, part, n, bits = rep[order], part[order], n[order], bits[order]
-            for i in range(0, len(rep), block):
-                for j in range(i, len(rep), block):
-                    if n[j] * 4 > n[min(i + block, len(rep)) - 1] * 5:
-                        break
-                    p, q = slice(i, i + block), slice(j, j + block)
-                    ok = (part[p, None] != part[None, q]) & _close(bits[p, None, :], bits[None, q, :], n[p, None], n[None, q])
-                    x, y = np.nonzero(ok)
-                    if len(x):
-                        a, b = rep[p][x], rep[q][y]
-                        both = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-                        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-        now, held = None, []
+            names, sizes = np.unique(part, return_counts=True)
+            asking = np.flatnonzero(part != names[sizes.argmax()])
+            out, more = [np.zeros((0, 2), np.int64)], False
+            for at in range(0, len(asking), block):
+                p = asking[at : at + block]
+                low, high = np.searchsorted(n, n[p[0]] * 4 // 5), np.searchsorted(n, n[p[-1]] * 5 // 4, side="right")
+                best_far, best = np.full((len(p), 0), 0), np.full((len(p), 0), 0)
+                for j in range(low, high, block):
+                    q = np.arange(j, min(j + block, high))
+                    far = np.bitwise_count(bits[p][:, None, :] ^ bits[q][None, :, :]).sum(axis=-1).astype(np.int64)
+                    small, large = np.minimum(n[p][:, None], n[q][None, :]), np.maximum(n[p][:, None], n[q][None, :])
+                    ok = (part[p][:, None] != part[q][None, :]) & (small * 5 >= large * 4) & (far <= most_apart(small, large))
+                    far = np.concatenate([best_far, np.where(ok, far, 1 << 40)], axis=1)
+                    ids = np.concatenate([best, np.broadcast_to(rep[q], ok.shape)], axis=1)
+                    near = np.argsort(far, axis=1, kind="stable")[:, : width + 1]
+                    best_far, best = np.take_along_axis(far, near, axis=1), np.take_along_axis(ids, near, axis=1)
+                found = best_far < 1 << 40
+                more = more or bool(found[:, width:].any())
+                x, y = np.nonzero(found[:, :width])
+                both = np.column_stack([rep[p][x], best[x, y]])
+                out.append(np.column_stack([both.min(axis=1), both.max(axis=1)]))
+            return np.unique(np.concatenate(out), axis=0), more
+
+        now, held, told, more = None, [], [np.zeros((0, 2), np.int64)], False
         for batch in batches:
             sig = np.asarray(batch.column("sig"))
             cuts = [0, *(np.flatnonzero(np.diff(sig)) + 1).tolist(), batch.num_rows]
@@ -245,11 +261,15 @@ def across(block: int = 512):
                     continue
                 if sig[a] != now:
                     if held:
-                        yield from compared(held)
+                        both, left = compared(held)
+                        told, more = [np.unique(np.concatenate([*told, both]), axis=0)], more or left
                     now, held = sig[a], []
                 held.append(batch.slice(a, z - a))
         if held:
-            yield from compared(held)
+            both, left = compared(held)
+            told, more = [np.unique(np.concatenate([*told, both]), axis=0)], more or left
+        both = told[0]
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.full(len(both), more))], ["a", "b", "more"])
 
     return run
 
@@ -296,6 +316,7 @@ def verify(source: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per document, with the smallest id it reaches by links."""
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     n = bucket_count(docs, per_partition=8)
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
@@ -311,13 +332,22 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = materialize(verify(source, pairs, classes), "links")
     release(spark)
     joined = components(links)
-    large = found.filter("kind = 2").select(F.col("x").alias("sig"), F.col("y").alias("key")).join(classes, "key").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    large = large.select("sig", "rep", "n", "sketch", F.coalesce("component", "rep").alias("component"))
-    mixed = large.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig")
-    rest = large.join(mixed, "sig").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sig").sortWithinPartitions("sig")
-    late = materialize(rest.mapInArrow(across(), "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti"), "late")
-    if not late.isEmpty():
-        joined = components(links.unionAll(verify(source, late, classes)))
+    apart = found.filter("kind = 2").select(F.col("x").alias("sig"), F.col("y").alias("key")).join(classes, "key")
+    tested, width = pairs, 1
+    while True:
+        large = apart.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "n", "sketch", F.coalesce("component", "rep").alias("component"))
+        mixed = large.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig")
+        rest = large.join(mixed, "sig").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sig").sortWithinPartitions("sig")
+        asked = materialize(rest.mapInArrow(across(width), ACROSS), "asked")
+        late = materialize(asked.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "late")
+        more = not asked.filter("more").isEmpty()
+        if not late.isEmpty():
+            links = links.unionAll(materialize(verify(source, late, classes), "links"))
+            joined = components(links)
+            tested = tested.unionAll(late)
+        if not more:
+            break
+        width *= 4
     joined = joined.withColumnRenamed("node", "rep")
     of = members.select("id", "key", "n").join(classes.select("key", "rep"), "key").join(joined, "rep", "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     without = source.filter(F.coalesce(F.regexp_replace(F.col("text"), r"[\x20\x09-\x0D]+", ""), F.lit("")) == "").select(F.coalesce("id", F.lit(int(NO_ID))).alias("id"), F.lit(0).cast("long").alias("n_shingles"), F.coalesce("id", F.lit(int(NO_ID))).alias("component_id"))
