@@ -33,6 +33,8 @@ TARGET_BYTES = 64 << 20
 ARRIVAL_ROWS = 2000
 LEAST_BYTES = 1 << 20
 FANOUT = 4
+#: The tier of shards that are not merged again.
+SETTLED = 99
 
 
 @contextmanager
@@ -87,7 +89,7 @@ class ShardTable:
 
     def _tier(self) -> F.Column:
         steps = F.floor(F.log(F.greatest(F.col("bytes") / F.lit(float(self.least_bytes)), F.lit(1.0))) / F.log(F.lit(float(self.fanout))))
-        return F.when(F.col("bytes") * 2 > self.target_bytes, F.lit(99)).otherwise(steps).cast("int")
+        return F.when(F.col("bytes") * 2 > self.target_bytes, F.lit(SETTLED)).otherwise(steps).cast("int")
 
     def _written(self, folder: str) -> DataFrame:
         """What a write left in ``folder``, as manifest rows."""
@@ -106,7 +108,7 @@ class ShardTable:
         """Merge due tiers until none is due; each round is one commit. The newest version."""
         for _ in range(most_rounds):
             have = self.versions()
-            tiers = self.manifest().filter(F.col("tier") < 99).groupBy("tier").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= self.fanout)
+            tiers = self.manifest().filter(F.col("tier") < SETTLED).groupBy("tier").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= self.fanout)
             due = sorted(r["tier"] for r in tiers.collect())
             if not due:
                 break
@@ -118,8 +120,9 @@ class ShardTable:
                 with _settings(self.spark, maxPartitionBytes=str(self.target_bytes), openCostInBytes="0", minPartitionNum="1"):
                     self.spark.read.schema(self.schema).parquet(*paths).write.parquet(f"{self.root}/{folder}")
                 merged = self._written(folder)
-                # a merged shard never falls back into the tier it came from, so merging ends
-                kept = kept.unionByName(merged.withColumn("tier", F.greatest("tier", F.lit(tier + 1))))
+                # merged shards go up a tier at least; where the reader cannot pack files tighter, the tier is settled
+                least = SETTLED if 4 * merged.count() > 3 * len(paths) else tier + 1
+                kept = kept.unionByName(merged.withColumn("tier", F.greatest("tier", F.lit(least))))
             self.commit(kept, have[-1])
         return self.versions()[-1]
 
