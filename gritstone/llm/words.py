@@ -24,6 +24,8 @@ _space = np.zeros(256, bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
+_plain = _lower.copy()
+_plain[[i for i in range(33, 127) if not chr(i).isalnum()]] = 32
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -78,17 +80,22 @@ class Words:
         return np.diff(self.first)
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """Words and word hashes of a string array; null is an empty text."""
+def words_of(texts: pa.Array, lower: bool = False, plain: bool = False) -> Words:
+    """Words and word hashes of a string array; null is an empty text.
+
+    ``lower`` lower-cases A-Z; ``plain`` lower-cases all letters and takes ASCII punctuation for white space.
+    """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.fill_null("").cast(pa.large_string())
+    if plain:
+        texts = pc.utf8_lower(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
-    if lower:
-        data = _lower[data]
+    if lower or plain:
+        data = (_plain if plain else _lower)[data]
     n = len(data)
     solid = ~_space[data]
     edge = np.zeros(n + 1, bool)  # a document begins here, so no word goes across
