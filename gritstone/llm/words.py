@@ -68,13 +68,14 @@ def run_hash(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray
 
 @dataclass
 class Words:
-    """The words of some documents: word i of document d is at first[d] + i."""
+    """The words of some documents: word i of document d is at first[d] + i; its bytes are data[starts:ends] there."""
 
     data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
     hashes: np.ndarray
+    raw: np.ndarray  # the bytes before punctuation and case were changed, at the same places
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -94,6 +95,7 @@ def words_of(texts: pa.Array, lower: bool = False, plain: bool = False) -> Words
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
+    given = data
     if lower or plain:
         data = (_plain if plain else _lower)[data]
     n = len(data)
@@ -105,7 +107,7 @@ def words_of(texts: pa.Array, lower: bool = False, plain: bool = False) -> Words
     finishes = solid.copy()
     finishes[:-1] &= ~solid[1:] | edge[1:n]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
-    return Words(data, starts, ends, np.searchsorted(starts, offsets), run_hash(_byte_value[data], BYTE_BASE, starts, ends))
+    return Words(data, starts, ends, np.searchsorted(starts, offsets), run_hash(_byte_value[data], BYTE_BASE, starts, ends), given)
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
