@@ -1 +1,62 @@
-"""Stages of the corpus pipeline."""
+"""From raw documents to training shards: five stages, each one of the corpus operators.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's ``docs``. All but the last return the columns of documents.
+
+1. ``quality``: documents that the line field rejects go. It is trained on the labelled documents among its input that
+   are not held out.
+2. ``near_duplicates``: of each group of linked documents the one with the smallest id stays. Texts without words link
+   with nothing and stay; of rows that repeat an id and a text, one stays.
+3. ``decontaminate``: documents that hold a benchmark item go.
+4. ``mix``: sources are mixed to their target weights; a document comes as often as the mix takes it, in training order.
+5. ``shard``: the mixture is appended to a new shard table and compacted; the result is read back through the committed
+   manifest, each row with its shard.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gritstone.llm import decontaminate, mixing, parity_join, quality_crf, sharding
+from gritstone.llm.storage import materialize, release
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    field = quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_crf.keep_good(docs, field)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    linked = parity_join.link_documents(docs)
+    gone = materialize(linked.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
+    release(spark)
+    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    again = Window.partitionBy("doc_id", "_text").orderBy("_text")
+    marked = kept.withColumn("_text", F.xxhash64("text")).withColumn("_copy", F.row_number().over(again))
+    return marked.filter("_copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_documents(docs).rows_by_shard()
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"_shard.{c}").alias(c if c not in docs.columns else f"_{c}") for c in ("shard", "shard_rows", "shard_bytes", "tier")])
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminated), ("mix", mix), ("shard", shard)]
+#: SQL cannot express the trained field, the latent search and the shards' files.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -177,8 +177,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _search(weights: np.ndarray, ids: list, items: list[np.ndarray]):
-    """Third pass: documents' leaks of some items."""
+def _search(weights: np.ndarray, ids: list, items: list[np.ndarray], clean: bool = False):
+    """Third pass: documents' leaks of some items, or with ``clean`` the rows of documents without any."""
     lists = [i.tolist() for i in items]
     known = np.unique(np.concatenate(items))
     has = np.zeros((len(items), len(known) + 1), bool)
@@ -194,6 +194,8 @@ def _search(weights: np.ndarray, ids: list, items: list[np.ndarray]):
                 b = Blocks(_plain_words(batch))
                 n = len(b.terms)
                 if not n:
+                    if clean:
+                        yield batch.drop_columns("text")
                     continue
                 single = b.fold(weights)
                 pair = single.copy()
@@ -223,7 +225,11 @@ def _search(weights: np.ndarray, ids: list, items: list[np.ndarray]):
                     common = holds(lists[k], b.words.hashes[low:high].tolist())
                     if common:
                         best[d, k] = max(old, (common, float(near[x, k])))
-                if best:
+                if clean:
+                    stay = np.ones(batch.num_rows, bool)
+                    stay[[d for d, _ in best]] = False
+                    yield batch.filter(pa.array(stay)).drop_columns("text")
+                elif best:
                     keys = sorted(best)
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -242,22 +248,41 @@ def _search(weights: np.ndarray, ids: list, items: list[np.ndarray]):
 FOUND = "doc_id bigint, item_id bigint, item_words bigint, common_words bigint, cosine double"
 
 
+def _item_blocks(benchmark: DataFrame) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(ids, words) of the items, ``ITEMS`` or so at a time."""
+    asked = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].alias("text")).filter("text IS NOT NULL")
+    blocks = -(-asked.count() // ITEMS)
+    for part in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == part).collect()
+        words = words_of(pa.array([r["text"] for r in rows], pa.string()), plain=True)
+        items = [(r["item_id"], words.hashes[a:z]) for r, a, z in zip(rows, words.first, words.first[1:]) if z - a >= LEAST_WORDS]
+        if items:
+            yield [k for k, _ in items], [i for _, i in items]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, item_words, common_words, cosine): one row for each item that a document holds."""
     spark = docs.sparkSession
     ship(spark)
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    out = spark.createDataFrame([], FOUND)
-    asked = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].alias("text")).filter("text IS NOT NULL")
-    n = asked.count()
-    weights = latent_space(source) if n else None
-    if weights is None:
-        return out
-    for part in range(-(-n // ITEMS)):  # items in blocks of bounded size
-        rows = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(-(-n // ITEMS))) == part).collect()
-        words = words_of(pa.array([r["text"] for r in rows], pa.string()), plain=True)
-        items = [words.hashes[a:z] for a, z in zip(words.first, words.first[1:])]
-        chosen = [k for k, i in enumerate(items) if len(i) >= LEAST_WORDS]
-        if chosen:
-            out = out.unionAll(source.mapInArrow(_search(weights, [rows[k]["item_id"] for k in chosen], [items[k] for k in chosen]), FOUND))
+    out, weights = spark.createDataFrame([], FOUND), None
+    for ids, items in _item_blocks(benchmark):
+        weights = latent_space(source) if weights is None else weights
+        if weights is None:
+            break
+        out = out.unionAll(source.mapInArrow(_search(weights, ids, items), FOUND))
     return out
+
+
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text holds no item, all columns as they are."""
+    ship(docs.sparkSession)
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    out, weights = docs.toDF(*names), None
+    text = names[docs.columns.index(text_col)]
+    for ids, items in _item_blocks(benchmark):
+        weights = latent_space(docs.select(docs[text_col].alias("text"))) if weights is None else weights
+        if weights is None:
+            break
+        out = out.withColumn("text", F.col(text)).mapInArrow(_search(weights, ids, items, clean=True), out.schema)
+    return out.toDF(*docs.columns)

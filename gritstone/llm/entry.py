@@ -5,15 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gritstone.llm import decontaminate, graph_ann, html_extract, license_scan, mixing, parity_join, quality_crf, secrets_dfa, sharding, substring_dedup
 
 
-#: Rows of an Arrow batch: texts are whole and some are long, so the default of 10,000 rows would hold too much at once.
-BATCH_ROWS = "1000"
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -58,5 +54,7 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
-QUERIES = {"op1_sharding": op1, "op2_mixing": op2, "op3_licenses": op3, "op4_html": op4, "op5_repeats": op5, "op6_ann": op6, "op7_quality": op7, "op8_secrets": op8, "op9_jaccard": op9, "op10_decontamination": op10}
+QUERIES = {"op1_sharding": op1, "op2_mixing": op2, "op3_licenses": op3, "op4_html": op4, "op5_repeats": op5, "op6_ann": op6, "op7_quality": op7, "op8_secrets": op8, "op9_jaccard": op9, "op10_decontamination": op10, "pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

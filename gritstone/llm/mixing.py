@@ -84,8 +84,8 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     fours = fours.withColumn("_inner", F.sum("_size").over(inner) - F.col("_size"))
     twos = fours.groupBy("_key", "_two").agg(F.sum("_size").alias("_size"))
     outer = Window.partitionBy("_key").orderBy("_two")
+    targets = source_targets(twos.groupBy("_key").agg(F.sum("_size").alias("_size")), weights, most_epochs)
     twos = twos.withColumn("_outer", F.sum("_size").over(outer) - F.col("_size")).drop("_size")
-    targets = source_targets(slim.groupBy("_key").agg(F.sum("_size").alias("_size")), weights, most_epochs)
     groups = fours.join(twos.join(targets, "_key"), ["_key", "_two"]).select("_key", "_four", (F.col("_inner") + F.col("_outer")).alias("_before"), "_kind", "_source_size", "_target")
     within = Window.partitionBy("_key", "_four").orderBy("_hash", "_id", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sized.withColumn("_up_to", F.sum("_size").over(within)).join(groups, ["_key", "_four"])

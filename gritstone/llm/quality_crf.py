@@ -299,6 +299,21 @@ def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_
     return out.select(F.col("_id").alias(id_col), "score", *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])
 
 
+def keep_good(docs: DataFrame, field: Field, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``least``, all columns as they are."""
+    ship(docs.sparkSession)
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index(text_col)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text, SLICE):
+                yield batch.filter(pa.array(score_texts(field, batch.column(text)) >= least))
+
+    plain = docs.toDF(*names)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score_documents(docs, train(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

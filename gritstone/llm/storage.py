@@ -11,8 +11,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch: texts are whole and some are long, so the default of 10,000 rows would hold too much at once.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per context, so that their Python workers can import it."""
+    """Get a session ready for Python operators: bounded Arrow batches, and this package on the executors, sent once."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, "_gritstone_shipped", False):
         return
