@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-D = "decimal(15,2)"
+from gritstone.plans import dialect
+from gritstone.sources.catalog import Catalog, with_views
+from gritstone.sources.templates import ALL, PREVIOUS_ORDER, PREVIOUS_ORDER_ORACLE, Template
+
+
+def run_template(template: Template) -> Callable[[SparkSession, str], DataFrame]:
+    """The template over a folder's tables, bound with typed arguments."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        Catalog(spark, sf).register()
+        used = dialect.positions(template.sql)
+        types, values = dict(enumerate(template.types, 1)), dict(enumerate(template.values, 1))
+        return spark.sql(dialect.to_spark(template.sql), args=dialect.bind(types, values, used))
+
+    return run
 
 
-def q01(spark: SparkSession, sf: str) -> DataFrame:
-    """Pricing summary."""
-    line = spark.read.parquet(f"{sf}/lineitem.parquet").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("date"))
-    price, off, tax, qty = (F.col(c).cast(D) for c in ("l_extendedprice", "l_discount", "l_tax", "l_quantity"))
-    return line.groupBy("l_returnflag", "l_linestatus").agg(
-        F.sum(qty).cast("double").alias("sum_qty"),
-        F.sum(price).cast("double").alias("sum_base_price"),
-        F.round(F.sum(price * (1 - off)).cast("double"), 2).alias("sum_disc_price"),
-        F.round(F.sum(price * (1 - off) * (1 + tax)).cast("double"), 2).alias("sum_charge"),
-        F.count(F.lit(1)).alias("count_order"),
-    )
+def previous_order(spark: SparkSession, sf: str) -> DataFrame:
+    Catalog(spark, sf).register(["orders"])
+    return spark.sql(PREVIOUS_ORDER)
 
 
-QUERIES = {"tpch_q01": q01}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: run_template(t) for name, t in ALL.items()} | {"rw_09": previous_order}
+ORACLES: dict[str, str] = {name: with_views(dialect.inline(t.sql, t.types, t.values)) for name, t in ALL.items()} | {"rw_09": with_views(PREVIOUS_ORDER_ORACLE, ["orders"])}
