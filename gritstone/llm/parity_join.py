@@ -14,7 +14,7 @@ sizes a <= b link when 100 * intersection >= 80 * union, so that they differ in
 4. Verification compares whole sets: members travel to their star's centre, at most ``FAN`` of them to one task.
 5. Components by large and small stars. In large groups that still hold several components, each member outside the
    largest one asks its nearest members of other components, by bit sketches, compared in blocks; pairs that the Hamming
-   bound lets through are verified, and the components are found again. The number asked grows fourfold a round until
+   bound lets through are verified, and the components are found again. The number asked grows eightfold a round until
    all that the bound allows have been asked. So no link is lost, and no group of copies emits its pairs.
 
 Sets are told apart by 64-bit hashes of their shingles. Defined results: null and wordless texts have no shingles and
@@ -41,6 +41,8 @@ from gritstone.llm.words import WORD_BASE, Words, gram_hash, mix, run_hash, slic
 SHINGLE = 5
 SMALL = 8
 FAN = 256
+#: Ids of 8 bytes that may be broadcast.
+MOST_BROADCAST = 1 << 20
 SKETCH_WORDS = 16  # of 64 bits
 ENTRIES = {"sig": np.dtype("i8"), "key": np.dtype("i8")}
 MEMBERS = {"doc": np.dtype("i8"), "doc_key": np.dtype("i8"), "doc_n": np.dtype("i4"), "sketch": np.dtype("u1")}
@@ -308,7 +310,12 @@ def verify(source: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame
     degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
     fans = pairs.join(degree, "a").select(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.ceil(F.col("deg") / FAN)).cast("int").alias("fan"), F.col("b").alias("rep"))
     needs = fans.unionAll(fans.select("centre", "fan", F.col("centre").alias("rep")).distinct()).join(classes.select("rep", "key"), "rep")
-    texts = source.select(F.coalesce("id", F.lit(int(NO_ID))).alias("rep"), "text").join(needs, "rep")
+    needs = materialize(needs, "needs")
+    texts = source.select(F.coalesce("id", F.lit(int(NO_ID))).alias("rep"), "text")
+    named = needs.select("rep").distinct()
+    if needs.count() <= MOST_BROADCAST:  # only these texts need move; ids beyond the bound take a shuffle instead
+        texts = texts.join(F.broadcast(named), "rep", "left_semi")
+    texts = texts.join(needs, "rep")
     parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.select("centre", "fan", "rep", "key", "text").repartition(parts, "centre", "fan")
     return dealt.sortWithinPartitions("centre", "fan", (F.col("rep") != F.col("centre"))).mapInArrow(compare, "u bigint, v bigint")
@@ -333,7 +340,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release(spark)
     joined = components(links)
     apart = found.filter("kind = 2").select(F.col("x").alias("sig"), F.col("y").alias("key")).join(classes, "key")
-    tested, width = pairs, 1
+    tested, width = pairs, 4
     while True:
         large = apart.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "n", "sketch", F.coalesce("component", "rep").alias("component"))
         mixed = large.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig")
@@ -347,7 +354,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             tested = tested.unionAll(late)
         if not more:
             break
-        width *= 4
+        width *= 8
     joined = joined.withColumnRenamed("node", "rep")
     of = members.select("id", "key", "n").join(classes.select("key", "rep"), "key").join(joined, "rep", "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     without = source.filter(F.coalesce(F.regexp_replace(F.col("text"), r"[\x20\x09-\x0D]+", ""), F.lit("")) == "").select(F.coalesce("id", F.lit(int(NO_ID))).alias("id"), F.lit(0).cast("long").alias("n_shingles"), F.coalesce("id", F.lit(int(NO_ID))).alias("component_id"))
