@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gritstone.session import ship_package
+
 
 #: Rows of an Arrow batch: texts are whole and some are long, so the default of 10,000 rows would hold too much at once.
 BATCH_ROWS = 1000
@@ -19,16 +18,7 @@ def ship(spark: SparkSession) -> None:
     """Get a session ready for Python operators: bounded Arrow batches, and this package on the executors, sent once."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    context = spark.sparkContext
-    if getattr(context, "_gritstone_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="gritstone-")), "gritstone.zip")
-    with zipfile.ZipFile(target, "w") as out:
-        for f in sorted(top.rglob("*.py")):
-            out.write(f, f.relative_to(top.parent))
-    context.addPyFile(target)
-    context._gritstone_shipped = True
+    ship_package(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
