@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +25,17 @@ def session(app: str = "gritstone", master: str | None = None, **conf: str) -> S
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_gritstone_shipped", False):
+        return
+    top = Path(__file__).resolve().parent
+    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="gritstone-")), "gritstone.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for f in sorted(top.rglob("*.py")):
+            out.write(f, f.relative_to(top.parent))
+    context.addPyFile(target)
+    context._gritstone_shipped = True
