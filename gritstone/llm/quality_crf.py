@@ -30,8 +30,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from gritstone.llm.storage import ship
 from gritstone.llm.words import slices, words_of
 
-TRAIN_DOCS = 4000
-TRAIN_LINES = 150_000
+TRAIN_DOCS = 2500
+TRAIN_LINES = 60_000
 BINS = 8
 SLICE = 1 << 21
 FEATURES = ("log_length", "letters", "capitals", "digits", "symbols", "bars", "stops", "spaces", "word_length", "distinct", "repeats", "ends", "twin_before", "twin_after", "edge_marks")
@@ -222,7 +222,7 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 120, rate: flo
         if len(np.unique(cuts[i])) < BINS // 2 and len(rest):
             cuts[i] = np.sort(np.concatenate([[np.median(v) - 1e-12, np.median(v) + 1e-12], np.quantile(rest, np.linspace(0, 1, BINS - 1)[1:-1])]))[: BINS - 1]
     places = _places(binned(values, cuts), first)
-    at = places + (np.arange(3)[:, None] * width + np.arange(width)) * (BINS + 1)
+    at = places.astype(np.int32) + (np.arange(3, dtype=np.int32)[:, None] * width + np.arange(width, dtype=np.int32)) * np.int32(BINS + 1)
     size = 3 * width * (BINS + 1)
     wanted = np.bincount(at[line_y == 1].ravel(), minlength=size).astype(float)
     inner = np.ones(len(line_y), bool)
