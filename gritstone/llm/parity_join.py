@@ -203,16 +203,13 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _found(2, sig[large], key[large])
 
 
-def _close(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sizes and Hamming distance leave a link possible; broadcasts over rows of 64-bit words."""
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    return (low * 5 >= high * 4) & (np.bitwise_count(x ^ y).sum(axis=-1) <= most_apart(a, b))
-
-
 def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs whose sizes and Hamming distance leave a link possible."""
     for batch in batches:
         words = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sa", "sb")]
-        keep = _close(*words, *[np.asarray(batch.column(c)).astype(np.int64) for c in ("na", "nb")])
+        a, b = (np.asarray(batch.column(c)).astype(np.int64) for c in ("na", "nb"))
+        apart = np.bitwise_count(words[0] ^ words[1]).sum(axis=1)
+        keep = (np.minimum(a, b) * 5 >= np.maximum(a, b) * 4) & (apart <= most_apart(a, b))
         out = batch.filter(pa.array(keep))
         yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], ["a", "b"])
 
@@ -220,41 +217,52 @@ def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 ACROSS = "a bigint, b bigint, more boolean"
 
 
+def _likely(bits: np.ndarray, n: np.ndarray, part: np.ndarray, p: np.ndarray, q: np.ndarray, first: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, Hamming distance) of the pairs p[i], q[j] of different components that sizes and sketches let through.
+
+    A part of a sketch bounds the distance like the whole, so most pairs go after ``first`` of its words.
+    """
+    small, large = np.minimum(n[p][:, None], n[q][None, :]), np.maximum(n[p][:, None], n[q][None, :])
+    bound = most_apart(small, large)
+    ok = (part[p][:, None] != part[q][None, :]) & (small * 5 >= large * 4)
+    near = np.zeros(ok.shape, np.uint16)
+    for w in range(first):
+        near += np.bitwise_count(bits[p, w][:, None] ^ bits[q, w][None, :])
+    i, j = np.nonzero(ok & (near <= bound))
+    far = near[i, j].astype(np.int64) + np.bitwise_count(bits[p[i], first:] ^ bits[q[j], first:]).sum(axis=1)
+    keep = far <= bound[i, j]
+    return i[keep], j[keep], far[keep]
+
+
 def across(width: int, block: int = 512):
-    """For each large group and each member outside the group's largest component: up to ``width`` members of other
-    components, nearest by sketch, whose sketches leave a link possible. ``more`` tells that there were others."""
+    """For each large group and each asking member outside the group's largest component: up to ``width`` members of
+    other components, nearest by sketch, whose sketches leave a link possible. A row (a, a, true) says that a has more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compared(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, bool]:
+        def compared(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
             t = pa.Table.from_batches(rows).combine_chunks()
             rep, part, n = (np.asarray(t.column(c)).astype(np.int64) for c in ("rep", "component", "n"))
+            asks = np.asarray(t.column("asks"))
             bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(rep), -1)
             order = np.argsort(n, kind="stable")
-            rep, part, n, bits = rep[order], part[order], n[order], bits[order]
+            rep, part, n, bits, asks = rep[order], part[order], n[order], bits[order], asks[order]
             names, sizes = np.unique(part, return_counts=True)
-            asking = np.flatnonzero(part != names[sizes.argmax()])
-            out, more = [np.zeros((0, 2), np.int64)], False
+            asking = np.flatnonzero(asks & (part != names[sizes.argmax()]))
+            out, more = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
             for at in range(0, len(asking), block):
                 p = asking[at : at + block]
                 low, high = np.searchsorted(n, n[p[0]] * 4 // 5), np.searchsorted(n, n[p[-1]] * 5 // 4, side="right")
-                best_far, best = np.full((len(p), 0), 0), np.full((len(p), 0), 0)
-                for j in range(low, high, block):
-                    q = np.arange(j, min(j + block, high))
-                    far = np.bitwise_count(bits[p][:, None, :] ^ bits[q][None, :, :]).sum(axis=-1).astype(np.int64)
-                    small, large = np.minimum(n[p][:, None], n[q][None, :]), np.maximum(n[p][:, None], n[q][None, :])
-                    ok = (part[p][:, None] != part[q][None, :]) & (small * 5 >= large * 4) & (far <= most_apart(small, large))
-                    far = np.concatenate([best_far, np.where(ok, far, 1 << 40)], axis=1)
-                    ids = np.concatenate([best, np.broadcast_to(rep[q], ok.shape)], axis=1)
-                    near = np.argsort(far, axis=1, kind="stable")[:, : width + 1]
-                    best_far, best = np.take_along_axis(far, near, axis=1), np.take_along_axis(ids, near, axis=1)
-                found = best_far < 1 << 40
-                more = more or bool(found[:, width:].any())
-                x, y = np.nonzero(found[:, :width])
-                both = np.column_stack([rep[p][x], best[x, y]])
-                out.append(np.column_stack([both.min(axis=1), both.max(axis=1)]))
-            return np.unique(np.concatenate(out), axis=0), more
-
-        now, held, told, more = None, [], [np.zeros((0, 2), np.int64)], False
+                found = [(i, q[j], far) for c in range(low, high, block) for q in [np.arange(c, min(c + block, high))] for i, j, far in [_likely(bits, n, part, p, q)]]
+                i, j, far = (np.concatenate(x) for x in zip(*found))
+                nearest = np.lexsort((rep[j], far, i))
+                i, j = i[nearest], j[nearest]
+                rank = np.arange(len(i)) - np.searchsorted(i, i)
+                more.append(rep[p][i[rank == width]])
+                i, j = i[rank < width], j[rank < width]
+                out.append(np.column_stack([np.minimum(rep[p][i], rep[j]), np.maximum(rep[p][i], rep[j])]))
+            return np.concatenate(out), np.concatenate(more)
+
+        now, held, told, left = None, [], np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
         for batch in batches:
             sig = np.asarray(batch.column("sig"))
             cuts = [0, *(np.flatnonzero(np.diff(sig)) + 1).tolist(), batch.num_rows]
@@ -263,15 +271,14 @@ def across(width: int, block: int = 512):
                     continue
                 if sig[a] != now:
                     if held:
-                        both, left = compared(held)
-                        told, more = [np.unique(np.concatenate([*told, both]), axis=0)], more or left
+                        both, more = compared(held)
+                        told, left = np.unique(np.concatenate([told, both]), axis=0), np.unique(np.concatenate([left, more]))
                     now, held = sig[a], []
                 held.append(batch.slice(a, z - a))
         if held:
-            both, left = compared(held)
-            told, more = [np.unique(np.concatenate([*told, both]), axis=0)], more or left
-        both = told[0]
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.full(len(both), more))], ["a", "b", "more"])
+            both, more = compared(held)
+            told, left = np.unique(np.concatenate([told, both]), axis=0), np.unique(np.concatenate([left, more]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(told[:, 0], left)), pa.array(np.append(told[:, 1], left)), pa.array(np.append(np.zeros(len(told), bool), np.ones(len(left), bool)))], ["a", "b", "more"])
 
     return run
 
@@ -339,20 +346,29 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = materialize(verify(source, pairs, classes), "links")
     release(spark)
     joined = components(links)
-    apart = found.filter("kind = 2").select(F.col("x").alias("sig"), F.col("y").alias("key")).join(classes, "key")
-    tested, width = pairs, 4
+    apart = found.filter("kind = 2").select(F.col("x").alias("sig"), F.col("y").alias("key")).join(classes.select("key", "rep"), "key").select("sig", "rep")
+    apart = materialize(apart, "large-groups")
+    tested, width, asking = pairs.select("a", "b"), 4, None
     while True:
-        large = apart.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "n", "sketch", F.coalesce("component", "rep").alias("component"))
-        mixed = large.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig")
-        rest = large.join(mixed, "sig").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sig").sortWithinPartitions("sig")
-        asked = materialize(rest.mapInArrow(across(width), ACROSS), "asked")
-        late = materialize(asked.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "late")
-        more = not asked.filter("more").isEmpty()
+        large = apart.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
+        if asking is None:
+            large = large.withColumn("asks", F.lit(True))
+        else:  # later rounds: only members that had more to ask, in their groups
+            large = large.join(asking, "rep", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        mixed = large.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or("asks").alias("any")).filter("low <> high AND any").select("sig")
+        rest = materialize(large.join(mixed, "sig"), "mixed-groups")
+        if rest.isEmpty():
+            break
+        sketches = classes.join(rest.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "sketch")
+        dealt = rest.join(sketches, "rep").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sig").sortWithinPartitions("sig")
+        asked = materialize(dealt.mapInArrow(across(width), ACROSS), "asked")
+        late = materialize(asked.filter("NOT more").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "late")
+        asking = asked.filter("more").select(F.col("a").alias("rep"), F.lit(True).alias("asks")).distinct()
         if not late.isEmpty():
             links = links.unionAll(materialize(verify(source, late, classes), "links"))
             joined = components(links)
             tested = tested.unionAll(late)
-        if not more:
+        if asking.isEmpty():
             break
         width *= 8
     joined = joined.withColumnRenamed("node", "rep")
