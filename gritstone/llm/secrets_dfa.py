@@ -269,7 +269,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
         compiled = [re.compile(r.pattern) for r in rules]
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
-                texts = batch.column("text").fill_null("").cast(pa.large_string())
+                texts = batch.column("text").cast(pa.large_string()).fill_null("")
                 offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
                 raw = texts.buffers()[2]
                 data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)

@@ -53,8 +53,13 @@ def release(spark: SparkSession) -> None:
 
 
 def bucket_count(df: DataFrame, bytes_per_bucket: int = 16 << 20, per_partition: int = 4) -> int:
-    """How many buckets a packed exchange of ``df`` needs: from the plan's size estimate, never from a count of rows."""
+    """How many buckets a packed exchange of ``df`` needs: from the size of the tables that its plan reads, not from a count of rows.
+
+    Leaves of unknown size (Spark gives those the largest number there is) add nothing: the session's partitions decide.
+    """
     spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(s for s in sizes if s < 1 << 56)
     least = per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
     return int(min(max(least, size // bytes_per_bucket), 1 << 20))

@@ -47,7 +47,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = -(-n // (1 << 16)) << 16
+        size = max(1, -(-n // (1 << 16))) << 16
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
@@ -88,7 +88,7 @@ def words_of(texts: pa.Array, lower: bool = False, plain: bool = False) -> Words
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.fill_null("").cast(pa.large_string())
+    texts = texts.cast(pa.large_string()).fill_null("")
     if plain:
         texts = pc.utf8_lower(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
