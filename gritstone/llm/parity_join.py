@@ -39,7 +39,7 @@ from gritstone.llm.substring_dedup import NO_ID, ids_of
 from gritstone.llm.words import WORD_BASE, Words, gram_hash, mix, run_hash, slices, words_of
 
 SHINGLE = 5
-SMALL = 8
+SMALL = 3
 FAN = 256
 #: Ids of 8 bytes that may be broadcast.
 MOST_BROADCAST = 1 << 20
@@ -350,11 +350,11 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     apart = materialize(apart, "large-groups")
     tested, width, asking = pairs.select("a", "b"), 4, None
     while True:
+        if asking is not None:  # later rounds: only the groups of members that had more to ask
+            apart = materialize(apart.join(apart.join(asking, "rep", "left_semi").select("sig").distinct(), "sig", "left_semi"), "large-groups")
         large = apart.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
-        if asking is None:
-            large = large.withColumn("asks", F.lit(True))
-        else:  # later rounds: only members that had more to ask, in their groups
-            large = large.join(asking, "rep", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        large = materialize(large if asking is None else large.join(asking.withColumn("asks", F.lit(True)), "rep", "left"), "large-groups")
+        large = large.withColumn("asks", F.lit(True) if asking is None else F.coalesce("asks", F.lit(False)))
         mixed = large.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or("asks").alias("any")).filter("low <> high AND any").select("sig")
         rest = materialize(large.join(mixed, "sig"), "mixed-groups")
         if rest.isEmpty():
@@ -363,7 +363,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         dealt = rest.join(sketches, "rep").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sig").sortWithinPartitions("sig")
         asked = materialize(dealt.mapInArrow(across(width), ACROSS), "asked")
         late = materialize(asked.filter("NOT more").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "late")
-        asking = asked.filter("more").select(F.col("a").alias("rep"), F.lit(True).alias("asks")).distinct()
+        asking = asked.filter("more").select(F.col("a").alias("rep")).distinct()
         if not late.isEmpty():
             links = links.unionAll(materialize(verify(source, late, classes), "links"))
             joined = components(links)
