@@ -1 +1 @@
-"""gritstone.functions."""
+"""Column functions that compose built-in expressions."""

@@ -1 +1 @@
-"""gritstone.operators."""
+"""Operators on queries: rewriting, validation, measurement, decision, analysis."""

@@ -12,8 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritstone.operators.bandit import reward_column
-from gritstone.operators.bench import improvement_column
+from gritstone.functions.measures import improvement_column, reward_column
 from gritstone.operators.promotion import BOOTSTRAP_SAMPLES, BOOTSTRAP_SEED, bootstrap_interval, coefficient_of_variation, rank_biserial, signed_ranks, wilcoxon_p
 from gritstone.session import ship_package
 

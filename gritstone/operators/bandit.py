@@ -6,9 +6,6 @@ import math
 import random
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 THOMPSON, UCB = "thompson", "ucb1"
 OBSERVATION_VARIANCE = 0.1
 
@@ -33,10 +30,6 @@ def reward(baseline_ms: float, candidate_ms: float) -> float:
     return max(0.0, (baseline_ms - candidate_ms) / baseline_ms) if baseline_ms > 0 else 0.0
 
 
-def reward_column(baseline: Column, candidate: Column) -> Column:
-    return F.when(baseline > 0, F.greatest(F.lit(0.0), (baseline - candidate) / baseline)).otherwise(F.lit(0.0))
-
-
 def ucb(arm: Arm, total: int, c: float = math.sqrt(2)) -> float:
     return math.inf if not arm.pulls else arm.mean_reward + c * math.sqrt(math.log(max(total, 1)) / arm.pulls)
 

@@ -1 +1 @@
-"""gritstone.sources."""
+"""Tables, templates, workload files, and the metadata store."""

@@ -1 +1 @@
-"""gritstone.streaming."""
+"""Nothing here yet: the workloads that this engine serves are batches, without watermarks or state."""
