@@ -29,12 +29,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     linked = parity_join.link_documents(docs)
-    gone = materialize(linked.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
+    gone = materialize(linked.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("gone")).distinct(), "duplicates")
     release(spark)
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    again = Window.partitionBy("doc_id", "_text").orderBy("_text")
-    marked = kept.withColumn("_text", F.xxhash64("text")).withColumn("_copy", F.row_number().over(again))
-    return marked.filter("_copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # so that no column of docs can clash with the ones made here
+    doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    plain = docs.toDF(*names)
+    kept = plain.join(gone, plain[doc_id] == gone["gone"], "left_anti").withColumn("hash", F.xxhash64(text))
+    marked = kept.withColumn("copy", F.row_number().over(Window.partitionBy(doc_id, "hash").orderBy("hash")))
+    return marked.filter("copy = 1").select(*names).toDF(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,10 +112,12 @@ def in_order(placed: DataFrame, position: Column, *ties: str) -> DataFrame:
     return placed.repartitionById(n, F.least(F.floor(position * n), F.lit(n - 1)).cast("int")).sortWithinPartitions(position, *ties)
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, a row for each copy taken, in training order."""
-    copies = plan_mix(docs, id_col, **options).withColumn("_position", F.explode(F.col("_mix.positions")))
-    return in_order(copies, F.col("_position"), "_spread").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # so that no column of docs can clash with the plan's
+    of = dict(zip(docs.columns, names))
+    copies = plan_mix(docs.toDF(*names), of[id_col], of[text_col], of[source_col], **options).withColumn("_position", F.explode(F.col("_mix.positions")))
+    return in_order(copies, F.col("_position"), "_spread").select(*names).toDF(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

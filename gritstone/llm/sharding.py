@@ -137,8 +137,8 @@ class ShardTable:
         if not self.manifest(version).take(1):
             return rows.withColumn("_shard", F.lit(None).cast("struct<shard:int,shard_rows:bigint,shard_bytes:bigint,tier:int>"))
         numbered = self.manifest(version).withColumn("shard", F.row_number().over(Window.orderBy("path")) - 1)
-        facts = numbered.select(F.col("path").alias("_of"), F.struct("shard", F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), "tier").alias("_shard"))
-        return rows.withColumn("_path", rows.metadataColumn("_metadata")["file_path"]).join(facts, F.col("_path") == F.col("_of")).drop("_path", "_of")
+        facts = numbered.select(F.col("path").alias("_gritstone_of"), F.struct("shard", F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), "tier").alias("_shard"))
+        return rows.withColumn("_gritstone_path", rows.metadataColumn("_metadata")["file_path"]).join(facts, F.col("_gritstone_path") == F.col("_gritstone_of")).drop("_gritstone_path", "_gritstone_of")
 
     def expire(self, keep: int = 1) -> None:
         """Delete all but the newest ``keep`` versions, and the shards that only those name."""
