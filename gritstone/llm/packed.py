@@ -29,6 +29,19 @@ def blocks(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays(arrays, ["bucket", *columns])
 
 
+def ragged(bucket: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> pa.Array:
+    """A column beside those of ``blocks`` whose entries have ``lengths`` rows of ``flat`` each."""
+    order = np.argsort(bucket, kind="stable")
+    m, begin = lengths[order], (np.cumsum(lengths) - lengths)[order]
+    take = np.repeat(begin, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+    raw = np.ascontiguousarray(flat[take])
+    width = raw.itemsize * (raw.shape[1] if raw.ndim > 1 else 1)
+    sorted_bucket = bucket[order]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(sorted_bucket)) + 1, [len(order)]]) if len(order) else np.zeros(1, np.int64)
+    offsets = np.concatenate([[0], np.cumsum(m)])[cuts] * width
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+
+
 def by_bucket(batches: Iterator[pa.RecordBatch], columns: dict[str, np.dtype]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
     """Each bucket's arrays, from rows that come ordered by bucket."""
     now, held = None, {c: [] for c in columns}

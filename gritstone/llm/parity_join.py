@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.llm.components import components
-from gritstone.llm.packed import blocks, by_bucket, schema_of
+from gritstone.llm.packed import blocks, by_bucket, ragged, schema_of
 from gritstone.llm.storage import bucket_count, materialize, release, ship
 from gritstone.llm.substring_dedup import NO_ID, ids_of
 from gritstone.llm.words import WORD_BASE, Words, gram_hash, mix, run_hash, slices, words_of
@@ -41,11 +41,12 @@ from gritstone.llm.words import WORD_BASE, Words, gram_hash, mix, run_hash, slic
 SHINGLE = 5
 SMALL = 3
 FAN = 256
-#: Ids of 8 bytes that may be broadcast.
+#: Rows of four numbers that may be broadcast.
 MOST_BROADCAST = 1 << 20
-SKETCH_WORDS = 16  # of 64 bits
+#: Words of 64 bits in a bit sketch, for sets of fewer shingles than the bound; a sketch folds to any smaller one.
+SKETCH_WORDS = ((400, 16), (1600, 64), (6400, 256), (1 << 62, 1024))
 ENTRIES = {"sig": np.dtype("i8"), "key": np.dtype("i8")}
-MEMBERS = {"doc": np.dtype("i8"), "doc_key": np.dtype("i8"), "doc_n": np.dtype("i4"), "sketch": np.dtype("u1")}
+MEMBERS = {"doc": np.dtype("i8"), "doc_key": np.dtype("i8"), "doc_n": np.dtype("i4"), "sketch": np.dtype("u8")}
 
 
 def shingle_sets(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,12 +129,27 @@ def signatures(owner: np.ndarray, value: np.ndarray, size: np.ndarray, chosen: n
     return np.concatenate(out_owner), np.concatenate(out_sig)
 
 
-def bit_sketches(owner: np.ndarray, value: np.ndarray, n: int, words: int = SKETCH_WORDS) -> np.ndarray:
-    """Parity bits of each set, as rows of ``8 * words`` bytes."""
-    bits = 64 * words
-    spot = (mix(value ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(bits)).astype(np.int64)
-    odd = (np.bincount(owner * bits + spot, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
-    return np.packbits(odd, axis=1)
+def sketch_words(size: np.ndarray) -> np.ndarray:
+    return np.array([w for _, w in SKETCH_WORDS])[np.searchsorted([bound for bound, _ in SKETCH_WORDS], size, side="right")]
+
+
+def bit_sketches(owner: np.ndarray, value: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Parity bits of each set: ``sketch_words`` words for each document, one after the other."""
+    bits = 64 * sketch_words(size)
+    begin = np.cumsum(bits) - bits
+    spot = (mix(value ^ np.uint64(0x2545F4914F6CDD1D)) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    return np.packbits((np.bincount(begin[owner] + spot, minlength=int(bits.sum())) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of the width of the smallest: a set's parity modulo a power of two follows from any larger one."""
+    sizes = np.array([len(s) for s in sketches]) // 8
+    out = np.zeros((len(sketches), sizes.min()), np.uint64)
+    for w in np.unique(sizes):
+        rows = np.flatnonzero(sizes == w)
+        whole = np.frombuffer(b"".join([sketches[i] for i in rows]), np.uint64).reshape(len(rows), -1, out.shape[1])
+        out[rows] = np.bitwise_xor.reduce(whole, axis=1)
+    return out
 
 
 def sketch(n_buckets: int):
@@ -153,9 +169,12 @@ def sketch(n_buckets: int):
                 if len(sig):
                     out = blocks(((sig >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64), {"sig": sig, "key": keys[who]})
                     yield pa.RecordBatch.from_arrays([*out.columns, *[pa.nulls(out.num_rows, pa.binary())] * len(MEMBERS)], ["bucket", *ENTRIES, *MEMBERS])
-                told = {"doc": ids[have], "doc_key": keys[have], "doc_n": size[have].astype(np.int32), "sketch": bit_sketches(owner, value, len(size))[have]}
-                out = blocks(((keys[have].view(np.uint64) >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64), told)
-                yield pa.RecordBatch.from_arrays([out.column(0), *[pa.nulls(out.num_rows, pa.binary())] * len(ENTRIES), *out.columns[1:]], ["bucket", *ENTRIES, *MEMBERS])
+                told = {"doc": ids[have], "doc_key": keys[have], "doc_n": size[have].astype(np.int32)}
+                bucket = ((keys[have].view(np.uint64) >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
+                rank = np.cumsum(size > 0) - 1
+                sketches = ragged(bucket, sketch_words(size[have]), bit_sketches(rank[owner], value, size[have]))
+                out = blocks(bucket, told)
+                yield pa.RecordBatch.from_arrays([out.column(0), *[pa.nulls(out.num_rows, pa.binary())] * len(ENTRIES), *out.columns[1:], sketches], ["bucket", *ENTRIES, *MEMBERS])
 
     return run
 
@@ -167,8 +186,8 @@ def _found(kind: int, x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None,
     count = len(x)
     told = pa.nulls(count, pa.binary())
     if sk is not None:
-        width = sk.shape[1]
-        told = pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer((np.arange(count + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(sk).tobytes())])
+        ends = np.concatenate([[0], np.cumsum(sketch_words(n))]) * 8
+        told = pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(sk).tobytes())])
     return pa.RecordBatch.from_arrays([pa.array(np.full(count, kind, np.int32)), pa.array(x), pa.array(y), pa.array(n, pa.int32()) if n is not None else pa.nulls(count, pa.int32()), told], ["kind", "x", "y", "n", "sketch"])
 
 
@@ -176,7 +195,7 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Consumer: kind 0 candidate pairs of classes, kind 1 members (id, class), kind 2 (part, class) of large groups."""
     for _, x in by_bucket(batches, ENTRIES | MEMBERS):
         if len(x["doc"]):
-            yield _found(1, x["doc"], x["doc_key"], x["doc_n"], x["sketch"].reshape(len(x["doc"]), -1))
+            yield _found(1, x["doc"], x["doc_key"], x["doc_n"], x["sketch"])
         if not len(x["sig"]):
             continue
         order = np.lexsort((x["key"], x["sig"]))
@@ -206,9 +225,13 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs whose sizes and Hamming distance leave a link possible."""
     for batch in batches:
-        words = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sa", "sb")]
         a, b = (np.asarray(batch.column(c)).astype(np.int64) for c in ("na", "nb"))
-        apart = np.bitwise_count(words[0] ^ words[1]).sum(axis=1)
+        one, two = (batch.column(c).to_pylist() for c in ("sa", "sb"))
+        apart, least = np.zeros(len(a), np.int64), np.minimum(sketch_words(a), sketch_words(b))
+        for w in np.unique(least):
+            rows = np.flatnonzero(least == w)
+            both = folded([one[i] for i in rows] + [two[i] for i in rows])
+            apart[rows] = np.bitwise_count(both[: len(rows)] ^ both[len(rows) :]).sum(axis=1)
         keep = (np.minimum(a, b) * 5 >= np.maximum(a, b) * 4) & (apart <= most_apart(a, b))
         out = batch.filter(pa.array(keep))
         yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], ["a", "b"])
@@ -217,11 +240,12 @@ def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 ACROSS = "a bigint, b bigint, more boolean"
 
 
-def _likely(bits: np.ndarray, n: np.ndarray, part: np.ndarray, p: np.ndarray, q: np.ndarray, first: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _likely(bits: np.ndarray, n: np.ndarray, part: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, Hamming distance) of the pairs p[i], q[j] of different components that sizes and sketches let through.
 
-    A part of a sketch bounds the distance like the whole, so most pairs go after ``first`` of its words.
+    A part of a sketch bounds the distance like the whole, so most pairs go after the first quarter of its words.
     """
+    first = bits.shape[1] // 4
     small, large = np.minimum(n[p][:, None], n[q][None, :]), np.maximum(n[p][:, None], n[q][None, :])
     bound = most_apart(small, large)
     ok = (part[p][:, None] != part[q][None, :]) & (small * 5 >= large * 4)
@@ -243,7 +267,7 @@ def across(width: int, block: int = 512):
             t = pa.Table.from_batches(rows).combine_chunks()
             rep, part, n = (np.asarray(t.column(c)).astype(np.int64) for c in ("rep", "component", "n"))
             asks = np.asarray(t.column("asks"))
-            bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(rep), -1)
+            bits = folded(t.column("sketch").to_pylist())
             order = np.argsort(n, kind="stable")
             rep, part, n, bits, asks = rep[order], part[order], n[order], bits[order], asks[order]
             names, sizes = np.unique(part, return_counts=True)
@@ -319,10 +343,8 @@ def verify(source: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame
     needs = fans.unionAll(fans.select("centre", "fan", F.col("centre").alias("rep")).distinct()).join(classes.select("rep", "key"), "rep")
     needs = materialize(needs, "needs")
     texts = source.select(F.coalesce("id", F.lit(int(NO_ID))).alias("rep"), "text")
-    named = needs.select("rep").distinct()
-    if needs.count() <= MOST_BROADCAST:  # only these texts need move; ids beyond the bound take a shuffle instead
-        texts = texts.join(F.broadcast(named), "rep", "left_semi")
-    texts = texts.join(needs, "rep")
+    # under the bound only the texts that are needed move, once; beyond it all take a shuffle by id first
+    texts = texts.join(F.broadcast(needs) if needs.count() <= MOST_BROADCAST else needs, "rep")
     parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.select("centre", "fan", "rep", "key", "text").repartition(parts, "centre", "fan")
     return dealt.sortWithinPartitions("centre", "fan", (F.col("rep") != F.col("centre"))).mapInArrow(compare, "u bigint, v bigint")

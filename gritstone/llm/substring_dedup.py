@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritstone.llm.packed import blocks, by_bucket, schema_of
+from gritstone.llm.packed import blocks, by_bucket, ragged, schema_of
 from gritstone.llm.storage import bucket_count, ship
 from gritstone.llm.words import Words, gram_hash, mix, slices, words_of
 
@@ -127,14 +127,9 @@ def cut(n_buckets: int):
                 codes = p["edge"][np.repeat(p["begins"][keep], n) + inner]
                 five = codes.view(np.uint8).reshape(-1, 8)[:, :5]
                 bucket = ((p["anchor"][keep] >> np.uint64(24)) % np.uint64(n_buckets)).astype(np.int64)
-                by = np.argsort(bucket, kind="stable")
-                # edges have a length of their own for each piece, so they are packed here, in the pieces' order
+                # edges have a length of their own for each piece
                 batch_out = blocks(bucket, {"anchor": p["anchor"][keep], "doc": doc[keep], "mark": mark[keep], "at": at[keep], "n": n.astype(np.uint8)})
-                m = n[by]
-                take = np.repeat((np.cumsum(n) - n)[by], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                raw = np.ascontiguousarray(five[take])
-                ends_at = np.concatenate([[0], np.cumsum(m)])[np.concatenate([[0], np.flatnonzero(np.diff(bucket[by])) + 1, [len(by)]])] * 5
-                edges = pa.Array.from_buffers(pa.binary(), batch_out.num_rows, [None, pa.py_buffer(ends_at.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+                edges = ragged(bucket, n, five)
                 none = pa.nulls(batch_out.num_rows, pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch_out.columns, edges, none, none, none, none], ["bucket", *PIECES, *SPANS])
                 if len(later):
