@@ -160,10 +160,19 @@ def test_linked_sets_share_a_signature(common, a, b, seed):
     value = np.concatenate([np.sort(one), np.sort(two)])
     who, sig = parity_join.signatures(owner, value, np.array([len(one), len(two)]), np.array([True, True]))
     assert set(sig[who == 0]) & set(sig[who == 1]) or parity_join.set_keys(owner, value, np.array([len(one), len(two)]))[0] == parity_join.set_keys(owner, value, np.array([len(one), len(two)]))[1]
-    bits = parity_join.bit_sketches(owner, value, 2).view(np.uint64)
+    flat = parity_join.bit_sketches(owner, value, np.array([len(one), len(two)]))
+    bits = parity_join.folded([flat[:16].tobytes(), flat[16:].tobytes()])
     assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(one) + len(two) - 2 * common
 
 
+def test_sketches_fold():
+    rng = np.random.default_rng(1)
+    values = np.sort(rng.integers(0, 2**63, 3000, dtype=np.uint64))
+    large = parity_join.bit_sketches(np.zeros(3000, int), values, np.array([3000]))
+    odd = (np.bincount((parity_join.mix(values ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(1024)).astype(int), minlength=1024) & 1).astype(np.uint8)
+    assert len(large) == 256 and (parity_join.folded([large.tobytes(), large[:16].tobytes()])[0] == np.packbits(odd).view(np.uint64)).all()
+
+
 SECRETS = [
     'Password = "abc+/123=" then token:short and TOKEN:=abcdef',
     "api_key='x' secret: 123456\napikey==abcdef passwdpassword=longenough",
