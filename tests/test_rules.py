@@ -161,3 +161,14 @@ def test_reader():
     read = sqltext.read("SELECT a, CASE WHEN b AND c THEN 1 ELSE 2 END AS d FROM t WHERE x BETWEEN 1 AND 2 AND (y OR z) GROUP  BY a ORDER BY a")
     assert [i.label for i in read.items] == ["a", "d"] and sqltext.conjuncts(read.where) == ["x BETWEEN 1 AND 2", "(y OR z)"] and read.group == "a"
     assert sqltext.read("SELECT 1 UNION SELECT 2") is None and sqltext.read("WITH a AS (SELECT 1) SELECT 1") is None
+
+
+def test_rewrites_that_change_the_plan(spark, context):
+    """Catalyst keeps these patterns as written: the rewrite is what makes a plain anti join, a semi join, one scan."""
+    plan = lambda sql: spark.sql(sql)._jdf.queryExecution().optimizedPlan().toString()
+    sql = "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
+    assert "isnull" in plan(sql).split("LeftAnti")[1].splitlines()[0] and "isnull" not in plan(BY_ID["not_in_to_not_exists"](sql, context)).split("LeftAnti")[1].splitlines()[0]
+    sql = "SELECT s_suppkey FROM supplier WHERE (SELECT COUNT(*) FROM partsupp WHERE ps_suppkey = s_suppkey) > 0"
+    assert "LeftSemi" not in plan(sql) and "LeftSemi" in plan(BY_ID["count_gt_zero_to_exists"](sql, context))
+    sql = dialect.inline(ALL["rw_10"].sql, ALL["rw_10"].types, ALL["rw_10"].values)
+    assert plan(BY_ID["merge_scalar_aggregates"](sql, context)).count("Relation [") == 1
