@@ -119,6 +119,14 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, (ends - starts).astype(np.float64), owner_first
 
 
+def _line_features_by_parts(texts: list[str | None], most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``line_features`` of many texts, about ``most`` bytes at a time: the driver holds lines, not bytes."""
+    made = [line_features(b.column("text")) for b in slices(pa.record_batch({"text": pa.array(texts, pa.string())}), "text", most)]
+    starts = np.cumsum([0, *[len(v) for v, _, _ in made]])
+    first = np.concatenate([*[f[:-1] + at for (_, _, f), at in zip(made, starts)], starts[-1:]])
+    return np.concatenate([v for v, _, _ in made]), np.concatenate([n for _, n, _ in made]), first
+
+
 @dataclass
 class Field:
     """The fitted field. weights: [place (own, before, after), feature, bin]; a document's edge has bin BINS."""
@@ -213,7 +221,7 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 120, rate: flo
     none = Field(np.zeros((width, BINS - 1)), np.zeros((3, width, BINS + 1)), np.zeros((2, 2)), np.zeros(2), (1.0, 0.0), share, False)
     if len(set(labels)) < 2:
         return none
-    values, lengths, first = line_features(pa.array(texts, pa.string()))
+    values, lengths, first = _line_features_by_parts(texts)
     y = np.asarray(labels)
     line_y = np.repeat(y, np.diff(first))
     cuts = np.array([np.quantile(v, np.linspace(0, 1, BINS + 1)[1:-1]) + 1e-12 for v in values.T])
