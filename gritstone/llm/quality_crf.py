@@ -149,7 +149,7 @@ def _places(bins: np.ndarray, first: np.ndarray) -> np.ndarray:
     before, after = np.empty_like(bins), np.empty_like(bins)
     before[1:], after[:-1] = bins[:-1], bins[1:]
     before[first[:-1]], after[first[1:] - 1] = BINS, BINS
-    return np.stack([bins, before, after], axis=1)
+    return np.stack([bins, before, after], axis=1).astype(np.uint8)
 
 
 def _emissions(places: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -230,9 +230,12 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 120, rate: flo
         if len(np.unique(cuts[i])) < BINS // 2 and len(rest):
             cuts[i] = np.sort(np.concatenate([[np.median(v) - 1e-12, np.median(v) + 1e-12], np.quantile(rest, np.linspace(0, 1, BINS - 1)[1:-1])]))[: BINS - 1]
     places = _places(binned(values, cuts), first)
-    at = places.astype(np.int32) + (np.arange(3, dtype=np.int32)[:, None] * width + np.arange(width, dtype=np.int32)) * np.int32(BINS + 1)
     size = 3 * width * (BINS + 1)
-    wanted = np.bincount(at[line_y == 1].ravel(), minlength=size).astype(float)
+
+    def totals(weight: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(places[:, p, f], weights=weight, minlength=BINS + 1) for p in range(3) for f in range(width)])
+
+    wanted = totals((line_y == 1).astype(float))
     inner = np.ones(len(line_y), bool)
     inner[first[:-1]] = False
     wanted_moves = np.array([[((line_y == a) & (line_y == b))[inner].sum() for b in (0, 1)] for a in (0, 1)], float)
@@ -242,7 +245,7 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 120, rate: flo
     for step in range(1, rounds + 1):
         weights, moves, edges = theta[:size].reshape(3, width, BINS + 1), theta[size : size + 4].reshape(2, 2), theta[-2:]
         both, pairs = forward_backward(_emissions(places, weights), first, moves, edges)
-        seen = np.bincount(at.ravel(), weights=np.repeat(both[:, 1], 3 * width), minlength=size)
+        seen = totals(both[:, 1])
         slope = np.concatenate([wanted - seen, (wanted_moves - pairs.sum(axis=0)).ravel(), wanted_edges - both[first[:-1]].sum(axis=0)]) / n - keep * theta
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
