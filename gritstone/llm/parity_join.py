@@ -368,6 +368,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = materialize(verify(source, pairs, classes), "links")
     release(spark)
     joined = components(links)
+    release(spark)
     apart = found.filter("kind = 2").select(F.col("x").alias("sig"), F.col("y").alias("key")).join(classes.select("key", "rep"), "key").select("sig", "rep")
     apart = materialize(apart, "large-groups")
     tested, width, asking = pairs.select("a", "b"), 4, None
@@ -390,6 +391,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             links = links.unionAll(materialize(verify(source, late, classes), "links"))
             joined = components(links)
             tested = tested.unionAll(late)
+        release(spark)
         if asking.isEmpty():
             break
         width *= 8
