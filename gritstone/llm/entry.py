@@ -55,6 +55,6 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"op1_sharding": op1, "op2_mixing": op2, "op3_licenses": op3, "op4_html": op4, "op5_repeats": op5, "op6_ann": op6, "op7_quality": op7, "op8_secrets": op8, "op9_jaccard": op9, "op10_decontamination": op10, "pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE_SQL, "op5_repeats": substring_dedup.ORACLE_SQL, "op8_secrets": secrets_dfa.ORACLE_SQL, "op9_jaccard": parity_join.ORACLE_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -400,3 +400,21 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     without = source.filter(F.coalesce(F.regexp_replace(F.col("text"), r"[\x20\x09-\x0D]+", ""), F.lit("")) == "").select(F.coalesce("id", F.lit(int(NO_ID))).alias("id"), F.lit(0).cast("long").alias("n_shingles"), F.coalesce("id", F.lit(int(NO_ID))).alias("component_id"))
     given = lambda c: F.when(F.col(c) != F.lit(int(NO_ID)), F.col(c)).alias(c)
     return of.unionAll(without).select(given("id").alias("doc_id"), "n_shingles", given("component_id"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM docs),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reached(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reached.doc_id, links.b FROM reached JOIN links ON links.a = reached.r)
+SELECT reached.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id
+FROM reached LEFT JOIN sizes ON sizes.doc_id = reached.doc_id GROUP BY reached.doc_id
+"""

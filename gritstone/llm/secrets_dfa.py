@@ -312,3 +312,25 @@ def reference_digest(text: str | None) -> tuple[int, int, int, str]:
     marked = exact_spans(BASE_RULES, [re.compile(r.pattern) for r in BASE_RULES], text or "", 0)
     told = ",".join(f"{BASE_RULES[k].kind}:{s}:{e}" for s, k, e in sorted(marked))
     return *(sum(k == i for _, k, _ in marked) for i in range(3)), hashlib.sha256(told.encode()).hexdigest()
+
+
+def _rule_sql(place: int, rule: Rule) -> str:
+    """One row for each finding of a rule: what lies between matches gives their starts."""
+    pattern = rule.pattern.replace("'", "''")
+    return f"""SELECT doc_id, {place} AS k, '{rule.kind}' AS kind, unnest(begins) AS s, unnest(ends) AS e, unnest(sizes) AS n FROM (
+    SELECT doc_id, list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0)) AS begins,
+      list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: len(x))) + list_sum(list_transform(m[1:i], lambda x: len(x)))) AS ends,
+      list_transform(v, lambda x: len(x)) AS sizes
+    FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}', {rule.group}) AS v FROM docs)) WHERE len(begins) > 0"""
+
+
+_found_sql = "\n  UNION ALL ".join(f"SELECT * FROM ({_rule_sql(k, r)}) WHERE n >= {r.least}" for k, r in enumerate(BASE_RULES + MORE_RULES))
+ORACLE_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_found_sql}),
+told AS (SELECT doc_id, k, kind, s, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS x FROM found)
+SELECT docs.doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)},
+  sha256(coalesce(string_agg(x, ',' ORDER BY s, k) FILTER (WHERE k < {len(BASE_RULES)}), '')) AS base_sha256,
+  coalesce(string_agg(x, ',' ORDER BY s, k), '') AS spans
+FROM docs LEFT JOIN told ON told.doc_id = docs.doc_id GROUP BY docs.doc_id
+"""

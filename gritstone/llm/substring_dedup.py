@@ -245,3 +245,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         source.select(home_column(F.col("id"), homes).alias("bucket"), F.lit(1).alias("kind"), "id", "text", *none)
     )
     return both.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(remove(), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+
+
+ORACLE_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+edges AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS p, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) AS s
+  FROM docs),
+ranked AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM edges),
+covered AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS q FROM ranked WHERE k > 1),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS q, unnest(w) AS x FROM docs),
+kept AS (
+  SELECT words.doc_id, count(covered.q) AS gone, string_agg(x, ' ' ORDER BY words.q) FILTER (WHERE covered.q IS NULL) AS t
+  FROM words LEFT JOIN covered ON covered.doc_id = words.doc_id AND covered.q = words.q GROUP BY words.doc_id)
+SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept ON kept.doc_id = docs.doc_id
+"""

@@ -262,3 +262,16 @@ def test_whole_table(spark, name):
     from gritstone.llm.entry import QUERIES
 
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() == 200
+
+
+@pytest.mark.parametrize("name", ["op5_repeats", "op8_secrets", "op9_jaccard"])
+def test_sql_agrees(spark, name):
+    import duckdb
+
+    from gritstone.llm.entry import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    answer, df = con.sql(ORACLES[name]), QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sorted(answer.columns) == sorted(df.columns)
+    assert Counter(map(tuple, df.select(*answer.columns).collect())) == Counter(answer.fetchall())
