@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.llm.storage import ship
-from gritstone.llm.words import Words, mix, slices, words_of
+from gritstone.llm.words import Words, mix, slices, trimmed, words_of
 
 TERMS = 8192
 RANK = 96
@@ -90,6 +90,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _range(idf: np.ndarray):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column, sign = sketch_matrix()
         total, n = np.zeros((TERMS, RANK)), 0
@@ -188,6 +189,7 @@ def _search(weights: np.ndarray, ids: list, items: list[np.ndarray], clean: bool
     need = np.ceil(0.35 * np.minimum(size, 2 * BLOCK)).astype(int)
     asked = _unit(np.array([weights[(i % np.uint64(TERMS)).astype(np.int64)].sum(axis=0) for i in items]))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):

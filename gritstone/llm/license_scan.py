@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gritstone.llm.license_texts import TEMPLATES
 from gritstone.llm.storage import ship
-from gritstone.llm.words import Words, gram_hash, slices, words_of
+from gritstone.llm.words import Words, gram_hash, slices, trimmed, words_of
 
 LEAST = 0.85
 
@@ -120,6 +120,7 @@ def scan_licenses(docs: DataFrame, texts: dict[str, str] = TEMPLATES, least: flo
     templates = Templates(texts, least)
     kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):

@@ -36,7 +36,7 @@ from gritstone.llm.components import components
 from gritstone.llm.packed import blocks, by_bucket, ragged, schema_of
 from gritstone.llm.storage import bucket_count, materialize, release, ship
 from gritstone.llm.substring_dedup import NO_ID, ids_of
-from gritstone.llm.words import WORD_BASE, Words, gram_hash, mix, run_hash, slices, words_of
+from gritstone.llm.words import WORD_BASE, Words, gram_hash, mix, run_hash, slices, trimmed, words_of
 
 SHINGLE = 5
 SMALL = 3
@@ -155,6 +155,7 @@ def folded(sketches: list[bytes]) -> np.ndarray:
 def sketch(n_buckets: int):
     """Producer: signatures and members of each slice; equal sets of a slice send signatures once."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -262,6 +263,7 @@ def across(width: int, block: int = 512):
     """For each large group and each asking member outside the group's largest component: up to ``width`` members of
     other components, nearest by sketch, whose sketches leave a link possible. A row (a, a, true) says that a has more."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def compared(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
             t = pa.Table.from_batches(rows).combine_chunks()

@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gritstone.llm.storage import ship
-from gritstone.llm.words import slices, words_of
+from gritstone.llm.words import slices, trimmed, words_of
 
 TRAIN_DOCS = 2500
 TRAIN_LINES = 60_000
 BINS = 8
-SLICE = 1 << 21
+SLICE = 1 << 20
 FEATURES = ("log_length", "letters", "capitals", "digits", "symbols", "bars", "stops", "spaces", "word_length", "distinct", "repeats", "ends", "twin_before", "twin_after", "edge_marks")
 
 
@@ -299,6 +299,7 @@ def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_
     ship(docs.sparkSession)
     source = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text"), *[docs[f"`{c}`"].alias(f"_c{i}") for i, c in enumerate(carry)])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
@@ -316,6 +317,7 @@ def keep_good(docs: DataFrame, field: Field, text_col: str = "text", least: floa
     names = [f"_c{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index(text_col)]
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text, SLICE):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gritstone.llm.storage import ship
-from gritstone.llm.words import slices
+from gritstone.llm.words import slices, trimmed
 
 
 @dataclass(frozen=True)
@@ -265,6 +265,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
     schema = docs.select(id_col).schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ", 1)
     struct = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
+    @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [re.compile(r.pattern) for r in rules]
         for whole in batches:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gritstone.llm.packed import blocks, by_bucket, ragged, schema_of
 from gritstone.llm.storage import bucket_count, ship
-from gritstone.llm.words import Words, gram_hash, mix, slices, words_of
+from gritstone.llm.words import Words, gram_hash, mix, slices, trimmed, words_of
 
 WINDOW = 20
 ANCHOR = 8
@@ -104,6 +104,7 @@ def ids_of(column: pa.Array) -> np.ndarray:
 def cut(n_buckets: int):
     """Producer: the pieces of each slice by anchor; repeats inside the slice go along as finished spans."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -167,6 +168,7 @@ def repeats(anchor: np.ndarray, doc: np.ndarray, mark: np.ndarray, at: np.ndarra
 def glue(n_homes: int, hold: int = 1 << 20):
     """Consumer of pieces: the repeats of each bucket, as spans on their way to their documents."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
@@ -192,6 +194,7 @@ def remove(window: int = WINDOW):
     """Consumer of spans and texts, by home bucket, spans first: the kept words of each text."""
     names = ["doc_id", "n_words", "n_removed", "kept_text"]
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, ready = None, [], None
         for batch in batches:
