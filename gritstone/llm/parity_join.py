@@ -13,9 +13,10 @@ sizes a <= b link when 100 * intersection >= 80 * union, so that they differ in
    least, and their members are kept aside.
 4. Verification compares whole sets: members travel to their star's centre, at most ``FAN`` of them to one task.
 5. Components by large and small stars. In large groups that still hold several components, each member outside the
-   largest one asks its nearest members of other components, by bit sketches, compared in blocks; pairs that the Hamming
-   bound lets through are verified, and the components are found again. The number asked grows eightfold a round until
-   all that the bound allows have been asked. So no link is lost, and no group of copies emits its pairs.
+   one that is largest at first asks its nearest members of other components, by bit sketches, compared in blocks; pairs
+   that the Hamming bound lets through are verified, and the components are found again. The number asked grows eightfold
+   a round, and a member goes on asking in a group, whatever its component has become, until it has asked there all that
+   the bound allows. So no link is lost, and no group of copies emits its pairs.
 
 Sets are told apart by 64-bit hashes of their shingles. Defined results: null and wordless texts have no shingles and
 link with nothing; texts of one to four words are one shingle, the whole sequence; a null ``doc_id`` counts as the
@@ -259,9 +260,10 @@ def _likely(bits: np.ndarray, n: np.ndarray, part: np.ndarray, p: np.ndarray, q:
     return i[keep], j[keep], far[keep]
 
 
-def across(width: int, block: int = 512):
-    """For each large group and each asking member outside the group's largest component: up to ``width`` members of
-    other components, nearest by sketch, whose sketches leave a link possible. A row (a, a, true) says that a has more."""
+def across(width: int, block: int = 512, first: bool = True):
+    """For each large group and each asking member, in the ``first`` round those outside the group's largest component: up
+    to ``width`` members of other components, nearest by sketch, whose sketches leave a link possible. A row (sig, a, true)
+    says that a has more in that group."""
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +275,7 @@ def across(width: int, block: int = 512):
             order = np.argsort(n, kind="stable")
             rep, part, n, bits, asks = rep[order], part[order], n[order], bits[order], asks[order]
             names, sizes = np.unique(part, return_counts=True)
-            asking = np.flatnonzero(asks & (part != names[sizes.argmax()]))
+            asking = np.flatnonzero(asks & (part != names[sizes.argmax()]) if first else asks)
             out, more = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
             for at in range(0, len(asking), block):
                 p = asking[at : at + block]
@@ -288,7 +290,7 @@ def across(width: int, block: int = 512):
                 out.append(np.column_stack([np.minimum(rep[p][i], rep[j]), np.maximum(rep[p][i], rep[j])]))
             return np.concatenate(out), np.concatenate(more)
 
-        now, held, told, left = None, [], np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+        now, held, told, left = None, [], np.zeros((0, 2), np.int64), [np.zeros((0, 2), np.int64)]
         for batch in batches:
             sig = np.asarray(batch.column("sig"))
             cuts = [0, *(np.flatnonzero(np.diff(sig)) + 1).tolist(), batch.num_rows]
@@ -298,13 +300,16 @@ def across(width: int, block: int = 512):
                 if sig[a] != now:
                     if held:
                         both, more = compared(held)
-                        told, left = np.unique(np.concatenate([told, both]), axis=0), np.unique(np.concatenate([left, more]))
+                        told = np.unique(np.concatenate([told, both]), axis=0)
+                        left.append(np.column_stack([np.full(len(more), now), more]))
                     now, held = sig[a], []
                 held.append(batch.slice(a, z - a))
         if held:
             both, more = compared(held)
-            told, left = np.unique(np.concatenate([told, both]), axis=0), np.unique(np.concatenate([left, more]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(told[:, 0], left)), pa.array(np.append(told[:, 1], left)), pa.array(np.append(np.zeros(len(told), bool), np.ones(len(left), bool)))], ["a", "b", "more"])
+            told = np.unique(np.concatenate([told, both]), axis=0)
+            left.append(np.column_stack([np.full(len(more), now), more]))
+        both = np.concatenate([told, *left])
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.arange(len(both)) >= len(told))], ["a", "b", "more"])
 
     return run
 
@@ -376,9 +381,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tested, width, asking = pairs.select("a", "b"), 4, None
     while True:
         if asking is not None:  # later rounds: only the groups of members that had more to ask
-            apart = materialize(apart.join(apart.join(asking, "rep", "left_semi").select("sig").distinct(), "sig", "left_semi"), "large-groups")
+            apart = materialize(apart.join(asking.select("sig").distinct(), "sig", "left_semi"), "large-groups")
         large = apart.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
-        large = materialize(large if asking is None else large.join(asking.withColumn("asks", F.lit(True)), "rep", "left"), "large-groups")
+        large = materialize(large if asking is None else large.join(asking.withColumn("asks", F.lit(True)), ["sig", "rep"], "left"), "large-groups")
         large = large.withColumn("asks", F.lit(True) if asking is None else F.coalesce("asks", F.lit(False)))
         mixed = large.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or("asks").alias("any")).filter("low <> high AND any").select("sig")
         rest = materialize(large.join(mixed, "sig"), "mixed-groups")
@@ -386,9 +391,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             break
         sketches = classes.join(rest.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "sketch")
         dealt = rest.join(sketches, "rep").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sig").sortWithinPartitions("sig")
-        asked = materialize(dealt.mapInArrow(across(width), ACROSS), "asked")
+        asked = materialize(dealt.mapInArrow(across(width, first=asking is None), ACROSS), "asked")
         late = materialize(asked.filter("NOT more").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "late")
-        asking = asked.filter("more").select(F.col("a").alias("rep")).distinct()
+        asking = asked.filter("more").select(F.col("a").alias("sig"), F.col("b").alias("rep"))
         if not late.isEmpty():
             links = links.unionAll(materialize(verify(source, late, classes), "links"))
             joined = components(links)

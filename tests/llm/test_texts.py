@@ -148,6 +148,40 @@ def test_links_in_large_groups(spark):
     assert {(r.doc_id, r.component_id) for r in parity_join.link_documents(frame(spark, docs)).collect()} == {(d, want[d, t][1]) for d, t, *_ in docs}
 
 
+def test_links_when_the_largest_component_changes(spark, monkeypatch):
+    """One group of A (6), B (6) and L (10). Only x of A and y of L link across; x asks four of B first, A and B merge and
+    outgrow L, and x must still ask y."""
+    base, fresh = [f"t{i}" for i in range(400)], iter(range(2, 400, 10))
+
+    def changed(words, times):
+        words = list(words)
+        for _ in range(times):
+            at = next(fresh)
+            words[at] = f"c{at}"
+        return words
+
+    y = changed(base, 8)
+    a, b, far = [base, *(changed(base, 2) for _ in range(5))], [changed(base, 2) for _ in range(6)], [y, *(changed(y, 1) for _ in range(9))]
+    docs = [(i, " ".join(t), "en", "s", 0, "", 0, "", 0, 0) for i, t in enumerate(far + a + b)]
+    want = links(docs)
+    assert {c for _, c in want.values()} == {0} and {c for _, c in links(docs[10:]).values()} == {10}
+    assert {c for _, c in links([d for d in docs if d[0] != 10]).values()} != {0}
+    keys = parity_join.set_keys(*parity_join.shingle_sets(words_of(pa.array([d[1] for d in docs]), lower=True)))
+    near = np.array([(centre, i) for centre, many in ((0, range(1, 10)), (10, range(11, 16)), (16, range(17, 22))) for i in many])
+    met = parity_join.meet
+
+    def one_group(batches):
+        for batch in met(batches):
+            if batch.column("kind")[0].as_py() == 1:
+                yield batch
+                if 0 in batch.column("x").to_pylist():
+                    yield parity_join._found(0, keys[near[:, 0]], keys[near[:, 1]])
+                    yield parity_join._found(2, np.ones(len(keys), np.int64), keys)
+
+    monkeypatch.setattr(parity_join, "meet", one_group)
+    assert {(r.doc_id, r.component_id) for r in parity_join.link_documents(frame(spark, docs)).collect()} == {(d[0], 0) for d in docs}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(4, 80), st.integers(0, 30), st.integers(0, 30), st.integers(0, 10**6))
 def test_linked_sets_share_a_signature(common, a, b, seed):
