@@ -8,6 +8,9 @@
    folding in (weights times vectors over values) takes any words into the latent space.
 3. Candidates. A third pass folds in every block and every pair of neighbouring blocks, and takes those whose cosine
    with a benchmark item is at least ``COSINE``; items that share too few distinct words with the passage are dropped.
+   Foreign words in a block dilute a short item, so blocks with enough of an item's rare words are candidates whatever
+   their cosine: of words that fill more places of the item than the checks let go, some must be in any copy. So every
+   stretch no longer than its item that passes the checks is found.
 4. Checks. The longest common subsequence of the item with the passage and its surroundings must hold ``SHARE`` of the
    item's words, and half of its last words, the answer. Single words replaced, dropped or added leave enough.
 
@@ -132,8 +135,9 @@ def _total(parts: DataFrame, width: int) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(r["part"], np.float64) for r in sorted(rows, key=lambda r: r["slot"])]).reshape(TERMS, width)
 
 
-def latent_space(texts: DataFrame) -> np.ndarray | None:
-    """TERMS x RANK float32: what a word of each term adds to a passage's latent vector. None for a corpus without words."""
+def latent_space(texts: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """TERMS x RANK float32: what a word of each term adds to a passage's latent vector; and the terms' inverse document
+    frequencies. None for a corpus without words."""
     counted = _total(texts.mapInArrow(_frequencies, "slot int, part binary"), 2)
     if counted is None:
         return None
@@ -147,7 +151,7 @@ def latent_space(texts: DataFrame) -> np.ndarray | None:
     values = np.maximum(values, values.max() * 1e-10 + 1e-30)
     u, s, _ = np.linalg.svd(g @ vectors / np.sqrt(values), full_matrices=False)
     s = np.maximum(s, s.max() * 1e-6 + 1e-30)
-    return (idf[:, None] * u / s).astype(np.float32)
+    return (idf[:, None] * u / s).astype(np.float32), idf
 
 
 def longest_common(a: list[int], b: list[int]) -> tuple[int, set[int]]:
@@ -178,15 +182,56 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _search(weights: np.ndarray, ids: list, items: list[np.ndarray], clean: bool = False):
+def rare_words(items: list[np.ndarray], idf: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, item, least): the places in ``known`` of each item's rarest words, ordered by item, and how many occurrences
+    of them any passage holds that has ``SHARE`` of the item's words in common with it."""
+    word, item, least = [], [], []
+    for k, i in enumerate(items):
+        distinct, times = np.unique(i, return_counts=True)
+        order = np.argsort(-idf[(distinct % np.uint64(TERMS)).astype(np.int64)], kind="stable")
+        may_lack = len(i) - int(np.ceil(SHARE * len(i)))
+        places = np.cumsum(times[order])
+        taken = 1 + int(np.searchsorted(places, may_lack + -(-len(i) // 5)))
+        word.append(np.searchsorted(known, distinct[order[:taken]]))
+        item.append(np.full(taken, k))
+        least.append(places[taken - 1] - may_lack)
+    return np.concatenate(word), np.concatenate(item), np.array(least)
+
+
+def stretches(word: np.ndarray, doc: np.ndarray, rare: tuple[np.ndarray, np.ndarray, np.ndarray], size: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(position, item): where stretches of about an item's length begin that hold enough of its rare words."""
+    rare_word, rare_item, least = rare
+    order = np.argsort(word, kind="stable")
+    begin = np.searchsorted(word[order], rare_word)
+    count = np.searchsorted(word[order], rare_word, side="right") - begin
+    turn = (np.cumsum(count) // most)[np.searchsorted(rare_item, rare_item, side="right") - 1]  # items by their hits
+    out_at, out_item = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for now in np.unique(turn[count > 0]):
+        some = np.flatnonzero((turn == now) & (count > 0))
+        times = count[some]
+        at = order[np.repeat(begin[some] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+        item = np.repeat(rare_item[some], times)
+        by = np.lexsort((at, item))
+        at, item = at[by], item[by]
+        last = np.arange(len(at)) + least[item] - 1
+        inside = np.minimum(last, len(at) - 1)
+        ok = (last < len(at)) & (item[inside] == item) & (doc[at[inside]] == doc[at]) & (at[inside] - at < size[item] + BLOCK)
+        out_at.append(at[ok])
+        out_item.append(item[ok])
+    return np.concatenate(out_at), np.concatenate(out_item)
+
+
+def _search(space: tuple[np.ndarray, np.ndarray], ids: list, items: list[np.ndarray], clean: bool = False):
     """Third pass: documents' leaks of some items, or with ``clean`` the rows of documents without any."""
+    weights, idf = space
     lists = [i.tolist() for i in items]
     known = np.unique(np.concatenate(items))
     has = np.zeros((len(items), len(known) + 1), bool)
     for k, i in enumerate(items):
         has[k, np.searchsorted(known, i)] = True
     size = np.array([len(i) for i in items])
-    need = np.ceil(0.35 * np.minimum(size, 2 * BLOCK)).astype(int)
+    need = np.ceil(0.35 * np.minimum([len(np.unique(i)) for i in items], 2 * BLOCK)).astype(int)
+    rare = rare_words(items, idf, known)
     asked = _unit(np.array([weights[(i % np.uint64(TERMS)).astype(np.int64)].sum(axis=0) for i in items]))
 
     @trimmed
@@ -215,7 +260,9 @@ def _search(weights: np.ndarray, ids: list, items: list[np.ndarray], clean: bool
                     span.sort(axis=1)
                     span[:, 1:][span[:, 1:] == span[:, :-1]] = len(known)
                     keep[some] = has[item[some][:, None], span].sum(axis=1) >= need[item[some]]
-                block, item = block[keep], item[keep]
+                at, of = stretches(word[:-1], b.doc[b.of_word], rare, size)
+                both = np.unique(np.concatenate([block[keep] * len(items) + item[keep], b.of_word[at] * len(items) + of]))
+                block, item = both // len(items), both % len(items)
                 best: dict[tuple[int, int], tuple[int, float]] = {}
                 for x, k in zip(block.tolist(), item.tolist()):
                     d = int(b.doc[x])
@@ -267,12 +314,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     spark = docs.sparkSession
     ship(spark)
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    out, weights = spark.createDataFrame([], FOUND), None
+    out, space = spark.createDataFrame([], FOUND), None
     for ids, items in _item_blocks(benchmark):
-        weights = latent_space(source) if weights is None else weights
-        if weights is None:
+        space = latent_space(source) if space is None else space
+        if space is None:
             break
-        out = out.unionAll(source.mapInArrow(_search(weights, ids, items), FOUND))
+        out = out.unionAll(source.mapInArrow(_search(space, ids, items), FOUND))
     return out
 
 
@@ -280,11 +327,11 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
     """The rows of ``docs`` whose text holds no item, all columns as they are."""
     ship(docs.sparkSession)
     names = [f"_c{i}" for i in range(len(docs.columns))]
-    out, weights = docs.toDF(*names), None
+    out, space = docs.toDF(*names), None
     text = names[docs.columns.index(text_col)]
     for ids, items in _item_blocks(benchmark):
-        weights = latent_space(docs.select(docs[text_col].alias("text"))) if weights is None else weights
-        if weights is None:
+        space = latent_space(docs.select(docs[text_col].alias("text"))) if space is None else space
+        if space is None:
             break
-        out = out.withColumn("text", F.col(text)).mapInArrow(_search(weights, ids, items, clean=True), out.schema)
+        out = out.withColumn("text", F.col(text)).mapInArrow(_search(space, ids, items, clean=True), out.schema)
     return out.toDF(*docs.columns)

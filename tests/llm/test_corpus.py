@@ -305,6 +305,32 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(empty(spark), benchmark).count() == 0 and decontaminate.remove_leaks(empty(spark), benchmark).count() == 0
 
 
+def test_diluted_copies_of_short_items_are_found():
+    """Copies of short items across blocks of foreign words; the latent space is as poor as can be: it is blind."""
+    rng = random.Random(11)
+    text = lambda n: [rng.choice(["the", "of", "and"]) if rng.random() < 0.3 else f"q{rng.randrange(3000)}" for _ in range(n)]
+    plain = lambda texts: decontaminate.words_of(pa.array([" ".join(t) for t in texts]), plain=True)
+    items, rows, want = [text(rng.randrange(8, 25)) for _ in range(40)] + [["same"] * 12 + text(3)], [], set()
+    for d in range(400):
+        body, k = text(rng.randrange(60, 200)), rng.randrange(len(items))
+        if d % 2:
+            copy = list(items[k])
+            for at in rng.sample(range(len(copy)), len(copy) // 5):
+                copy[at] = f"z{d}"
+            at = rng.randrange(len(body))
+            body[at:at] = copy
+            if decontaminate.holds(plain([items[k]]).hashes.tolist(), plain([copy]).hashes.tolist()):
+                want.add((d, k))
+        rows.append(body)
+    words, idf = plain(items), np.ones(decontaminate.TERMS)
+    idf[[int(h % np.uint64(decontaminate.TERMS)) for h in plain([["the", "of", "and"]]).hashes]] = 0.1
+    space = np.zeros((decontaminate.TERMS, decontaminate.RANK), np.float32), idf
+    search = decontaminate._search(space, list(range(len(items))), [words.hashes[a:z] for a, z in zip(words.first, words.first[1:])])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array([" ".join(r) for r in rows])], ["id", "text"])
+    found = {(d, k) for got in search(iter([batch])) for d, k in zip(got.column("doc_id").to_pylist(), got.column("item_id").to_pylist())}
+    assert len(want) > 150 and want <= found and all(d % 2 for d, _ in found)
+
+
 def test_common_subsequence():
     rng = random.Random(9)
     for _ in range(200):
