@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritstone.llm.storage import materialize
+from gritstone.llm.storage import discard, materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -31,7 +31,8 @@ def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
         # after a large star every link points from larger to smaller, so u's smaller neighbours are its v
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).filter("u <> v").distinct()
-        edges = materialize(small, "links")
+        old, edges = edges, materialize(small, "links")
+        discard(old)
         now = _mark(edges)
         if now == seen:
             break

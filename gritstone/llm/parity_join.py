@@ -5,23 +5,25 @@ sizes a <= b link when 100 * intersection >= 80 * union, so that they differ in
 
 1. Sketch. Per size band [L, 2L), shingle hashes are dealt by hash to P parts and XORed there; a shingle of just one of
    two sets changes one part only, so the number of unequal parts never exceeds the symmetric difference. A second
-   sketch of single bits has the same property for the Hamming distance.
+   sketch of single bits, about two or three to a shingle, has the same property for the Hamming distance.
 2. Pigeonhole. With at most D differences, D + 1 filled parts hold an equal one: each class sends its first D + 1
    filled parts in its own band, and in the band below if a set of that band can be small enough. A class with fewer
    filled parts also sends its empty ones.
 3. Candidates share a part. Groups of at most ``SMALL`` classes give all their pairs; larger ones a star around the
-   least, and their members are kept aside.
+   least, and their members are kept aside. Sizes are tested before any bit sketch moves, and bit sketches before texts.
 4. Verification compares whole sets: members travel to their star's centre, at most ``FAN`` of them to one task.
 5. Components by large and small stars. In large groups that still hold several components, each member outside the
-   one that is largest at first asks its nearest members of other components, by bit sketches, compared in blocks; pairs
-   that the Hamming bound lets through are verified, and the components are found again. The number asked grows eightfold
-   a round, and a member goes on asking in a group, whatever its component has become, until it has asked there all that
-   the bound allows. So no link is lost, and no group of copies emits its pairs.
-
-Sets are told apart by 64-bit hashes of their shingles. Defined results: null and wordless texts have no shingles and
-link with nothing; texts of one to four words are one shingle, the whole sequence; a null ``doc_id`` counts as the
-largest id and is given back as null; rows that repeat an id are judged by their own texts and carry the component of
-the smallest id they reach. Empty tables give empty results; other columns are ignored.
+   one that is largest at first asks its nearest members of other components, by bit sketches; pairs that the Hamming
+   bound lets through are verified, and the components are found again. The number asked grows eightfold a round, and a
+   member goes on asking in a group, whatever its component has become, until it has asked there all that the bound
+   allows. So no link is lost, and no group of copies emits its pairs. A group is dealt to tasks in blocks of ``ASKERS``
+   asking members against ``ASKED`` members; a task holds the former and streams the latter.
+
+Sets are told apart by 64-bit hashes of their shingles. A class is named by the hash of its set, never by an id, so null
+and repeated ids do no harm. Defined results: null and wordless texts have no shingles and link with nothing; texts of
+one to four words are one shingle; a null ``doc_id`` counts as the largest and stays null; rows that repeat an id are
+linked by their own texts, and a component's id is the smallest id of its rows; every input row gives one row; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,19 +37,22 @@ from pyspark.sql import functions as F
 
 from gritstone.llm.components import components
 from gritstone.llm.packed import blocks, by_bucket, ragged, schema_of
-from gritstone.llm.storage import bucket_count, materialize, release, ship
+from gritstone.llm.storage import bucket_count, discard, materialize, release, ship
 from gritstone.llm.substring_dedup import NO_ID, ids_of
 from gritstone.llm.words import WORD_BASE, Words, gram_hash, mix, run_hash, slices, trimmed, words_of
 
 SHINGLE = 5
 SMALL = 3
 FAN = 256
-#: Rows of four numbers that may be broadcast.
+#: Rows of five numbers that may be broadcast.
 MOST_BROADCAST = 1 << 20
+#: Asking members and asked ones of a block of a large group.
+ASKERS, ASKED = 1024, 2048
 #: Words of 64 bits in a bit sketch, for sets of fewer shingles than the bound; a sketch folds to any smaller one.
-SKETCH_WORDS = ((400, 16), (1600, 64), (6400, 256), (1 << 62, 1024))
+SKETCH_WORDS = (*((40 << i, 1 << i) for i in range(10)), (1 << 62, 1024))
 ENTRIES = {"sig": np.dtype("i8"), "key": np.dtype("i8")}
-MEMBERS = {"doc": np.dtype("i8"), "doc_key": np.dtype("i8"), "doc_n": np.dtype("i4"), "sketch": np.dtype("u8")}
+#: doc_n is negative where the id is null.
+MEMBERS = {"doc": np.dtype("i8"), "doc_key": np.dtype("i8"), "doc_n": np.dtype("i4"), "text_key": np.dtype("i8"), "sketch": np.dtype("u8")}
 
 
 def shingle_sets(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,7 +176,8 @@ def sketch(n_buckets: int):
                 if len(sig):
                     out = blocks(((sig >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64), {"sig": sig, "key": keys[who]})
                     yield pa.RecordBatch.from_arrays([*out.columns, *[pa.nulls(out.num_rows, pa.binary())] * len(MEMBERS)], ["bucket", *ENTRIES, *MEMBERS])
-                told = {"doc": ids[have], "doc_key": keys[have], "doc_n": size[have].astype(np.int32)}
+                named = np.where(np.asarray(batch.column("id").is_null()), -1, 1)
+                told = {"doc": ids[have], "doc_key": keys[have], "doc_n": (size * named)[have].astype(np.int32), "text_key": np.asarray(batch.column("text_key"))[have]}
                 bucket = ((keys[have].view(np.uint64) >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
                 rank = np.cumsum(size > 0) - 1
                 sketches = ragged(bucket, sketch_words(size[have]), bit_sketches(rank[owner], value, size[have]))
@@ -181,23 +187,24 @@ def sketch(n_buckets: int):
     return run
 
 
-FOUND = "kind int, x bigint, y bigint, n int, sketch binary"
+FOUND = "kind int, x bigint, y bigint, n int, z bigint, sketch binary"
 
 
-def _found(kind: int, x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, sk: np.ndarray | None = None) -> pa.RecordBatch:
+def _found(kind: int, x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, z: np.ndarray | None = None, sk: np.ndarray | None = None) -> pa.RecordBatch:
     count = len(x)
     told = pa.nulls(count, pa.binary())
     if sk is not None:
-        ends = np.concatenate([[0], np.cumsum(sketch_words(n))]) * 8
+        ends = np.concatenate([[0], np.cumsum(sketch_words(np.abs(n)))]) * 8
         told = pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(sk).tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(count, kind, np.int32)), pa.array(x), pa.array(y), pa.array(n, pa.int32()) if n is not None else pa.nulls(count, pa.int32()), told], ["kind", "x", "y", "n", "sketch"])
+    size = pa.nulls(count, pa.int32()) if n is None else pa.array(n.astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(count, kind, np.int32)), pa.array(x), pa.array(y), size, pa.nulls(count, pa.int64()) if z is None else pa.array(z), told], ["kind", "x", "y", "n", "z", "sketch"])
 
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Consumer: kind 0 candidate pairs of classes, kind 1 members (id, class), kind 2 (part, class) of large groups."""
+    """Consumer: kind 0 candidate pairs of classes, kind 1 members (id, class, size, text), kind 2 (part, class, members) of large groups."""
     for _, x in by_bucket(batches, ENTRIES | MEMBERS):
         if len(x["doc"]):
-            yield _found(1, x["doc"], x["doc_key"], x["doc_n"], x["sketch"])
+            yield _found(1, x["doc"], x["doc_key"], x["doc_n"], x["text_key"], x["sketch"])
         if not len(x["sig"]):
             continue
         order = np.lexsort((x["key"], x["sig"]))
@@ -221,11 +228,11 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(both):
             yield _found(0, both[:, 0], both[:, 1])
         if large.any():
-            yield _found(2, sig[large], key[large])
+            yield _found(2, sig[large], key[large], np.repeat(count, count)[large])
 
 
 def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs whose sizes and Hamming distance leave a link possible."""
+    """Candidate pairs whose Hamming distance leaves a link possible."""
     for batch in batches:
         a, b = (np.asarray(batch.column(c)).astype(np.int64) for c in ("na", "nb"))
         one, two = (batch.column(c).to_pylist() for c in ("sa", "sb"))
@@ -234,82 +241,99 @@ def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = np.flatnonzero(least == w)
             both = folded([one[i] for i in rows] + [two[i] for i in rows])
             apart[rows] = np.bitwise_count(both[: len(rows)] ^ both[len(rows) :]).sum(axis=1)
-        keep = (np.minimum(a, b) * 5 >= np.maximum(a, b) * 4) & (apart <= most_apart(a, b))
-        out = batch.filter(pa.array(keep))
+        out = batch.filter(pa.array(apart <= most_apart(a, b)))
         yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], ["a", "b"])
 
 
 ACROSS = "a bigint, b bigint, more boolean"
 
 
-def _likely(bits: np.ndarray, n: np.ndarray, part: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, Hamming distance) of the pairs p[i], q[j] of different components that sizes and sketches let through.
+class Block:
+    """Some members of a large group: their classes, components, sizes and sketches."""
+
+    def __init__(self, rows: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(rows).combine_chunks()
+        self.key, self.part, self.n = (np.asarray(t.column(c)).astype(np.int64) for c in ("key", "component", "n"))
+        self.bits = folded(t.column("sketch").to_pylist())
+
+    def width(self, w: int) -> np.ndarray:
+        return np.bitwise_xor.reduce(self.bits.reshape(len(self.bits), -1, w), axis=1)
+
+
+def _likely(p: Block, q: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, Hamming distance) of the pairs of different components that sizes and sketches let through.
 
     A part of a sketch bounds the distance like the whole, so most pairs go after the first quarter of its words.
     """
-    first = bits.shape[1] // 4
-    small, large = np.minimum(n[p][:, None], n[q][None, :]), np.maximum(n[p][:, None], n[q][None, :])
+    w = min(p.bits.shape[1], q.bits.shape[1])
+    one, two, first = p.width(w), q.width(w), w // 4
+    small, large = np.minimum(p.n[:, None], q.n[None, :]), np.maximum(p.n[:, None], q.n[None, :])
     bound = most_apart(small, large)
-    ok = (part[p][:, None] != part[q][None, :]) & (small * 5 >= large * 4)
+    ok = (p.part[:, None] != q.part[None, :]) & (small * 5 >= large * 4)
     near = np.zeros(ok.shape, np.uint16)
-    for w in range(first):
-        near += np.bitwise_count(bits[p, w][:, None] ^ bits[q, w][None, :])
+    for k in range(first):
+        near += np.bitwise_count(one[:, k][:, None] ^ two[:, k][None, :])
     i, j = np.nonzero(ok & (near <= bound))
-    far = near[i, j].astype(np.int64) + np.bitwise_count(bits[p[i], first:] ^ bits[q[j], first:]).sum(axis=1)
+    far = near[i, j].astype(np.int64) + np.bitwise_count(one[i, first:] ^ two[j, first:]).sum(axis=1)
     keep = far <= bound[i, j]
     return i[keep], j[keep], far[keep]
 
 
-def across(width: int, block: int = 512, first: bool = True):
-    """For each large group and each asking member, in the ``first`` round those outside the group's largest component: up
-    to ``width`` members of other components, nearest by sketch, whose sketches leave a link possible. A row (sig, a, true)
-    says that a has more in that group."""
+def across(width: int):
+    """Blocks of large groups, ordered by (sig, ask, of) with the asking members first: for each of these up to ``width``
+    members of other components, nearest by sketch, whose sketches leave a link possible. A row (sig, a, true) says that
+    a has more in that block."""
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compared(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-            t = pa.Table.from_batches(rows).combine_chunks()
-            rep, part, n = (np.asarray(t.column(c)).astype(np.int64) for c in ("rep", "component", "n"))
-            asks = np.asarray(t.column("asks"))
-            bits = folded(t.column("sketch").to_pylist())
-            order = np.argsort(n, kind="stable")
-            rep, part, n, bits, asks = rep[order], part[order], n[order], bits[order], asks[order]
-            names, sizes = np.unique(part, return_counts=True)
-            asking = np.flatnonzero(asks & (part != names[sizes.argmax()]) if first else asks)
-            out, more = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
-            for at in range(0, len(asking), block):
-                p = asking[at : at + block]
-                low, high = np.searchsorted(n, n[p[0]] * 4 // 5), np.searchsorted(n, n[p[-1]] * 5 // 4, side="right")
-                found = [(i, q[j], far) for c in range(low, high, block) for q in [np.arange(c, min(c + block, high))] for i, j, far in [_likely(bits, n, part, p, q)]]
-                i, j, far = (np.concatenate(x) for x in zip(*found))
-                nearest = np.lexsort((rep[j], far, i))
-                i, j = i[nearest], j[nearest]
+        now, held, asking = None, [], None
+        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        told, left = [], []
+
+        def nearest() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """What was found so far for the asking members, the nearest ``width`` and one more of each."""
+            i, far, key = (np.concatenate(x) for x in zip(*best))
+            order = np.lexsort((key, far, i))
+            i, far, key = i[order], far[order], key[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) <= width
+            return i[keep], far[keep], key[keep]
+
+        def end() -> None:
+            if best:
+                i, _, key = nearest()
                 rank = np.arange(len(i)) - np.searchsorted(i, i)
-                more.append(rep[p][i[rank == width]])
-                i, j = i[rank < width], j[rank < width]
-                out.append(np.column_stack([np.minimum(rep[p][i], rep[j]), np.maximum(rep[p][i], rep[j])]))
-            return np.concatenate(out), np.concatenate(more)
+                more = asking.key[i[rank == width]]
+                left.append(np.column_stack([np.full(len(more), now[0]), more]))
+                i, key = asking.key[i[rank < width]], key[rank < width]
+                told.append(np.column_stack([np.minimum(i, key), np.maximum(i, key)]))
+                best.clear()
 
-        now, held, told, left = None, [], np.zeros((0, 2), np.int64), [np.zeros((0, 2), np.int64)]
         for batch in batches:
-            sig = np.asarray(batch.column("sig"))
-            cuts = [0, *(np.flatnonzero(np.diff(sig)) + 1).tolist(), batch.num_rows]
+            keys = np.column_stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("sig", "ask", "of", "asks")])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
             for a, z in zip(cuts, cuts[1:]):
                 if a == z:
                     continue
-                if sig[a] != now:
-                    if held:
-                        both, more = compared(held)
-                        told = np.unique(np.concatenate([told, both]), axis=0)
-                        left.append(np.column_stack([np.full(len(more), now), more]))
-                    now, held = sig[a], []
-                held.append(batch.slice(a, z - a))
-        if held:
-            both, more = compared(held)
-            told = np.unique(np.concatenate([told, both]), axis=0)
-            left.append(np.column_stack([np.full(len(more), now), more]))
-        both = np.concatenate([told, *left])
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.arange(len(both)) >= len(told))], ["a", "b", "more"])
+                if (at := tuple(keys[a, :3])) != now:
+                    end()
+                    now, held, asking = at, [], None
+                part = batch.slice(a, z - a)
+                if keys[a, 3]:
+                    held.append(part)
+                    continue
+                if held:
+                    asking, held = Block(held), []
+                if asking is not None:
+                    other = Block([part])
+                    i, j, far = _likely(asking, other)
+                    if len(i):
+                        best.append((i, far, other.key[j]))
+                    if sum(len(x[0]) for x in best) > 8 * ASKERS * (width + 1):
+                        best[:] = [nearest()]
+        end()
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *told]), axis=0)
+        both = np.concatenate([pairs, *left])
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.arange(len(both)) >= len(pairs))], ["a", "b", "more"])
 
     return run
 
@@ -323,90 +347,117 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, end = set_keys(owner, value, size), np.cumsum(size)
             want = np.asarray(batch.column("key"))
             at = list(zip(batch.column("centre").to_pylist(), batch.column("fan").to_pylist()))
-            rep = batch.column("rep").to_pylist()
             u, v = [], []
             for i, group in enumerate(at):
                 if group != now:
                     now, centre = group, None
                 if keys[i] != want[i]:
-                    continue  # another text under the same id
+                    continue  # another text with the same id and text hash
                 mine = value[end[i] - size[i] : end[i]]
-                if rep[i] == group[0]:
+                if want[i] == group[0]:
                     centre = mine
                 elif centre is not None and len(mine):
                     spot = np.minimum(np.searchsorted(centre, mine), len(centre) - 1)
                     shared = int((centre[spot] == mine).sum())
                     if 100 * shared >= 80 * (len(centre) + len(mine) - shared):
                         u.append(group[0])
-                        v.append(rep[i])
+                        v.append(int(want[i]))
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
 def verify(source: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class representatives that link, by whole sets; a is the centre."""
+    """The pairs (a, b) of classes that link, by whole sets; a is the centre. A table in the shared folder."""
     degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
-    fans = pairs.join(degree, "a").select(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.ceil(F.col("deg") / FAN)).cast("int").alias("fan"), F.col("b").alias("rep"))
-    needs = fans.unionAll(fans.select("centre", "fan", F.col("centre").alias("rep")).distinct()).join(classes.select("rep", "key"), "rep")
+    fans = pairs.join(degree, "a").select(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.ceil(F.col("deg") / FAN)).cast("int").alias("fan"), F.col("b").alias("key"))
+    needs = fans.unionAll(fans.select("centre", "fan", F.col("centre").alias("key")).distinct()).join(classes.select("key", F.col("first.id").alias("of"), "first.text_key"), "key")
     needs = materialize(needs, "needs")
-    texts = source.select(F.coalesce("id", F.lit(int(NO_ID))).alias("rep"), "text")
-    # under the bound only the texts that are needed move, once; beyond it all take a shuffle by id first
-    texts = texts.join(F.broadcast(needs) if needs.count() <= MOST_BROADCAST else needs, "rep")
+    texts = source.select(F.coalesce("id", F.lit(int(NO_ID))).alias("of"), "text_key", "text")
+    # under the bound only the texts that are needed move, once; beyond it all take a shuffle by id and hash first
+    texts = texts.join(F.broadcast(needs) if needs.count() <= MOST_BROADCAST else needs, ["of", "text_key"])
     parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts.select("centre", "fan", "rep", "key", "text").repartition(parts, "centre", "fan")
-    return dealt.sortWithinPartitions("centre", "fan", (F.col("rep") != F.col("centre"))).mapInArrow(compare, "u bigint, v bigint")
+    dealt = texts.select("centre", "fan", "key", "text").repartition(parts, "centre", "fan")
+    links = dealt.sortWithinPartitions("centre", "fan", (F.col("key") != F.col("centre"))).mapInArrow(compare, "u bigint, v bigint")
+    links = materialize(links, "links")
+    discard(needs)
+    return links
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): one row per document, with the smallest id it reaches by links."""
+def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_key, n_shingles, component_id, stays), a table in the shared folder: a row for each document, with the
+    xxhash64 of its text, and whether it is the first of its component, by id and then by text_key."""
     ship(docs.sparkSession)
     spark = docs.sparkSession
     n = bucket_count(docs, per_partition=8)
-    source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_key"))
     dealt = source.mapInArrow(sketch(n), schema_of(ENTRIES | MEMBERS)).repartition(max(n // 8, 1), "bucket").sortWithinPartitions("bucket")
     found = materialize(dealt.mapInArrow(meet, FOUND), "parity")
     del dealt
     release(spark)
-    members = found.filter("kind = 1").select(F.col("x").alias("id"), F.col("y").alias("key"), "n", "sketch")
-    classes = materialize(members.groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "classes")
-    named = lambda c, r: classes.select(F.col("key").alias(c), F.col("rep").alias(r), F.col("n").alias(f"n{r}"), F.col("sketch").alias(f"s{r}"))
-    near = found.filter("kind = 0").select("x", "y").distinct().join(named("x", "a"), "x").join(named("y", "b"), "y").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(prune, "a bigint, b bigint")
-    pairs = materialize(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs")
-    links = materialize(verify(source, pairs, classes), "links")
+    members = found.filter("kind = 1").select(F.struct((F.col("n") < 0).alias("nameless"), F.col("x").alias("id"), F.col("z").alias("text_key")).alias("first"), F.col("y").alias("key"), F.abs("n").alias("n"), "sketch")
+    classes = materialize(members.groupBy("key").agg(F.min("first").alias("first"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "classes")
+    sized = lambda c: classes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"))
+    seen = lambda c: classes.select(F.col("key").alias(c), F.col("sketch").alias(f"s{c}"))
+    near = found.filter("kind = 0").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    near = near.join(sized("a"), "a").join(sized("b"), "b").filter("5 * least(na, nb) >= 4 * greatest(na, nb)").join(seen("a"), "a").join(seen("b"), "b")
+    tested = materialize(near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(prune, "a bigint, b bigint"), "pairs")
+    links = verify(source, tested, classes)
     release(spark)
     joined = components(links)
-    release(spark)
-    apart = found.filter("kind = 2").select(F.col("x").alias("sig"), F.col("y").alias("key")).join(classes.select("key", "rep"), "key").select("sig", "rep")
-    apart = materialize(apart, "large-groups")
-    tested, width, asking = pairs.select("a", "b"), 4, None
+    # the size of a group is known where it is found, so rows of a large one can be salted in every join by group
+    salts = lambda many: F.ceil(F.col(many) / ASKED).cast("int")
+    apart = found.filter("kind = 2").select(F.col("x").alias("sig"), F.col("y").alias("key"), F.col("n").alias("many"))
+    width, asking, spent = 4, None, []
     while True:
-        if asking is not None:  # later rounds: only the groups of members that had more to ask
-            apart = materialize(apart.join(asking.select("sig").distinct(), "sig", "left_semi"), "large-groups")
-        large = apart.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
-        large = materialize(large if asking is None else large.join(asking.withColumn("asks", F.lit(True)), ["sig", "rep"], "left"), "large-groups")
-        large = large.withColumn("asks", F.lit(True) if asking is None else F.coalesce("asks", F.lit(False)))
-        mixed = large.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or("asks").alias("any")).filter("low <> high AND any").select("sig")
-        rest = materialize(large.join(mixed, "sig"), "mixed-groups")
+        large = apart.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        large = large.withColumn("asks", F.lit(True)) if asking is None else large.drop("asks").join(asking, ["sig", "key"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        large = materialize(large.withColumn("salt", F.pmod(F.xxhash64("key"), salts("many")).cast("int")), "large-groups")
+        each = large.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("asks").cast("long")).alias("asking"), F.max("many").alias("many"))
+        groups = each.groupBy("sig").agg(F.sum("c").alias("c"), F.max("many").alias("many"), F.sum("asking").alias("asking"), F.count(F.lit(1)).alias("components"), F.max(F.struct("c", "component")).alias("largest"))
+        groups = groups.filter("components > 1 AND asking > 0").withColumn("asking", F.col("c") - F.col("largest.c") if asking is None else F.col("asking"))
+        groups = groups.select("sig", F.explode(F.sequence(F.lit(0), salts("many") - 1)).alias("salt"), "asking", F.col("largest.component").alias("largest"))
+        rest = large.join(groups, ["sig", "salt"])
+        rest = rest.withColumn("asks", F.col("component") != F.col("largest")) if asking is None else rest
+        rest = materialize(rest.select("sig", "key", "component", "many", "asks", "asking"), "mixed-groups")
+        discard(large, *spent)
+        spent = [rest]
         if rest.isEmpty():
             break
-        sketches = classes.join(rest.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "sketch")
-        dealt = rest.join(sketches, "rep").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sig").sortWithinPartitions("sig")
-        asked = materialize(dealt.mapInArrow(across(width, first=asking is None), ACROSS), "asked")
+        lines = F.ceil(F.col("asking") / ASKERS).cast("int")
+        shown = rest.join(classes.select("key", "n", "sketch"), "key")
+        every = shown.select("sig", F.explode(F.sequence(F.lit(0), lines - 1)).alias("ask"), F.pmod(F.xxhash64("key"), salts("many")).cast("int").alias("of"), F.lit(False).alias("asks"), "key", "component", "n", "sketch")
+        askers = shown.filter("asks").select("sig", F.pmod(F.xxhash64("key"), lines).cast("int").alias("ask"), F.explode(F.sequence(F.lit(0), salts("many") - 1)).alias("of"), "asks", "key", "component", "n", "sketch")
+        dealt = every.unionAll(askers).repartition(parts, "sig", "ask", "of").sortWithinPartitions("sig", "ask", "of", F.desc("asks"))
+        asked = materialize(dealt.mapInArrow(across(width), ACROSS), "asked")
         late = materialize(asked.filter("NOT more").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "late")
-        asking = asked.filter("more").select(F.col("a").alias("sig"), F.col("b").alias("rep"))
+        asking = materialize(asked.filter("more").select(F.col("a").alias("sig"), F.col("b").alias("key")).distinct().withColumn("asks", F.lit(True)), "asking")
+        discard(asked)
+        spent.append(asking)
         if not late.isEmpty():
-            links = links.unionAll(materialize(verify(source, late, classes), "links"))
+            links = links.unionAll(verify(source, late, classes))
             joined = components(links)
             tested = tested.unionAll(late)
         release(spark)
         if asking.isEmpty():
             break
-        width *= 8
-    joined = joined.withColumnRenamed("node", "rep")
-    of = members.select("id", "key", "n").join(classes.select("key", "rep"), "key").join(joined, "rep", "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    without = source.filter(F.coalesce(F.regexp_replace(F.col("text"), r"[\x20\x09-\x0D]+", ""), F.lit("")) == "").select(F.coalesce("id", F.lit(int(NO_ID))).alias("id"), F.lit(0).cast("long").alias("n_shingles"), F.coalesce("id", F.lit(int(NO_ID))).alias("component_id"))
-    given = lambda c: F.when(F.col(c) != F.lit(int(NO_ID)), F.col(c)).alias(c)
-    return of.unionAll(without).select(given("id").alias("doc_id"), "n_shingles", given("component_id"))
+        apart, width = rest.select("sig", "key", "many"), width * 8
+    joined = joined.withColumnRenamed("node", "key")
+    rows = members.select("first.*", "key", "n").join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    first = rows.groupBy("component").agg(F.min(F.struct("nameless", "id", "text_key")).alias("first"))
+    given = lambda of: F.when(~F.col(f"{of}nameless"), F.col(f"{of}id"))
+    first = F.broadcast(first) if first.count() <= MOST_BROADCAST else first
+    rows = rows.join(first, "component").select(given("").alias("id"), "text_key", F.col("n").cast("long").alias("n_shingles"), given("first.").alias("component_id"), (F.struct("nameless", "id", "text_key") == F.col("first")).alias("stays"))
+    without = source.filter(F.coalesce(F.regexp_replace(F.col("text"), r"[\x20\x09-\x0D]+", ""), F.lit("")) == "").select("id", "text_key", F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("stays"))
+    out = materialize(rows.unionAll(without), "linked")
+    discard(found, classes, *spent)
+    release(spark)
+    return out
+
+
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id): one row per document, with the smallest id it reaches by links."""
+    return linked_rows(docs, id_col, text_col).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 ORACLE_SQL = r"""

@@ -41,7 +41,18 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.options(**({"compression": "lz4"} | options)).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._gritstone_scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing reads it any more; frames that it did not return are left alone."""
+    for df in tables:
+        if place := getattr(df, "_gritstone_scratch", None) if "_gritstone_scratch" in df.__dict__ else None:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -377,6 +377,14 @@ def test_pipeline(spark):
     assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in docs.collect())
 
 
+def test_near_duplicates_take_no_other_text_along(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, one), (None, one), (5, one), (5, two), (7, None), (7, None), (None, three), (None, three), (None, ""), (2**63 - 1, two)]
+    docs = frame(spark, [(d, t, "en", "s", 0, "", 0, "", 0, 0) for d, t in rows])
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SMALL)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, one), (5, two), (7, None), (None, three), (None, "")])
+
+
 def test_pipeline_stages_take_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         for docs in (materialize(frame(spark), "odd"), empty(spark)):

@@ -176,7 +176,7 @@ def test_links_when_the_largest_component_changes(spark, monkeypatch):
                 yield batch
                 if 0 in batch.column("x").to_pylist():
                     yield parity_join._found(0, keys[near[:, 0]], keys[near[:, 1]])
-                    yield parity_join._found(2, np.ones(len(keys), np.int64), keys)
+                    yield parity_join._found(2, np.ones(len(keys), np.int64), keys, np.full(len(keys), len(keys)))
 
     monkeypatch.setattr(parity_join, "meet", one_group)
     assert {(r.doc_id, r.component_id) for r in parity_join.link_documents(frame(spark, docs)).collect()} == {(d[0], 0) for d in docs}
@@ -195,7 +195,8 @@ def test_linked_sets_share_a_signature(common, a, b, seed):
     who, sig = parity_join.signatures(owner, value, np.array([len(one), len(two)]), np.array([True, True]))
     assert set(sig[who == 0]) & set(sig[who == 1]) or parity_join.set_keys(owner, value, np.array([len(one), len(two)]))[0] == parity_join.set_keys(owner, value, np.array([len(one), len(two)]))[1]
     flat = parity_join.bit_sketches(owner, value, np.array([len(one), len(two)]))
-    bits = parity_join.folded([flat[:16].tobytes(), flat[16:].tobytes()])
+    first = int(parity_join.sketch_words(np.array([len(one)]))[0])
+    bits = parity_join.folded([flat[:first].tobytes(), flat[first:].tobytes()])
     assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(one) + len(two) - 2 * common
 
 
@@ -204,7 +205,24 @@ def test_sketches_fold():
     values = np.sort(rng.integers(0, 2**63, 3000, dtype=np.uint64))
     large = parity_join.bit_sketches(np.zeros(3000, int), values, np.array([3000]))
     odd = (np.bincount((parity_join.mix(values ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(1024)).astype(int), minlength=1024) & 1).astype(np.uint8)
-    assert len(large) == 256 and (parity_join.folded([large.tobytes(), large[:16].tobytes()])[0] == np.packbits(odd).view(np.uint64)).all()
+    assert len(large) == 128 and (parity_join.folded([large.tobytes(), large[:16].tobytes()])[0] == np.packbits(odd).view(np.uint64)).all()
+
+
+def test_links_in_blocks(spark, monkeypatch):
+    """Large groups dealt in blocks of a few members give the same components."""
+    monkeypatch.setattr(parity_join, "ASKERS", 3)
+    monkeypatch.setattr(parity_join, "ASKED", 5)
+    test_links_in_large_groups(spark)
+
+
+def test_links_of_null_and_repeated_ids(spark):
+    """A null id, the largest id, and an id with a copy and an unlinked text."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, one), (None, one), (5, one), (5, two), (NO_ID, three), (None, two + " end")]
+    docs = [(d, t, "en", "s", 0, "", 0, "", 0, 0) for d, t in rows]
+    got = parity_join.linked_rows(frame(spark, docs))
+    told = Counter((r.id, r.n_shingles, r.component_id, r.stays) for r in got.collect())
+    assert told == Counter([(1, 36, 1, True), (None, 36, 1, False), (5, 36, 1, False), (5, 36, 5, True), (NO_ID, 36, NO_ID, True), (None, 37, 5, False)])
 
 
 SECRETS = [
