@@ -5,8 +5,9 @@ stage's ``docs``. All but the last return the columns of documents.
 
 1. ``quality``: documents that the line field rejects go. It is trained on the labelled documents among its input that
    are not held out.
-2. ``near_duplicates``: of each group of linked documents the one with the smallest id stays. Texts without words link
-   with nothing and stay; of rows that repeat an id and a text, one stays.
+2. ``near_duplicates``: of each group of linked documents the one with the smallest id stays (null ids count as the
+   largest; of rows that share it, the one with the least hash of its text). Texts without words link with nothing and
+   stay; of rows that repeat an id and a text, one stays; an id's other texts do not go with one that is a copy.
 3. ``decontaminate``: documents that hold a benchmark item go.
 4. ``mix``: sources are mixed to their target weights; a document comes as often as the mix takes it, in training order.
 5. ``shard``: the mixture is appended to a new shard table and compacted; the result is read back through the committed
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gritstone.llm import decontaminate, mixing, parity_join, quality_crf, sharding
-from gritstone.llm.storage import materialize, release
+from gritstone.llm.storage import discard, materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,15 +29,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = parity_join.link_documents(docs)
-    gone = materialize(linked.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("gone")).distinct(), "duplicates")
-    release(spark)
+    linked = parity_join.linked_rows(docs)
+    gone = linked.filter("NOT stays").select(F.col("id").isNull().alias("_g0"), F.coalesce("id", F.lit(0)).alias("_g1"), F.col("text_key").alias("_g2")).distinct()
     names = [f"_c{i}" for i in range(len(docs.columns))]  # so that no column of docs can clash with the ones made here
-    doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
-    plain = docs.toDF(*names)
-    kept = plain.join(gone, plain[doc_id] == gone["gone"], "left_anti").withColumn("hash", F.xxhash64(text))
-    marked = kept.withColumn("copy", F.row_number().over(Window.partitionBy(doc_id, "hash").orderBy("hash")))
-    return marked.filter("copy = 1").select(*names).toDF(*docs.columns)
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    marked = docs.toDF(*names).select("*", doc_id.isNull().alias("_k0"), F.coalesce(doc_id.cast("long"), F.lit(0)).alias("_k1"), F.xxhash64(text).alias("_k2"))
+    # a row goes by its id and its text, so null and repeated ids take no other text along
+    kept = marked.join(gone, [F.col(f"_k{i}") == F.col(f"_g{i}") for i in range(3)], "left_anti")
+    kept = kept.withColumn("_copy", F.row_number().over(Window.partitionBy("_k0", "_k1", "_k2").orderBy("_k2")))
+    return kept.filter("_copy = 1").select(*names).toDF(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +61,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return docs
