@@ -1,18 +1,20 @@
 """Removal of long repeated word spans by de Bruijn compaction.
 
-The edges of the graph are the corpus's runs of ``window`` words (20). Consecutive edges of a document that share
-their least ``k``-gram (by hash; the leftmost on ties) form one nonbranching piece of its path, as in published
-minimiser-partitioned compactions of de Bruijn graphs. Two equal edges share that least k-gram, so all edges that can
-be equal meet in the bucket of their k-gram:
-
-1. each slice of text is cut into pieces; equal pieces of a slice collapse to the first one;
-2. pieces are exchanged by k-gram. A k-gram that occurs once is unrepeated and goes. Elsewhere pieces are opened into
-   edges, and an edge's first source (smallest document id, then smallest start) decides: every other occurrence is
-   a repeat;
-3. adjacent repeats compact to spans, which are joined to the documents, and the words that spans cover are removed.
-
-Edges compare by 104 bits of hash (64 of the k-gram, 40 of the words). A group of thousands of copies sends one piece
-for each slice, so nothing grows with the square of a group.
+The edges of the graph are the corpus's runs of ``window`` words (20); an edge's key is 64 bits: 24 of the hash of its
+least ``k``-gram (its minimiser, leftmost on ties) and 40 of the hash of its words.
+
+1. Edges. Each slice of text is cut into pieces, runs of edges with one minimiser, which say what precedes and follows
+   them; pieces are exchanged by minimiser, so equal edges meet. Edges that occur once go. An edge's source is its
+   smallest (document id, start); an edge has a sole neighbour where all its occurrences are preceded (followed) alike.
+   Edges of a piece that are each other's sole neighbours, as often as each other, fuse to a fragment.
+   A minimiser that is too common (``HOT``) is not exchanged so: its edges are Spark rows, counted with map-side
+   aggregates, and joined with their counts; the most frequent of these by a broadcast of bounded size.
+2. Compaction. Fragments join the fragments that follow them at their document's coordinates; where both ends are each
+   other's sole neighbours they are one nonbranching path. A path occurs as a whole wherever it occurs.
+3. Verification. Path occurrences join the texts, and each is read at its source coordinates: the SHA-256 of its words
+   (64 bits of it, beside the 64 of the key) must be the same for all occurrences. If hashes made different words one edge, the paths concerned are taken apart,
+   and their windows compare by SHA-256 one by one. So equal keys alone never remove a word.
+4. The words that late windows cover are removed.
 
 Defined results: a null text has no words; texts shorter than the window keep all words; a null ``doc_id`` counts as
 the largest; rows that repeat an id *and* text get equal results, as neither starts earlier than the other; rows that
@@ -22,22 +24,30 @@ besides the id and the text are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritstone.llm.packed import blocks, by_bucket, ragged, schema_of
-from gritstone.llm.storage import bucket_count, ship
+from gritstone.llm.storage import bucket_count, discard, materialize, release, ship
 from gritstone.llm.words import Words, gram_hash, mix, slices, trimmed, words_of
 
 WINDOW = 20
 ANCHOR = 8
 NO_ID = np.iinfo(np.int64).max
-PIECES = {"anchor": np.dtype("u8"), "doc": np.dtype("i8"), "mark": np.dtype("u2"), "at": np.dtype("u4"), "n": np.dtype("u1"), "edges": np.dtype("u1")}
-SPANS = {"s_doc": np.dtype("i8"), "s_mark": np.dtype("u2"), "s_at": np.dtype("u4"), "s_n": np.dtype("u4")}
+#: Occurrences of minimisers in one of 2**20 cells from which the cell's edges are Spark rows: at least this many, and
+#: four times the mean of a cell. A bucket so holds no more than that of any minimiser.
+HOT = 1 << 18
+CELLS = 20
+#: An edge among those that occurs more often joins its count by broadcast; there are at most 1/HEAVY of the rows of them.
+HEAVY = 1 << 14
+PIECES = {"anchor": np.dtype("u4"), "doc": np.dtype("i8"), "mark": np.dtype("i8"), "at": np.dtype("i4"), "n": np.dtype("u1"), "before": np.dtype("u4"), "after": np.dtype("u4"), "edges": np.dtype("u1")}
+FRAGMENTS = "doc bigint, mark bigint, at int, n int, key bigint, many bigint, late boolean, open_left boolean, open_right boolean"
+EDGES = "doc bigint, mark bigint, at int, key bigint, before bigint, after bigint"
 
 
 def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -51,203 +61,300 @@ def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def pieces_of(words: Words, window: int = WINDOW, k: int = ANCHOR) -> dict[str, np.ndarray]:
-    """The pieces of a slice: anchor hash, first edge (word index), number of edges, and every edge's hash."""
+def keys_of(anchor: np.ndarray, edge: np.ndarray, bits: int = 40) -> np.ndarray:
+    """24 bits of the minimiser's hash and 40 of the words'; fewer ``bits`` put different words under one key, as tests do."""
+    return (anchor << np.uint64(40)) | (edge & np.uint64((1 << bits) - 1))
+
+
+def pieces_of(words: Words, bits: int = 40, window: int = WINDOW, k: int = ANCHOR) -> dict[str, np.ndarray]:
+    """The pieces of a slice: minimiser, first edge (word index), number of edges, and for each edge its key."""
     edge, is_edge = gram_hash(words, window)
     gram, _ = gram_hash(words, k)
     starts = np.flatnonzero(is_edge)
+    none = np.zeros(0, np.uint64)
     if not len(starts):
-        return {"anchor": np.zeros(0, np.uint64), "first": starts, "n": starts, "edge": np.zeros(0, np.uint64)}
+        return {"anchor": none, "first": starts, "n": starts, "key": none, "begins": starts, "before": none, "after": none}
     least = leftmost_least(gram, window - k + 1)[starts]
-    new = np.ones(len(starts), bool)
-    new[1:] = (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)
+    follows = np.append(False, starts[1:] == starts[:-1] + 1)
+    new = ~follows
+    new[1:] |= least[1:] != least[:-1]
     begins = np.flatnonzero(new)
-    return {"anchor": gram[least[begins]], "first": starts[begins], "n": np.diff(np.append(begins, len(starts))), "edge": edge[starts], "begins": begins}
-
-
-def spans_of(doc: np.ndarray, mark: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Repeats (first edge, number of edges) compacted: adjacent and overlapping ones of a document become one."""
-    if not len(doc):
-        return doc, mark, at, n
-    order = np.lexsort((at, mark, doc))
-    doc, mark, at, end = doc[order], mark[order], at[order].astype(np.int64), at[order].astype(np.int64) + n[order]
-    group = np.cumsum(np.append(0, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])))
-    far = np.maximum.accumulate(end + group * (1 << 33)) - group * (1 << 33)  # within a document: the end so far
-    new = np.ones(len(doc), bool)
-    new[1:] = (group[1:] != group[:-1]) | (at[1:] > far[:-1])
-    begins = np.flatnonzero(new)
-    return doc[begins], mark[begins], at[begins].astype(np.uint32), (np.maximum.reduceat(far, begins) - at[begins]).astype(np.uint32)
-
-
-def home(doc: np.ndarray, n: int) -> np.ndarray:
-    """The bucket of a document, as ``home_column`` has it."""
-    return np.mod(doc ^ (doc >> 17), n)
-
-
-def home_column(doc: F.Column, n: int) -> F.Column:
-    doc = F.coalesce(doc.cast("long"), F.lit(NO_ID))
-    return F.pmod(doc.bitwiseXOR(F.shiftright(doc, 17)), F.lit(n).cast("long")).cast("int")
-
-
-def text_marks(words: Words) -> np.ndarray:
-    """16 bits of each text's hash: they tell texts under one id apart."""
-    sums = np.zeros(len(words.hashes) + 1, np.uint64)
-    np.cumsum(words.hashes, out=sums[1:])
-    counts = words.counts().astype(np.uint64)
-    return (mix(sums[words.first[1:]] - sums[words.first[:-1]] + counts) & np.uint64(0xFFFF)).astype(np.uint16)
+    anchor = gram[least] >> np.uint64(40)
+    key = keys_of(anchor, edge[starts], bits)
+    near = mix(key) & np.uint64(0xFFFFFFFF) | np.uint64(1)  # 0 is the end of a document
+    before = np.where(follows, np.append(np.uint64(0), near[:-1]), np.uint64(0))
+    after = np.append(np.where(follows[1:], near[1:], np.uint64(0)), np.uint64(0))
+    return {"anchor": anchor[begins], "first": starts[begins], "n": np.diff(np.append(begins, len(starts))), "key": key, "begins": begins, "before": before, "after": after}
 
 
 def ids_of(column: pa.Array) -> np.ndarray:
     return np.asarray(column.cast(pa.int64()).fill_null(int(NO_ID)))
 
 
-def cut(n_buckets: int):
-    """Producer: the pieces of each slice by anchor; repeats inside the slice go along as finished spans."""
+def _inner(n: np.ndarray) -> np.ndarray:
+    """0 .. n[0]-1, 0 .. n[1]-1 and so on."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def crowded(least: int):
+    """How often the minimisers of each cell occur, and all of them together (cell -1); cells met under ``least`` times in a
+    task are left out."""
 
-    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELLS, np.int64)
         for whole in batches:
             for batch in slices(whole, "text"):
-                words = words_of(batch.column("text"))
-                p = pieces_of(words)
-                if not len(p["anchor"]):
-                    continue
-                ids, marks = ids_of(batch.column("id")), text_marks(words)
-                owner = np.searchsorted(words.first, p["first"], side="right") - 1
-                doc, mark, at = ids[owner], marks[owner], (p["first"] - words.first[owner]).astype(np.uint32)
-                ends = p["begins"] + p["n"] - 1
-                same = mix(p["edge"][p["begins"]] ^ mix(p["edge"][ends] + p["n"].astype(np.uint64)))
-                order = np.lexsort((at, doc, same))
-                lead = np.ones(len(order), bool)
-                lead[1:] = same[order][1:] != same[order][:-1]
-                source = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
-                late = ~lead & ((doc[order] != doc[source]) | (at[order] != at[source]))
-                keep, later = np.sort(order[lead]), order[late]
-                n = p["n"][keep]
-                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                codes = p["edge"][np.repeat(p["begins"][keep], n) + inner]
-                five = codes.view(np.uint8).reshape(-1, 8)[:, :5]
-                bucket = ((p["anchor"][keep] >> np.uint64(24)) % np.uint64(n_buckets)).astype(np.int64)
-                # edges have a length of their own for each piece
-                batch_out = blocks(bucket, {"anchor": p["anchor"][keep], "doc": doc[keep], "mark": mark[keep], "at": at[keep], "n": n.astype(np.uint8)})
-                edges = ragged(bucket, n, five)
-                none = pa.nulls(batch_out.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch_out.columns, edges, none, none, none, none], ["bucket", *PIECES, *SPANS])
-                if len(later):
-                    s = spans_of(doc[later], mark[later], at[later], p["n"][later])
-                    out = blocks((home(s[0], n_buckets)).astype(np.int64), dict(zip(SPANS, s)))
-                    none = pa.nulls(out.num_rows, pa.binary())
-                    yield pa.RecordBatch.from_arrays([out.column(0), *[none] * len(PIECES), *out.columns[1:]], ["bucket", *PIECES, *SPANS])
+                total += np.bincount((pieces_of(words_of(batch.column("text")))["anchor"] >> np.uint64(24 - CELLS)).astype(np.int64), minlength=1 << CELLS)
+        cells = np.flatnonzero(total >= least)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, cells)), pa.array(np.append(total.sum(), total[cells]))], ["cell", "n"])
 
     return run
 
 
-def repeats(anchor: np.ndarray, doc: np.ndarray, mark: np.ndarray, at: np.ndarray, n: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Spans of the edges of one bucket that have an earlier source."""
-    _, which, many = np.unique(anchor, return_inverse=True, return_counts=True)
-    open_ = many[which] > 1
-    n = n.astype(np.int64)
-    begin = np.cumsum(n) - n
-    piece = np.flatnonzero(open_)
-    m = n[piece]
-    inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-    index = np.repeat(begin[piece], m) + inner
-    wide = np.zeros((len(index), 8), np.uint8)
-    wide[:, :5] = edges.reshape(-1, 5)[index]
-    key = mix(wide.view(np.uint64).ravel() ^ anchor[np.repeat(piece, m)])
-    e_doc, e_mark, e_at = doc[np.repeat(piece, m)], mark[np.repeat(piece, m)], at[np.repeat(piece, m)] + inner.astype(np.uint32)
-    order = np.lexsort((e_at, e_doc, key))
-    key, e_doc, e_mark, e_at = key[order], e_doc[order], e_mark[order], e_at[order]
-    lead = np.ones(len(key), bool)
-    lead[1:] = key[1:] != key[:-1]
-    source = np.maximum.accumulate(np.where(lead, np.arange(len(key)), 0))
-    late = (e_doc != e_doc[source]) | (e_at != e_at[source])
-    return spans_of(e_doc[late], e_mark[late], e_at[late], np.ones(int(late.sum()), np.int64))
-
-
-def glue(n_homes: int, hold: int = 1 << 20):
-    """Consumer of pieces: the repeats of each bucket, as spans on their way to their documents."""
+def hot_cells(source: DataFrame, least: int = HOT) -> np.ndarray:
+    """Cells of minimisers that are too common for one bucket: at most a quarter of all, most often none."""
+    counts = source.mapInArrow(crowded(max(1, least >> 12)), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "cells")
+    total = counts.filter("cell = -1").first()
+    most = max(least, 4 * (total["n"] if total else 0) >> CELLS)
+    hot = np.array(sorted(r["cell"] for r in counts.filter((F.col("cell") >= 0) & (F.col("n") >= most)).collect()), np.int64)
+    discard(counts)
+    return hot
+
+
+def _is_hot(anchor: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    return np.isin((anchor >> np.uint64(24 - CELLS)).astype(np.int64), hot)
+
+
+def cut(n_buckets: int, hot: np.ndarray, bits: int = 40):
+    """Producer: the pieces of each slice by minimiser, but for those of hot cells."""
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def out() -> pa.RecordBatch:
-            s = spans_of(*[np.concatenate(x) for x in zip(*held)])
-            held.clear()
-            return blocks(home(s[0], n_homes), dict(zip(SPANS, s)))
-
-        for _, x in by_bucket(batches, PIECES | SPANS):
-            if len(x["anchor"]):
-                held.append(repeats(*[x[c] for c in PIECES]))
-            if len(x["s_doc"]):
-                held.append(tuple(x[c] for c in SPANS))
-            if sum(len(h[0]) for h in held) >= hold:
-                yield out()
-        if held:
-            yield out()
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                words = words_of(batch.column("text"))
+                p = pieces_of(words, bits)
+                keep = np.flatnonzero(~_is_hot(p["anchor"], hot))
+                if not len(keep):
+                    continue
+                first, n, begins = p["first"][keep], p["n"][keep], p["begins"][keep]
+                owner = np.searchsorted(words.first, first, side="right") - 1
+                ends = begins + n - 1
+                five = p["key"][np.repeat(begins, n) + _inner(n)].view(np.uint8).reshape(-1, 8)[:, :5]
+                bucket = (mix(p["anchor"][keep]) % np.uint64(n_buckets)).astype(np.int64)
+                told = {
+                    "anchor": p["anchor"][keep].astype(np.uint32),
+                    "doc": ids_of(batch.column("id"))[owner],
+                    "mark": np.asarray(batch.column("mark"))[owner],
+                    "at": (first - words.first[owner]).astype(np.int32),
+                    "n": n.astype(np.uint8),
+                    "before": p["before"][begins].astype(np.uint32),
+                    "after": p["after"][ends].astype(np.uint32),
+                }
+                out = blocks(bucket, told)
+                yield pa.RecordBatch.from_arrays([*out.columns, ragged(bucket, n, five)], ["bucket", *PIECES])
 
     return run
 
 
-def remove(window: int = WINDOW):
-    """Consumer of spans and texts, by home bucket, spans first: the kept words of each text."""
-    names = ["doc_id", "n_words", "n_removed", "kept_text"]
+def hot_edges(hot: np.ndarray, bits: int = 40):
+    """The edges of hot cells as rows."""
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, ready = None, [], None
-        for batch in batches:
-            bucket = np.asarray(batch.column("bucket"))
-            kind = np.asarray(batch.column("kind"))
-            cuts = [0, *(np.flatnonzero((np.diff(bucket) != 0) | (np.diff(kind) != 0)) + 1).tolist(), batch.num_rows]
-            for a, z in zip(cuts, cuts[1:]):
-                if a == z:
-                    continue
-                if bucket[a] != now:
-                    now, held, ready = bucket[a], [], None
-                part = batch.slice(a, z - a)
-                if kind[a] == 0:
-                    held.append([np.frombuffer(b"".join(part.column(c).to_pylist()), t) for c, t in SPANS.items()])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                words = words_of(batch.column("text"))
+                p = pieces_of(words, bits)
+                keep = np.flatnonzero(_is_hot(p["anchor"], hot))
+                if not len(keep):
                     continue
-                if ready is None:
-                    ready = spans_of(*[np.concatenate(x) for x in zip(*held)]) if held else tuple(np.zeros(0, t) for t in SPANS.values())
-                    held = []
-                for piece in slices(part, "text"):
-                    words, ids = words_of(piece.column("text")), ids_of(piece.column("id"))
-                    marks, counts = text_marks(words), words.counts()
-                    low, high = np.searchsorted(ready[0], ids, "left"), np.searchsorted(ready[0], ids, "right")
-                    gone, kept = np.zeros(len(ids), np.int64), []
-                    texts = piece.column("text").to_pylist()
-                    for d, text in enumerate(texts):
-                        parts = (text or "").encode().split()
-                        chosen = [i for i in range(low[d], high[d]) if ready[1][i] == marks[d]]
-                        if chosen:
-                            stay = np.ones(counts[d], bool)
-                            for i in chosen:
-                                stay[int(ready[2][i]) : int(ready[2][i]) + int(ready[3][i]) + window - 1] = False
-                            gone[d] = counts[d] - int(stay.sum())
-                            parts = [w for w, s in zip(parts, stay.tolist()) if s]
-                        kept.append(b" ".join(parts).decode())
-                    yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(counts.astype(np.int64)), pa.array(gone), pa.array(kept, pa.string())], names)
+                n = p["n"][keep]
+                inner = _inner(n)
+                edge, first = np.repeat(p["begins"][keep], n) + inner, np.repeat(p["first"][keep], n) + inner
+                owner = np.searchsorted(words.first, first, side="right") - 1
+                columns = [ids_of(batch.column("id"))[owner], np.asarray(batch.column("mark"))[owner], (first - words.first[owner]).astype(np.int32), p["key"][edge].view(np.int64), p["before"][edge].astype(np.int64), p["after"][edge].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "mark", "at", "key", "before", "after"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fragments_of(x: dict[str, np.ndarray]) -> list[np.ndarray] | None:
+    """The repeated edges of one bucket, fused inside their pieces; the columns of ``FRAGMENTS``."""
+    _, which, often = np.unique(x["anchor"], return_inverse=True, return_counts=True)
+    n = x["n"].astype(np.int64)
+    begin = np.cumsum(n) - n
+    piece = np.flatnonzero(often[which] > 1)
+    if not len(piece):
+        return None
+    n = n[piece]
+    inner, of = _inner(n), np.repeat(piece, n)
+    wide = np.zeros((len(of), 8), np.uint8)
+    wide[:, :5] = x["edges"].reshape(-1, 5)[begin[of] + inner]
+    key = keys_of(x["anchor"][of].astype(np.uint64), wide.view(np.uint64).ravel())
+    doc, at = x["doc"][of], x["at"][of] + inner.astype(np.int32)
+    near = (mix(key) & np.uint64(0xFFFFFFFF) | np.uint64(1)).astype(np.uint32)
+    starts, ends = inner == 0, np.append(inner[1:] == 0, True)
+    before = np.where(starts, x["before"][of], np.append(np.uint32(0), near[:-1]))
+    after = np.where(ends, x["after"][of], np.append(near[1:], np.uint32(0)))
+    order = np.lexsort((at, doc, key))
+    lead = np.append(True, key[order][1:] != key[order][:-1])
+    heads = np.flatnonzero(lead)
+    group = np.empty(len(key), np.int64)
+    group[order] = np.cumsum(lead) - 1
+    many = np.diff(np.append(heads, len(key)))[group]
+    source = order[heads][group]
+    sole = lambda v: (np.minimum.reduceat(v[order], heads) == np.maximum.reduceat(v[order], heads))[group] & (v > 0)
+    left, right = sole(before), sole(after)
+    late = (doc != doc[source]) | (at != at[source])
+    repeated = many > 1
+    fused = np.zeros(len(key), bool)
+    fused[1:] = ~starts[1:] & repeated[1:] & right[:-1] & left[1:] & (many[1:] == many[:-1]) & (late[1:] == late[:-1])
+    keep = np.flatnonzero(repeated)
+    if not len(keep):
+        return None
+    first = np.flatnonzero(~fused[keep])
+    a = keep[first]
+    size = np.diff(np.append(first, len(keep)))
+    return [doc[a], x["mark"][of][a], at[a], size.astype(np.int32), key[a].view(np.int64), many[a], late[a], left[a], right[a + size - 1]]
+
+
+@trimmed
+def glue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Consumer of pieces: the fragments of each bucket."""
+    names = [c.split()[0] for c in FRAGMENTS.split(", ")]
+    for _, x in by_bucket(batches, PIECES):
+        if (found := fragments_of(x)) is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names)
+
+
+def _hot_fragments(edges: DataFrame) -> DataFrame:
+    """The repeated ones of ``edges``, each a fragment of its own. Counts are map-side aggregates; no task holds an edge's rows."""
+    edges = materialize(edges, "hot-edges")
+    sole = lambda c: (F.min(c) == F.max(c)) & (F.min(c) > 0)
+    told = edges.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("doc", "at")).alias("source"), sole("before").alias("open_left"), sole("after").alias("open_right"))
+    told = materialize(told.filter("many > 1"), "hot-counts")
+    heavy = told.filter(F.col("many") > HEAVY)
+    both = edges.join(F.broadcast(heavy), "key").unionByName(edges.join(F.broadcast(heavy.select("key")), "key", "left_anti").join(told.filter(F.col("many") <= HEAVY), "key"))
+    return both.select("doc", "mark", "at", F.lit(1).alias("n"), "key", "many", (F.struct("doc", "at") != F.col("source")).alias("late"), "open_left", "open_right")
+
+
+def paths(fragments: DataFrame) -> DataFrame:
+    """(doc, mark, paths): each document's path occurrences (at, n, key, late), by start; n is a number of edges."""
+    place = Window.partitionBy("doc", "mark").orderBy("at")
+    last = F.lag(F.struct("at", "n", "many", "late", "open_right")).over(place)
+    joined = (last["at"] + last["n"] == F.col("at")) & last["open_right"] & F.col("open_left") & (last["many"] == F.col("many")) & (last["late"] == F.col("late"))
+    marked = fragments.withColumn("new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1))
+    numbered = marked.withColumn("path", F.sum("new").over(place))
+    each = numbered.groupBy("doc", "mark", "path").agg(F.min(F.struct("at", "key", "late")).alias("head"), F.sum("n").cast("int").alias("n"))
+    return each.groupBy("doc", "mark").agg(F.sort_array(F.collect_list(F.struct("head.at", "n", "head.key", "head.late"))).alias("paths"))
+
+
+CHECKS = "array<struct<key:bigint,digest:bigint>>"
+KEPT = "id bigint, mark bigint, n_words bigint, n_removed bigint, kept_text string"
+
+
+def _digest(told: bytes) -> int:
+    return int.from_bytes(hashlib.sha256(told).digest()[:8], "little", signed=True)
+
+
+def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], list[dict]]]:
+    """(row, words, paths) of a batch."""
+    paths = batch.column("paths").to_pylist()
+    for d, text in enumerate(batch.column("text").to_pylist()):
+        yield d, (text or "").encode().split(), paths[d] or []
+
+
+@trimmed
+def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with their paths: the kept words, and a digest of the words of each path."""
+    check = pa.list_(pa.struct([("key", pa.int64()), ("digest", pa.int64())]))
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            counts, gone, kept, checks = [], [], [], []
+            for _, words, found in _each(batch):
+                counts.append(len(words))
+                if found:
+                    stay = np.ones(len(words), bool)
+                    for p in found:
+                        if p["late"]:
+                            stay[p["at"] : p["at"] + p["n"] + WINDOW - 1] = False
+                    gone.append(len(words) - int(stay.sum()))
+                    checks.append([{"key": p["key"], "digest": _digest(b" ".join(words[p["at"] : p["at"] + p["n"] + WINDOW - 1]))} for p in found if p["key"] is not None])
+                    words = [w for w, s in zip(words, stay.tolist()) if s]
+                else:
+                    gone.append(0)
+                    checks.append([])
+                kept.append(b" ".join(words).decode())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(checks, check)], ["id", "mark", "n_words", "n_removed", "kept_text", "checks"])
+
+
+def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of the paths that are in doubt, with the SHA-256 of its words."""
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            rows = ([], [], [], [])
+            ids, marks = batch.column("doc").to_pylist(), batch.column("mark").to_pylist()
+            for d, words, found in _each(batch):
+                for p in found:
+                    if p["doubt"]:
+                        for at in range(p["at"], p["at"] + p["n"]):
+                            for column, value in zip(rows, (ids[d], marks[d], at, hashlib.sha256(b" ".join(words[at : at + WINDOW])).digest())):
+                                column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.binary())], ["doc", "mark", "at", "digest"])
+
+
+def _resolved(source: DataFrame, found: DataFrame, clashes: DataFrame) -> DataFrame:
+    """The paths of documents that hold a clash, with those paths replaced by their late windows, told apart by their words."""
+    each = found.select("doc", "mark", F.explode("paths").alias("p")).join(clashes.withColumn("doubt", F.lit(True)), F.col("p.key") == F.col("clash"), "left").drop("clash")
+    docs = each.filter("doubt").select("doc", "mark").distinct()
+    each = each.join(docs, ["doc", "mark"]).select("doc", "mark", F.struct("p.*", F.coalesce("doubt", F.lit(False)).alias("doubt")).alias("p"))
+    texts = source.withColumn("doc", F.coalesce("id", F.lit(int(NO_ID)))).join(docs, ["doc", "mark"]).dropDuplicates(["doc", "mark"])
+    told = texts.join(each.groupBy("doc", "mark").agg(F.collect_list("p").alias("paths")), ["doc", "mark"]).select("doc", "mark", "text", "paths")
+    told = materialize(told.mapInArrow(windows, "doc bigint, mark bigint, at int, digest binary"), "windows")
+    first = told.groupBy("digest").agg(F.min(F.struct("doc", "at")).alias("source"))
+    late = told.join(first, "digest").filter(F.struct("doc", "at") != F.col("source"))
+    kind = "struct<at:int,n:int,key:bigint,late:boolean>"
+    taken = late.select("doc", "mark", F.struct("at", F.lit(1).alias("n"), F.lit(None).cast("bigint").alias("key"), F.lit(True).alias("late")).cast(kind).alias("p"))
+    sure = each.filter("NOT p.doubt").select("doc", "mark", F.struct("p.at", "p.n", "p.key", "p.late").cast(kind).alias("p"))
+    none = docs.select("doc", "mark", F.lit(None).cast(kind).alias("p"))
+    return taken.unionAll(sure).unionAll(none).groupBy("doc", "mark").agg(F.collect_list("p").alias("paths"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 40, hot_least: int = HOT) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text): texts without the words of runs that start earlier elsewhere."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     n = bucket_count(docs, per_partition=8)
-    homes = n | 1
-    parts = max(n // 8, 1)
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    pieces = source.mapInArrow(cut(n), schema_of(PIECES | SPANS))
-    spans = pieces.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(glue(homes), schema_of(SPANS))
-    none = [F.lit(None).cast("binary").alias(c) for c in SPANS]
-    both = spans.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), *SPANS).unionAll(
-        source.select(home_column(F.col("id"), homes).alias("bucket"), F.lit(1).alias("kind"), "id", "text", *none)
-    )
-    return both.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(remove(), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    # a hash of the text tells rows of one id apart; where no id repeats it need not travel
+    repeated = not source.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    source = source.withColumn("mark", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
+    hot = hot_cells(source, hot_least)
+    pieces = source.mapInArrow(cut(n, hot, bits), schema_of(PIECES)).repartition(max(n // 8, 1), "bucket").sortWithinPartitions("bucket")
+    fragments = pieces.mapInArrow(glue, FRAGMENTS)
+    if len(hot):
+        fragments = fragments.unionByName(_hot_fragments(source.mapInArrow(hot_edges(hot, bits), EDGES)).select(*[c.split()[0] for c in FRAGMENTS.split(", ")]))
+    fragments = materialize(fragments, "fragments")
+    del pieces
+    release(spark)
+    # rows that repeat an id and a text have the same fragments twice
+    found = paths(fragments.dropDuplicates(["doc", "mark", "at"]) if repeated else fragments)
+    found = materialize(found, "paths")
+    release(spark)
+    place = lambda df: df.withColumn("doc", F.coalesce("id", F.lit(int(NO_ID))))
+    kept = materialize(place(source).join(found, ["doc", "mark"], "left").select("id", "mark", "text", "paths").mapInArrow(remove, f"{KEPT}, checks {CHECKS}"), "kept")
+    each = kept.select(F.explode("checks").alias("c")).groupBy("c.key").agg(F.min("c.digest").alias("low"), F.max("c.digest").alias("high"))
+    clashes = materialize(each.filter("low <> high").select(F.col("key").alias("clash")), "clashes")
+    out = kept
+    if not clashes.isEmpty():
+        resolved = materialize(_resolved(source, found, clashes), "resolved")
+        touched = place(kept).join(resolved.select("doc", "mark"), ["doc", "mark"], "left_anti").select("id", "n_words", "n_removed", "kept_text")
+        again = place(source).join(resolved, ["doc", "mark"]).select("id", "mark", "text", F.filter("paths", lambda p: p.isNotNull()).alias("paths"))
+        out = touched.unionAll(again.mapInArrow(remove, f"{KEPT}, checks {CHECKS}").select("id", "n_words", "n_removed", "kept_text"))
+    discard(fragments, found)
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_text")
 
 
 ORACLE_SQL = r"""

@@ -70,28 +70,47 @@ def test_repeats(spark):
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_repeats_survive_clashes_of_keys(spark):
+    """Keys of few bits make different words one edge; a common 8-gram makes them meet. The result must not change."""
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(8)]
+    bodies = [[f"w{rng.randrange(4)}" for _ in range(12)] + common + [f"w{rng.randrange(4)}" for _ in range(14)] for _ in range(120)]
+    bodies += [bodies[rng.randrange(120)][3:] + ["z"] for _ in range(30)]
+    rows = [(i, " ".join(b), "en", "s", 0, "", 0, "", 0, 0) for i, b in enumerate(bodies)]
+    want = repeats(rows)
+    for bits in (0, 3):
+        got = substring_dedup.remove_repeats(frame(spark, rows), bits=bits).collect()
+        assert {(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got} == {(d, *want[d, t]) for d, t, *_ in rows}
+    assert sum(n for _, n, _ in want.values()) > 0
+
+
+def test_repeats_of_hot_minimisers(spark, monkeypatch):
+    """Minimisers over the bound go as rows, the most frequent edges by broadcast; the result is the same."""
+    monkeypatch.setattr(substring_dedup, "HEAVY", 3)
+    rows = documents()
+    want = repeats(rows)
+    got = substring_dedup.remove_repeats(frame(spark), hot_least=4).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == Counter((d, *want[NO_ID if d is None else d, t or ""]) for d, t, *_ in rows)
+    source = frame(spark).selectExpr("doc_id AS id", "text", "0L AS mark")
+    assert len(substring_dedup.hot_cells(source, 4)) and not len(substring_dedup.hot_cells(source))
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=70), min_size=1, max_size=6))
 def test_repeats_of_few_words(texts):
     """Periodic texts, in one process: every piece goes through the same producers and consumers."""
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
-    batch = pa.record_batch({"id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows])})
-    cutter = substring_dedup.cut(4)
+    batch = pa.record_batch({"id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows]), "mark": pa.array([0] * len(rows), pa.int64())})
+    cutter = substring_dedup.cut(4, np.zeros(0, np.int64))
     made = [b for i in range(batch.num_rows) for b in cutter(iter([batch.slice(i, 1)]))]
-    spans = [tuple(np.zeros(0, t) for t in substring_dedup.SPANS.values())]
+    gone = {d: set() for d, _ in rows}
     if made:
-        table = pa.Table.from_batches(made).sort_by("bucket").combine_chunks().to_batches()
-        for _, x in substring_dedup.by_bucket(iter(table), substring_dedup.PIECES | substring_dedup.SPANS):
-            if len(x["anchor"]):
-                spans.append(substring_dedup.repeats(*[x[c] for c in substring_dedup.PIECES]))
-            spans.append(tuple(x[c] for c in substring_dedup.SPANS))
-    doc, _, at, n = substring_dedup.spans_of(*[np.concatenate(x) for x in zip(*spans)])
+        for part in substring_dedup.glue(iter(pa.Table.from_batches(made).sort_by("bucket").combine_chunks().to_batches())):
+            for f in part.to_pylist():
+                if f["late"]:
+                    gone[f["doc"]].update(range(f["at"], f["at"] + f["n"] + 19))
     want = repeats(rows)
-    for d, t in rows:
-        gone = set()
-        for i in np.flatnonzero(doc == d):
-            gone.update(range(int(at[i]), int(at[i]) + int(n[i]) + 19))
-        assert len(gone) == want[d, t][1]
+    assert all(len(gone[d]) == want[d, t][1] for d, t in rows)
 
 
 def links(rows):
