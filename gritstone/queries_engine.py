@@ -16,8 +16,8 @@ from gritstone.operators.equivalence import comparable, multiset_difference
 from gritstone.operators.rules import RULES
 from gritstone.plans import dialect
 from gritstone.sources import store
-from gritstone.sources.catalog import Catalog, with_views
-from gritstone.sources.templates import ALL, PREVIOUS_ORDER_ORACLE, PREVIOUS_ORDER_TEMPLATE
+from gritstone.sources.catalog import Catalog, tables_in, with_views
+from gritstone.sources.templates import ALL, PREVIOUS_ROW_ORACLE, PREVIOUS_ROW_TEMPLATE
 
 #: For each rule, a query that it rewrites.
 REWRITTEN = {
@@ -33,8 +33,8 @@ REWRITTEN = {
     "redundant_group_by_elimination": "SELECT k, n FROM (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey) q GROUP BY k, n",
     "merge_scalar_aggregates": dialect.inline(ALL["rw_10"].sql, ALL["rw_10"].types, ALL["rw_10"].values),
     "distinct_join_to_exists": dialect.inline(ALL["rw_04"].sql, ALL["rw_04"].types, ALL["rw_04"].values),
-    "previous_row_join": "SELECT cur.o_orderkey, CAST(cur.o_orderdate AS STRING) AS o_orderdate, CAST(prev.o_orderdate AS STRING) AS prev_orderdate FROM "
-    + PREVIOUS_ORDER_TEMPLATE.sql.partition("FROM ")[2].rpartition("WHERE")[0].strip(),
+    "or_to_union_all": dialect.inline(ALL["rw_06"].sql, ALL["rw_06"].types, ALL["rw_06"].values),
+    "previous_row_join": PREVIOUS_ROW_TEMPLATE.sql.rpartition("WHERE")[0].strip(),
 }
 
 
@@ -42,8 +42,9 @@ def rewritten(rule_id: str) -> Callable[[SparkSession, str], DataFrame]:
     """The rule's query, after the rule."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        catalog = Catalog(spark, sf).register()
-        text = next(r for r in RULES if r.rule_id == rule_id).apply(REWRITTEN[rule_id], catalog.schema_context())
+        used = tables_in(REWRITTEN[rule_id])
+        catalog = Catalog(spark, sf).register(used)
+        text = next(r for r in RULES if r.rule_id == rule_id).apply(REWRITTEN[rule_id], catalog.schema_context(used))
         if text is None:
             raise ValueError(f"{rule_id} does not apply to its query")
         return spark.sql(text)
@@ -140,7 +141,7 @@ told AS (
     CASE WHEN coalesce(candidate_id, '') = '' THEN 'missing_candidate_id' END,
     CASE WHEN b IS NULL OR c IS NULL THEN 'missing_median_execution_time' END) AS integrity_issues FROM pairs)"""
 ORACLES: dict[str, str] = {f"rule_{r}": with_views(sql) for r, sql in REWRITTEN.items()} | {
-    "rule_previous_row_join": with_views(PREVIOUS_ORDER_ORACLE, ["orders"]),
+    "rule_previous_row_join": with_views(PREVIOUS_ROW_ORACLE, ["lineitem"]),
     "equivalence_multiset_difference": """SELECT l_returnflag, l_linestatus, l_suppkey, in_original, in_candidate FROM (
   SELECT l_returnflag, l_linestatus, l_suppkey, COUNT(*) FILTER (WHERE l_suppkey % 3 <> 0) AS in_original,
     COUNT(*) FILTER (WHERE l_suppkey % 3 <> 1) AS in_candidate FROM lineitem GROUP BY ALL) WHERE in_original <> in_candidate""",

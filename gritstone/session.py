@@ -27,6 +27,17 @@ def session(app: str = "gritstone", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where a local session names none."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="gritstone-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per context, so that their Python workers can import it."""
     context = spark.sparkContext

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import dataclass, field
 from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gritstone.session import shared_dir
+
 MONEY = "DECIMAL(15,2)"
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -31,6 +35,19 @@ NOT_NULL = {t: set(k) for t, k in KEYS.items()} | {
 }
 
 
+# The delivered columns. Known types spare a look at the files' footers for every view.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
+
+
 def _pick(number: str, values: list[str]) -> str:
     arms = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values[:-1]))
     return f"CASE {number} {arms} ELSE '{values[-1]}' END"
@@ -67,6 +84,12 @@ VIEWS = {
 }
 
 
+def tables_in(sql: str) -> list[str]:
+    """The views that a text may use: those whose name it holds as a word."""
+    words = set(re.findall(r"\w+", sql.lower()))
+    return [n for n in VIEWS if n in words]
+
+
 def with_views(sql: str, names: list[str] | tuple[str, ...] = tuple(VIEWS)) -> str:
     """``sql`` over the full column sets, as one statement: common table expressions that shadow the base tables."""
     shadow = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names if n != "partsupp")
@@ -118,11 +141,25 @@ class Catalog:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        reader = self.spark.read
+        return (reader.schema(SCHEMAS[name]) if name in SCHEMAS else reader).parquet(f"{self.folder}/{name}.parquet")
 
     def table(self, name: str) -> DataFrame:
-        source = "lineitem" if name == "partsupp" else name
-        return self.spark.sql(VIEWS[name].replace(f"FROM {source}", "FROM {src}"), src=self.base(source))
+        if name == "partsupp":
+            return self._partsupp()
+        return self.spark.sql(VIEWS[name].replace(f"FROM {name}", "FROM {src}"), src=self.base(name))
+
+    def _partsupp(self) -> DataFrame:
+        """The one table that is derived by a shuffle: written to the shared folder once for each application and folder."""
+        context = self.spark.sparkContext
+        made = context.__dict__.setdefault("_gritstone_partsupp", {})
+        known = made.get(self.folder)
+        if known is None:
+            df = self.spark.sql(VIEWS["partsupp"].replace("FROM lineitem", "FROM {src}"), src=self.base("lineitem"))
+            path = f"{shared_dir(self.spark)}/gritstone/partsupp-{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            known = made[self.folder] = (path, df.schema)
+        return self.spark.read.schema(known[1]).parquet(known[0])
 
     def register(self, names: list[str] | tuple[str, ...] = tuple(VIEWS)) -> Catalog:
         for name in names:

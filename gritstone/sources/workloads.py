@@ -15,8 +15,9 @@ from hashlib import sha256
 from pathlib import Path
 
 from gritstone.operators.equivalence import ParameterSet
-from gritstone.sources.templates import ALL, ANTI_PATTERNS, PREVIOUS_ORDER_TEMPLATE, TPCH, Template
+from gritstone.sources.templates import ALL, ANTI_PATTERNS, PREVIOUS_ROW_TEMPLATE, TPCH, Template
 
+# How many parameter sets, from which seeds, and the names of fields and selectors in the files.
 SEARCH_SETS, HELD_OUT_SETS = 70, 30
 TPCH_SEED, ANTI_PATTERN_SEED = 20260506, 20260512
 JOIN_ORDER_SETS = (30, 30)
@@ -49,8 +50,6 @@ class Domains:
     words: tuple[str, ...] = ("special", "final", "plain")
     nouns: tuple[str, ...] = ("requests", "deposits", "packages")
     names: tuple[str, ...] = ("ring", "small", "large", "blue", "green")
-    clerks: int = 100
-    customers: int = 1500
     first: dt.date = dt.date(1995, 1, 1)
     last: dt.date = dt.date(2001, 8, 1)
 
@@ -92,16 +91,16 @@ DRAWS: dict[str, Draw] = {
     "tpch_q20": lambda d, r: (r.choice(d.names), d.year(r), r.choice(d.nations)),
     "tpch_q21": lambda d, r: (r.choice(d.nations),),
     "tpch_q22": lambda d, r: tuple(str(c) for c in r.sample(range(10, 35), 7)),
-    "rw_01": lambda d, r: d.span(r, 7, 14, 21),
-    "rw_02": lambda d, r: (f"{r.randint(55000, 63000) / 100:.2f}",),
+    "rw_01": lambda d, r: (r.choice(d.brands), r.randint(5, 25)),
+    "rw_02": lambda d, r: (f"{r.randint(1500, 3500) * 100}", r.choice(("F", "O", "P"))),
     "rw_03": lambda d, r: d.span(r, 30, 60, 90),
-    "rw_04": lambda d, r: (r.choice(d.types) + "%",),
-    "rw_05": lambda d, r: (r.choice(d.regions), *d.span(r, 30, 60, 90, 120)),
-    "rw_06": lambda d, r: (f"Clerk#{r.randint(1, d.clerks):09d}", r.choice(d.priorities), *d.span(r, 7, 14, 21)),
-    "rw_07": lambda d, r: (f"{r.randint(25000000, 45000000) / 100:.2f}", r.choice(d.segments)),
-    "rw_08": lambda d, r: (r.choice(d.modes), *d.span(r, 7, 14, 21)),
-    "rw_09": lambda d, r: (r.randint(1, d.customers),),
-    "rw_10": lambda d, r: (*r.sample(d.modes, 3), *d.span(r, 14, 30, 60)),
+    "rw_04": lambda d, r: (r.choice(d.priorities), r.choice(d.modes), r.randint(40, 48)),
+    "rw_05": lambda d, r: (r.choice(d.brands), r.choice(d.nations), f"{r.randint(3, 9) / 100:.2f}"),
+    "rw_06": lambda d, r: (r.choice(("F", "O")), r.choice(d.modes), r.randint(10, 200)),
+    "rw_07": lambda d, r: (r.randint(0, 8000), r.randint(0, 4)),
+    "rw_08": lambda d, r: (r.choice(d.segments),),
+    "rw_09": lambda d, r: (r.randint(1, 2000),),
+    "rw_10": lambda d, r: (*r.sample(d.priorities, 2), d.day(r)),
 }
 
 
@@ -156,7 +155,7 @@ def write_tpch(root: str | Path, search: int = SEARCH_SETS, held: int = HELD_OUT
 
 
 def write_anti_patterns(root: str | Path, search: int = SEARCH_SETS, held: int = HELD_OUT_SETS, seed: int = ANTI_PATTERN_SEED, domains: Domains = Domains()) -> list[Path]:
-    templates = [t for t in ANTI_PATTERNS if t.name < "rw_09"] + [PREVIOUS_ORDER_TEMPLATE, ALL["rw_10"]]
+    templates = [t for t in ANTI_PATTERNS if t.name < "rw_09"] + [PREVIOUS_ROW_TEMPLATE, ALL["rw_10"]]
     return _write(Path(root), "real-world", _drawn(templates, seed, search, held, domains))
 
 

@@ -1,6 +1,7 @@
 """Equivalence checks, plans, store, analytics, workloads, and the runner's outcomes."""
 
 import json
+from collections import defaultdict
 from dataclasses import asdict
 
 import pytest
@@ -14,7 +15,7 @@ from gritstone.plans import catalyst
 from gritstone.sources import files, workloads
 from gritstone.sources.catalog import Catalog
 from gritstone.sources.store import Store, export_run, now, pool_summary, template_status
-from gritstone.sources.templates import PREVIOUS_ORDER_TEMPLATE
+from gritstone.sources.templates import PREVIOUS_ROW_TEMPLATE
 
 DATA = "/root/testdata/sf0.001"
 
@@ -177,14 +178,18 @@ def test_runner_asks_a_proposer(spark, context, tmp_path):
 
 
 def test_previous_row_rewrite(spark):
-    Catalog(spark, DATA).register(["orders"])
+    Catalog(spark, DATA).register(["lineitem"])
     from gritstone.operators.equivalence import bound
     from gritstone.operators.rules import previous_row_join
     from gritstone.sources.catalog import SchemaContext
 
-    rows = bound(spark, previous_row_join(PREVIOUS_ORDER_TEMPLATE.sql, SchemaContext()), ParameterSet("p", (("$1", "integer", 7),))).collect()
-    days = sorted(r.o_orderdate for r in rows)
-    assert rows and all(r.prev_orderdate == max([d for d in days if d < r.o_orderdate], default=None) for r in rows)
+    rows = bound(spark, previous_row_join(PREVIOUS_ROW_TEMPLATE.sql, SchemaContext()), ParameterSet("p", (("$1", "integer", 7),))).collect()
+    days = defaultdict(set)
+    for r in spark.sql("SELECT l_partkey, l_orderkey, l_linenumber, CAST(l_shipdate AS STRING) AS day FROM lineitem WHERE l_partkey <= 7").collect():
+        days[r.l_partkey].add(r.day)
+    every = set.union(*days.values())
+    assert rows and all(r.before_shipdate is None or r.before_shipdate < r.l_shipdate and r.before_shipdate in every for r in rows)
+    assert sum(r.before_shipdate is None for r in rows) >= len(days) and any(r.before_shipdate for r in rows)
 
 
 def test_rates(spark):

@@ -9,7 +9,7 @@ from gritstone.operators.rules import RULES
 from gritstone.plans import dialect, sqltext
 from gritstone.plans.analyze import canonical_hash, parse_and_analyze, text_fingerprint
 from gritstone.sources.catalog import Catalog, SchemaContext, TableInfo
-from gritstone.sources.templates import ALL, PREVIOUS_ORDER_TEMPLATE
+from gritstone.sources.templates import ALL, PREVIOUS_ROW_TEMPLATE
 
 DATA = "/root/testdata/sf0.01"
 BY_ID = {r.rule_id: r.apply for r in RULES}
@@ -34,9 +34,10 @@ APPLIES = [
     ("implicit_to_explicit_join_alternate_order", "SELECT c_name FROM customer, orders, nation WHERE c_nationkey = n_nationkey AND c_custkey = o_custkey", ["FROM nation\nJOIN customer", "JOIN orders"], ["WHERE"]),
     ("implicit_to_explicit_join", "SELECT a.n_name FROM nation a, nation b WHERE a.n_regionkey = b.n_regionkey", ["JOIN nation b ON"], ["WHERE"]),
     ("redundant_group_by_elimination", "SELECT k, n FROM (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey) q GROUP BY k, n", ["GROUP BY o_custkey"], ["GROUP BY k"]),
-    ("merge_scalar_aggregates", ALL["rw_10"].sql, ["FILTER (WHERE l_shipmode = $1::text)", "FROM lineitem"], ["(SELECT"]),
+    ("merge_scalar_aggregates", ALL["rw_10"].sql, ["FILTER (WHERE o_orderpriority = $1::text)", "FROM orders"], ["(SELECT"]),
     ("distinct_join_to_exists", ALL["rw_04"].sql, ["EXISTS"], ["JOIN"]),
-    ("previous_row_join", PREVIOUS_ORDER_TEMPLATE.sql, ["MAX(o_orderdate) OVER", "$1::integer"], ["EXISTS"]),
+    ("or_to_union_all", "SELECT o_orderkey FROM orders WHERE o_custkey > 5 AND (o_orderstatus = 'F' OR o_totalprice > 9)", ["UNION ALL", "(o_orderstatus = 'F') IS NOT TRUE"], [" OR "]),
+    ("previous_row_join", PREVIOUS_ROW_TEMPLATE.sql, ["MAX(l_shipdate) OVER", "$1::integer"], ["EXISTS"]),
 ]
 
 
@@ -134,6 +135,21 @@ def test_small_numerics_survive_binding(spark):
     assert float(row.a) == 0.05 and float(row.b) == 0.0001
 
 
+@pytest.mark.parametrize("name,rules", [("tpch_q05", 2), ("tpch_q11", 2), ("tpch_q12", 1), ("tpch_q16", 1), ("tpch_q20", 1), ("tpch_q02", 0), ("tpch_q03", 0)])
+def test_comma_joins(spark, context, name, rules):
+    """Lists of tables become joins, from either end if there are three; an outer LIMIT keeps every rule away."""
+    t = ALL[name]
+    text = dialect.inline(t.sql, t.types, t.values)
+    ids = {c.applied_rules[0] for c in rule_candidates(spark, text, context)[0]}
+    assert len({x for x in ids if x.startswith("implicit_to_explicit_join")}) == rules
+    if "LIMIT" in text:
+        assert BY_ID["implicit_to_explicit_join"](text.rpartition("LIMIT")[0], context)
+
+
+def test_joins_without_a_tie_stay(context):
+    assert BY_ID["distinct_join_to_exists"]("SELECT DISTINCT s.s_name FROM supplier s JOIN nation n ON s.s_nationkey = s.s_suppkey", context) is None
+
+
 def test_pool(spark, context):
     sql = "SELECT c_name FROM customer, orders, nation WHERE c_nationkey = n_nationkey AND c_custkey = o_custkey"
     made, _, _ = rule_candidates(spark, sql, context)
