@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -143,7 +144,7 @@ PAGES = [
     ("<html><head><title>t</title></head><body><nav>menu</nav><article><h1>A &amp; B</h1><p>one <b>two</b>three<br>four<p>five&nbsp; six</article><footer>f</footer></body></html>", "A & B one twothree four five six"),
     ("<body><header>site</header><main><div class='cookie-notice'>c</div><p>text</p><!-- <p>no</p> --><div id=comments><p>first!</p></div><aside>x</aside></main></body>", "text"),
     ("<body><div class=menu>m</div><div class=content><p>kept</p><script>var a='</p>';</script><style>p{}</style><form><input><button>go</button></form></div></body>", "kept"),
-    ("<article>a<div>b<div>c</article>tail", "a b c"),
+    ("<article>aa<div>bb<div>cc</article>tail", "aa bb cc"),
     ("plain text &lt;tag&gt; &#233;", "plain text <tag> é"),
     ("<article><p>unclosed <i>tag", "unclosed tag"),
     ("<article><ul><li>x<li>y</ul><table><tr><td>1<td>2</table></article>", "x y 1 2"),
@@ -153,6 +154,18 @@ PAGES = [
     ("<article><p>1 < 2 and 3 > 2</p></article>", "1 < 2 and 3 > 2"),
     ("<body><div role=navigation>n</div><div hidden>h</div><p>seen</p></body>", "seen"),
     ("<article><header><h1>T</h1></header><p>x</p></article>", "T x"),
+    # names of wrappers, of headings' anchors, and of an article's own sections do not drop it
+    ('<body><div id="top"><article><p>kept</p></article></div></body>', "kept"),
+    ('<body><div class="layout has-sidebar"><article><p>kept</p></article><div class="sidebar">s</div></div></body>', "kept"),
+    ('<article><p>a</p><h2 id="search">b</h2><h2 id="skip-lists">c</h2><section class="related-work"><p>d</p></section><div class="related-links"><a>e</a></div></article>', "a b c d"),
+    ("<article><p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p></article>", "let x=2 be"),
+    # elements that are never closed
+    ("<article><p>a</p><svg><p>b</p></article>", "a b"),
+    ("<article><p>a</p><noscript><p>b</p></article>", "a b"),
+    ("<article><p>a</p><script>var x = 1;<p>b</p></article>", "a b"),
+    ("<article><p>a</p><noscript><img></noscript><svg><text>t</text></svg><p>b</p></article>", "a b"),
+    # a teaser beside the real text
+    ('<body><article><p>read me too</p></article><div class="content"><p>' + "the long real text " * 9 + "ends</p></div></body>", "read me too " + "the long real text " * 9 + "ends"),
 ]
 
 
@@ -183,6 +196,63 @@ def test_copies_do_not_erase_an_article(spark):
     assert all(r.text.startswith("the same article") for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect())
 
 
+def test_the_tree_decides():
+    """Without it the text of every page changes."""
+    import pyarrow.parquet as pq
+
+    pages = html_extract.Pages()
+    for r in pq.read_table(f"{SMALL}/pages.parquet").to_pylist():
+        assert len(pages.main_text(r["html"], frozenset())) > len(re.search("(?s)<article>.*</article>|$", r["html"])[0]) / 2
+
+
+def test_tree_off_changes_pages(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    on, off = ({r.page_id: r.text for r in html_extract.extract_text(pages, tree=t).collect()} for t in (True, False))
+    assert sum(on[k] != off[k] for k in on) > 0.9 * len(on) and all(on[k] in off[k] for k in on)
+
+
+def test_tree_works_inside_articles(spark):
+    """The same paragraph under every article goes; a paragraph that differs stays, whatever its class."""
+    page = lambda c: f"<body><article><h1>T {c}</h1><p>body {c * 7}</p><p class='same'>Written by hand, always</p><p class='other'>no {c}</p></article></body>"
+    rows = [(i, "https://a.example/x", page(c)) for i, c in enumerate("abcdefghij")]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all("always" not in t and "no " in t and "body" in t for t in got.values())
+
+
+def test_importance_by_brute_force(spark):
+    """Entropies of merged nodes, recomputed page by page."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(60):
+        items = "".join(f"<li>{rng.choice('abc')}</li>" for _ in range(rng.randrange(1, 4)))
+        rows.append((f"h{i % 3}", f"<body><div class=m>{rng.choice('pq')}</div><ul>{items}</ul><article><p>{rng.choice('uvwxyz')}</p></article></body>"))
+    got = {(r.host, r.node): r for r in html_extract.node_importance(spark.createDataFrame(rows, "host string, html string")).collect()}
+    seen = defaultdict(set)
+    for host, html in rows:
+        page, nodes = html_extract.Pages().profile(html)
+        for node, told in nodes.items():
+            seen[host, node].add((page, *told))
+    assert set(got) == set(seen) and len(seen) == 3 * 5
+
+    def entropy(values):
+        n = len(values)
+        return 1.0 if n < 2 else -sum(c / n * math.log(c / n) for c in Counter(values).values()) / math.log(n)
+
+    for k, found in seen.items():
+        r = got[k]
+        assert r.pages == len(found) and math.isclose(r.content, entropy([x[1] for x in found]), abs_tol=1e-9) and math.isclose(r.kinds, entropy([x[2] for x in found]), abs_tol=1e-9)
+        assert r.importance <= 1
+
+
+def test_large_hosts_join_by_broadcast(spark, monkeypatch):
+    rows = [(i, f"https://{'big' if i < 20 else f'h{i % 4}'}.example/{i}", f"<body><nav>same</nav><p>{i}</p></body>") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = Counter(map(tuple, html_extract.digest(pages).collect()))
+    monkeypatch.setattr(html_extract, "MOST_LOW", 0)
+    monkeypatch.setattr(html_extract, "LARGE_HOST", 8)
+    assert Counter(map(tuple, html_extract.digest(pages).collect())) == want and all("same" not in t for _, _, t, _ in want)
+
+
 # --- search -----------------------------------------------------------------------------------------------------
 
 
