@@ -10,7 +10,7 @@ sizes a <= b link when 100 * intersection >= 80 * union, so that they differ in
    filled parts in its own band, and in the band below if a set of that band can be small enough. A class with fewer
    filled parts also sends its empty ones.
 3. Candidates share a part. Groups of at most ``SMALL`` classes give all their pairs; larger ones a star around the
-   least, and their members are kept aside. Sizes are tested before any bit sketch moves, and bit sketches before texts.
+   least, and their members are kept aside. Sizes and bit sketches are tested before any text moves.
 4. Verification compares whole sets: members travel to their star's centre, at most ``FAN`` of them to one task.
 5. Components by large and small stars. In large groups that still hold several components, each member outside the
    one that is largest at first asks its nearest members of other components, by bit sketches; pairs that the Hamming
@@ -45,9 +45,9 @@ SHINGLE = 5
 SMALL = 3
 FAN = 256
 #: Rows of five numbers that may be broadcast.
-MOST_BROADCAST = 1 << 20
+MOST_BROADCAST = 1 << 18
 #: Asking members and asked ones of a block of a large group.
-ASKERS, ASKED = 1024, 2048
+ASKERS, ASKED = 1024, 1 << 16
 #: Words of 64 bits in a bit sketch, for sets of fewer shingles than the bound; a sketch folds to any smaller one.
 SKETCH_WORDS = (*((40 << i, 1 << i) for i in range(10)), (1 << 62, 1024))
 ENTRIES = {"sig": np.dtype("i8"), "key": np.dtype("i8")}
@@ -366,6 +366,11 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A materialized table, marked for broadcast if it is under the bound."""
+    return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
+
+
 def verify(source: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link, by whole sets; a is the centre. A table in the shared folder."""
     degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
@@ -374,7 +379,7 @@ def verify(source: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame
     needs = materialize(needs, "needs")
     texts = source.select(F.coalesce("id", F.lit(int(NO_ID))).alias("of"), "text_key", "text")
     # under the bound only the texts that are needed move, once; beyond it all take a shuffle by id and hash first
-    texts = texts.join(F.broadcast(needs) if needs.count() <= MOST_BROADCAST else needs, ["of", "text_key"])
+    texts = texts.join(small(needs), ["of", "text_key"])
     parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.select("centre", "fan", "key", "text").repartition(parts, "centre", "fan")
     links = dealt.sortWithinPartitions("centre", "fan", (F.col("key") != F.col("centre"))).mapInArrow(compare, "u bigint, v bigint")
@@ -397,10 +402,9 @@ def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     release(spark)
     members = found.filter("kind = 1").select(F.struct((F.col("n") < 0).alias("nameless"), F.col("x").alias("id"), F.col("z").alias("text_key")).alias("first"), F.col("y").alias("key"), F.abs("n").alias("n"), "sketch")
     classes = materialize(members.groupBy("key").agg(F.min("first").alias("first"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "classes")
-    sized = lambda c: classes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"))
-    seen = lambda c: classes.select(F.col("key").alias(c), F.col("sketch").alias(f"s{c}"))
+    told = lambda c: classes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     near = found.filter("kind = 0").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    near = near.join(sized("a"), "a").join(sized("b"), "b").filter("5 * least(na, nb) >= 4 * greatest(na, nb)").join(seen("a"), "a").join(seen("b"), "b")
+    near = near.join(told("a"), "a").join(told("b"), "b").filter("5 * least(na, nb) >= 4 * greatest(na, nb)")
     tested = materialize(near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(prune, "a bigint, b bigint"), "pairs")
     links = verify(source, tested, classes)
     release(spark)
@@ -410,17 +414,17 @@ def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     apart = found.filter("kind = 2").select(F.col("x").alias("sig"), F.col("y").alias("key"), F.col("n").alias("many"))
     width, asking, spent = 4, None, []
     while True:
-        large = apart.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        large = large.withColumn("asks", F.lit(True)) if asking is None else large.drop("asks").join(asking, ["sig", "key"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        large = apart.join(small(joined.withColumnRenamed("node", "key")), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        large = large.withColumn("asks", F.lit(True)) if asking is None else large.drop("asks").join(small(asking), ["sig", "key"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
         large = materialize(large.withColumn("salt", F.pmod(F.xxhash64("key"), salts("many")).cast("int")), "large-groups")
         each = large.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("asks").cast("long")).alias("asking"), F.max("many").alias("many"))
         groups = each.groupBy("sig").agg(F.sum("c").alias("c"), F.max("many").alias("many"), F.sum("asking").alias("asking"), F.count(F.lit(1)).alias("components"), F.max(F.struct("c", "component")).alias("largest"))
         groups = groups.filter("components > 1 AND asking > 0").withColumn("asking", F.col("c") - F.col("largest.c") if asking is None else F.col("asking"))
-        groups = groups.select("sig", F.explode(F.sequence(F.lit(0), salts("many") - 1)).alias("salt"), "asking", F.col("largest.component").alias("largest"))
-        rest = large.join(groups, ["sig", "salt"])
+        groups = materialize(groups.select("sig", F.explode(F.sequence(F.lit(0), salts("many") - 1)).alias("salt"), "asking", F.col("largest.component").alias("largest")), "groups")
+        rest = large.join(small(groups), ["sig", "salt"])
         rest = rest.withColumn("asks", F.col("component") != F.col("largest")) if asking is None else rest
         rest = materialize(rest.select("sig", "key", "component", "many", "asks", "asking"), "mixed-groups")
-        discard(large, *spent)
+        discard(large, groups, *spent)
         spent = [rest]
         if rest.isEmpty():
             break
@@ -442,15 +446,15 @@ def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if asking.isEmpty():
             break
         apart, width = rest.select("sig", "key", "many"), width * 8
-    joined = joined.withColumnRenamed("node", "key")
-    rows = members.select("first.*", "key", "n").join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    first = rows.groupBy("component").agg(F.min(F.struct("nameless", "id", "text_key")).alias("first"))
-    given = lambda of: F.when(~F.col(f"{of}nameless"), F.col(f"{of}id"))
-    first = F.broadcast(first) if first.count() <= MOST_BROADCAST else first
-    rows = rows.join(first, "component").select(given("").alias("id"), "text_key", F.col("n").cast("long").alias("n_shingles"), given("first.").alias("component_id"), (F.struct("nameless", "id", "text_key") == F.col("first")).alias("stays"))
+    each = classes.select("key", "first").join(small(joined.withColumnRenamed("node", "key")), "key", "left")
+    least = materialize(each.filter("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("least")), "components")
+    named = each.join(small(least), "component", "left").select("key", F.coalesce("least", "first").alias("of"))
+    rows = members.select("first", "key", "n").join(named, "key")
+    given = lambda of: F.when(~F.col(f"{of}.nameless"), F.col(f"{of}.id"))
+    rows = rows.select(given("first").alias("id"), "first.text_key", F.col("n").cast("long").alias("n_shingles"), given("of").alias("component_id"), (F.col("first") == F.col("of")).alias("stays"))
     without = source.filter(F.coalesce(F.regexp_replace(F.col("text"), r"[\x20\x09-\x0D]+", ""), F.lit("")) == "").select("id", "text_key", F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("stays"))
     out = materialize(rows.unionAll(without), "linked")
-    discard(found, classes, *spent)
+    discard(found, classes, least, *spent)
     release(spark)
     return out
 
