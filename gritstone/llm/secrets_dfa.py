@@ -1,13 +1,19 @@
 """Secret scans with one combined deterministic automaton.
 
-Every rule's regular expression is parsed, built into one nondeterministic automaton that may begin a match anywhere,
-made deterministic by subset construction over byte classes, and minimised by partition refinement into plain
-transition arrays. One pass over the bytes of a text runs all rules at once; it is vectorised by letting many
-segments of a slice take each step together. Segments are cut only behind bytes that bring every state back to the
-start, so no match is cut.
+Every rule's regular expression is parsed, built into one nondeterministic automaton, made deterministic by subset
+construction over byte classes, and minimised by partition refinement into plain transition arrays. There are two such
+tables over all rules, and no other matcher:
 
-In the automaton, long counted repeats are shortened (``cap``), so that it accepts wherever a rule may match and
-stays small. The lines it accepts in are then matched exactly, which gives each rule's leftmost non-overlapping spans.
+* The first reads a text backwards, in one pass for all rules, and tells at each byte which rules have a match that
+  starts there. The pass is vectorised: many segments of a slice take each step together. Segments are cut behind bytes
+  that bring every state back to the start. Where there are none for long, they are cut anywhere: each such segment is
+  walked from every state that its neighbours can leave it in, which are few, and the walks are then chained.
+* The second reads forwards from a start until no rule can go on; the last byte at which a rule was accepted is the end
+  of its longest match, and the same for the part before the group whose length counts.
+
+Leftmost non-overlapping matches follow: a rule's next match is the first start that is not before the end of the last.
+Matches that are too short still take their bytes, and are dropped then. In the first table, long counted repeats are
+shortened (``cap``) where a match that begins inside another cannot outlast it, so that it stays small.
 
 Defined results: a null text is empty; an empty table gives an empty result; repeated rows give repeated results; a
 null ``doc_id`` is kept; other columns are ignored. Texts are scanned whole, however long.
@@ -15,8 +21,6 @@ null ``doc_id`` is kept; other columns are ignored. Texts are scanned whole, how
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -119,13 +123,15 @@ class _Parser:
 
 @dataclass
 class Automaton:
-    """table[state * n_classes + byte_class[byte]]; state 0 is the start; states from ``accepting`` on accept."""
+    """table[state * n_classes + byte_class[byte]]; state 0 is the start; states from ``accepting`` on accept ``masks[state]``."""
 
     byte_class: np.ndarray
     table: np.ndarray
     n_classes: int
     accepting: int
+    masks: np.ndarray
     resets: np.ndarray
+    dead: int
 
 
 class _Builder:
@@ -174,26 +180,37 @@ class _Builder:
         return frozenset(seen)
 
 
+def _turned(node):
+    """The tree that matches the reversed strings."""
+    kind = node[0]
+    if kind == "set":
+        return node
+    if kind == "seq":
+        return ("seq", [_turned(part) for part in reversed(node[1])])
+    return ("or", [_turned(arm) for arm in node[1]]) if kind == "or" else (kind, _turned(node[1]))
+
+
 def _trigger(rule: Rule):
-    """The rule's tree, cut where ``cap`` characters of its last repeat suffice: it accepts a prefix of every finding."""
-    tree = _Parser(rule.pattern).choice()
-    parts = list(tree[1])
+    """The rule's tree with its last repeat cut to as many bytes as tell a start: one, or up to ``cap`` of those that a finding
+    needs, if the bytes before are of the same kind, as then no match that begins inside another outlasts it."""
+    parts = list(_Parser(rule.pattern).choice()[1])
     if parts[-1][0] == "plus":
-        fixed = sum(p[0] == "set" for p in parts[:-1]) if rule.group == 0 and all(p[0] in ("set", "plus") for p in parts) else 0
-        least = max(1, min(rule.cap, rule.least - fixed)) if len([p for p in parts if p[0] == "plus"]) == 1 else 1
-        parts[-1:] = [parts[-1][1]] * least
+        repeated = parts[-1][1]
+        alike = rule.group == 0 and repeated[0] == "set" and all(p[0] == "set" and p[1] <= repeated[1] for p in parts[:-1])
+        parts[-1:] = [repeated] * (max(1, min(rule.cap, rule.least - len(parts) + 1)) if alike else 1)
     return ("seq", parts)
 
 
-def compile_rules(rules: tuple[Rule, ...]) -> Automaton:
-    """Subset construction over byte classes, then minimisation."""
+def compile_trees(trees: list, anywhere: bool) -> Automaton:
+    """Subset construction over byte classes, then minimisation; tree k sets bit k of a state's mask. ``anywhere``: a match
+    may begin at each byte."""
     b = _Builder()
     start = b.state()
     ends: dict[int, int] = {}
-    for k, rule in enumerate(rules):
+    for k, tree in enumerate(trees):
         first = b.state()
         b.free[start].append(first)
-        ends[b.add(_trigger(rule), first)] = k
+        ends[b.add(tree, first)] = 1 << k
     sets = {s for moves in b.moves for s, _ in moves}
     shape = {byte: tuple(byte in s for s in sets) for byte in range(256)}
     kinds = {x: i for i, x in enumerate(dict.fromkeys(shape.values()))}
@@ -206,68 +223,153 @@ def compile_rules(rules: tuple[Rule, ...]) -> Automaton:
         now, row = todo[len(rows)], []
         for c in range(n_classes):
             byte = sample[c]
-            reached = b.closure([t for s in now for on, t in b.moves[s] if byte in on]) | begin
+            reached = b.closure([t for s in now for on, t in b.moves[s] if byte in on])
+            reached = reached | begin if anywhere else reached
             if reached not in names:
                 names[reached] = len(names)
                 todo.append(reached)
             row.append(names[reached])
         rows.append(row)
     table = np.array(rows)
-    accepts = np.array([any(s in ends for s in x) for x in todo])
-    group = accepts.astype(np.int64)
+    masks = np.array([sum({ends[s] for s in x if s in ends}) for x in todo])
+    group = np.unique(masks, return_inverse=True)[1].ravel()
     while True:  # states are alike if they accept alike and go to like states
         _, finer = np.unique(np.column_stack([group, group[table]]), axis=0, return_inverse=True)
         if finer.max() == group.max():
             break
         group = finer.ravel()
     firsts = np.unique(group, return_index=True)[1]
-    order = sorted(range(len(firsts)), key=lambda g: (accepts[firsts[g]], g != group[0], g))
+    order = sorted(range(len(firsts)), key=lambda g: (masks[firsts[g]] > 0, g != group[0], g))
     name = np.empty(len(order), np.int64)
     name[order] = np.arange(len(order))
-    small = name[group[table[firsts[order]]]]
+    small, masks = name[group[table[firsts[order]]]], masks[firsts[order]]
     resets = np.array([(small[:, byte_class[x]] == 0).all() for x in range(256)])
-    return Automaton(byte_class, small.astype(np.int32).ravel(), n_classes, int((~accepts[firsts]).sum()), resets)
+    dead = [g for g in range(len(small)) if not masks[g] and (small[g] == g).all()]
+    return Automaton(byte_class, small.astype(np.int32).ravel(), n_classes, int((masks == 0).sum()), masks, resets, dead[0] if dead else -1)
+
 
+def compile_rules(rules: tuple[Rule, ...]) -> tuple[Automaton, Automaton]:
+    """(starts, read backwards; ends, read forwards). The latter's bits are the rules and, after them, what precedes their groups."""
+    whole = [_Parser(r.pattern).choice() for r in rules]
+    lead = [("seq", tree[1][:-1]) for r, tree in zip(rules, whole) if r.group]
+    return compile_trees([_turned(_trigger(r)) for r in rules], True), compile_trees(whole + lead, False)
 
-def accepted(dfa: Automaton, data: np.ndarray, offsets: np.ndarray, stride: int = 1024) -> np.ndarray:
-    """Sorted positions of the bytes at which some rule is accepted; documents are data[offsets[i]:offsets[i+1]]."""
+
+def _walk(dfa: Automaton, kinds: np.ndarray, begin: np.ndarray, length: np.ndarray, state: np.ndarray, found: list | None = None) -> np.ndarray:
+    """The states in which segments end that begin in ``state``; ``found`` gets (positions, states) where rules accept."""
+    order = np.argsort(-length, kind="stable")
+    begin, length, now = begin[order], length[order], state[order].astype(np.int64)
+    active = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), side="left")  # segments longer than j
+    for j, m in enumerate(active):
+        at = begin[:m] + j
+        now[:m] = dfa.table[now[:m] * dfa.n_classes + kinds[at]]
+        if found is not None and int(now[:m].max()) >= dfa.accepting:
+            hit = np.flatnonzero(now[:m] >= dfa.accepting)
+            found.append((at[hit], now[hit]))
+    out = np.empty_like(now)
+    out[order] = now
+    return out
+
+
+def accepted(dfa: Automaton, data: np.ndarray, offsets: np.ndarray, stride: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted positions of the bytes at which rules are accepted, and their masks; documents are data[offsets[i]:offsets[i+1]]."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     back = np.flatnonzero(dfa.resets[data]) + 1
     nearest = np.searchsorted(back, np.arange(stride, n, stride))
     cuts = np.unique(np.concatenate([back[nearest[nearest < len(back)]], offsets[:-1]]))
     cuts = cuts[cuts < n]
     length = np.diff(np.append(cuts, n))
-    order = np.argsort(-length, kind="stable")
-    begins, length = cuts[order], length[order]
     kinds = dfa.byte_class[data]
-    state = np.zeros(len(begins), np.int64)
-    found = []
-    active = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), side="left")  # segments longer than j
-    for j, m in enumerate(active):
-        at = begins[:m] + j
-        state = dfa.table[state[:m] * dfa.n_classes + kinds[at]]
-        if int(state.max()) >= dfa.accepting:
-            found.append(at[state >= dfa.accepting])
-    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
-
-
-def exact_spans(rules: tuple[Rule, ...], compiled: list[re.Pattern], line: str, at: int) -> list[tuple[int, int, int]]:
-    """(start, order of the kind, end) of the findings in one line that begins at code point ``at``."""
-    return [(m.start() + at, k, m.end() + at) for k, (rule, p) in enumerate(zip(rules, compiled)) for m in p.finditer(line) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+    state = np.zeros(len(cuts), np.int64)
+    if length.max() > 16 * stride:  # long stretches without a byte that resets
+        pieces = np.where(length > 16 * stride, -(-length // stride), 1)
+        inner = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = np.repeat(cuts, pieces) + inner * stride
+        length = np.minimum(np.repeat(cuts + length, pieces) - begin, np.where(np.repeat(pieces, pieces) > 1, stride, n))
+        chained = np.flatnonzero(np.repeat(pieces, pieces) > 1)
+        leaves: dict[int, np.ndarray] = {}
+        todo = [0]
+        while todo:
+            s = todo.pop()
+            leaves[s] = _walk(dfa, kinds, begin[chained], length[chained], np.full(len(chained), s))
+            todo += [x for x in np.unique(leaves[s]).tolist() if x not in leaves and x not in todo]
+        state, now = np.zeros(len(begin), np.int64), 0
+        for i, at in enumerate(chained.tolist()):
+            now = 0 if inner[at] == 0 else now
+            state[at] = now
+            now = int(leaves[now][i])
+        cuts = begin
+    found: list = []
+    _walk(dfa, kinds, cuts, length, state, found)
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at, states = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(at)
+    return at[order], dfa.masks[states[order]]
+
+
+def longest(dfa: Automaton, data: bytes, at: int, end: int, bits: tuple[int, ...]) -> list[int]:
+    """For each bit, where its longest match of data[at:end] ends; -1 without one."""
+    state, out, first = 0, [-1] * len(bits), dfa.accepting
+    table, n, byte_class, masks, dead = dfa.table_list, dfa.n_classes, dfa.class_list, dfa.mask_list, dfa.dead
+    while at < end:
+        state = table[state * n + byte_class[data[at]]]
+        if state == dead:
+            break
+        at += 1
+        if state >= first:
+            for i, b in enumerate(bits):
+                if masks[state] >> b & 1:
+                    out[i] = at
+    return out
+
+
+class Scanner:
+    """Both automata of some rules, ready for texts."""
+
+    def __init__(self, rules: tuple[Rule, ...]):
+        self.rules = rules
+        self.starts, self.ends = compile_rules(rules)
+        self.ends.table_list, self.ends.class_list, self.ends.mask_list = self.ends.table.tolist(), self.ends.byte_class.tolist(), self.ends.masks.tolist()
+        groups = [k for k, r in enumerate(rules) if r.group]
+        self.bits = [(k, len(rules) + groups.index(k)) if r.group else (k,) for k, r in enumerate(rules)]
+
+    def find(self, data: np.ndarray, offsets: np.ndarray, stride: int = 1024) -> list[tuple[int, int, int, int]]:
+        """(document, start, rule, end) in bytes of ``data``, by document, start and rule."""
+        n = len(data)
+        at, masks = accepted(self.starts, np.ascontiguousarray(data[::-1]), n - offsets[::-1], stride)
+        if not len(at):
+            return []
+        at, masks = (n - 1 - at)[::-1], masks[::-1]
+        owner = np.searchsorted(offsets, at, side="right") - 1
+        text, out = memoryview(np.ascontiguousarray(data)).cast("B"), []
+        for k, (rule, bits) in enumerate(zip(self.rules, self.bits)):
+            mine = np.flatnonzero(masks >> k & 1)
+            starts, docs = at[mine], owner[mine]
+            i, done = 0, -1
+            while i < len(starts):
+                start, d = int(starts[i]), int(docs[i])
+                end, *lead = longest(self.ends, text, start, int(offsets[d + 1]), bits)
+                if end < 0:  # a start that a shortened repeat let through
+                    i += 1
+                    continue
+                if end - (lead[0] if lead else start) >= rule.least:
+                    out.append((d, start, k, end))
+                i = int(np.searchsorted(starts, end))
+        return sorted(out)
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Findings of every text: (id, spans array<struct<kind, start, end>>), by start and then by the rules' order."""
     ship(docs.sparkSession)
-    dfa = compile_rules(rules)
+    scanner = Scanner(rules)
     schema = docs.select(id_col).schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ", 1)
     struct = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     @trimmed
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [re.compile(r.pattern) for r in rules]
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 texts = batch.column("text").cast(pa.large_string()).fill_null("")
@@ -275,24 +377,13 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
                 raw = texts.buffers()[2]
                 data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
                 offsets = offsets - offsets[0]
-                hits = accepted(dfa, data, offsets)
                 found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-                lines_end = np.flatnonzero(data == 10) if len(hits) else hits
-                owner = np.searchsorted(offsets, hits, side="right") - 1
-                for d in np.unique(owner):
-                    a, z = int(offsets[d]), int(offsets[d + 1])
-                    done, point, marked = a, 0, []
-                    for hit in hits[np.searchsorted(hits, a) : np.searchsorted(hits, z)].tolist():
-                        if hit < done:
-                            continue
-                        k = int(np.searchsorted(lines_end, hit))
-                        low = max(a, int(lines_end[k - 1]) + 1) if k else a
-                        high = min(z, int(lines_end[k])) if k < len(lines_end) else z
-                        point += len(bytes(data[done:low]).decode("utf-8", "replace"))
-                        line = bytes(data[low:high]).decode("utf-8", "replace")
-                        marked += exact_spans(rules, compiled, line, point)
-                        point, done = point + len(line), high
-                    found[d] = [{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in sorted(marked)]
+                hits = scanner.find(data, offsets)
+                if hits:
+                    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)])
+                    for d, start, k, end in hits:
+                        zero = int(points[offsets[d]])
+                        found[d].append({"kind": rules[k].kind, "start": int(points[start]) - zero, "end": int(points[end]) - zero})
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, struct)], names=[id_col, "spans"])
 
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(scan, f"{schema}, spans array<struct<kind:string,start:bigint,end:bigint>>")
@@ -308,13 +399,6 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in base], F.sha2(told(of(*base)).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
 
 
-def reference_digest(text: str | None) -> tuple[int, int, int, str]:
-    """What the base columns must be, by plain regular expressions over the whole text."""
-    marked = exact_spans(BASE_RULES, [re.compile(r.pattern) for r in BASE_RULES], text or "", 0)
-    told = ",".join(f"{BASE_RULES[k].kind}:{s}:{e}" for s, k, e in sorted(marked))
-    return *(sum(k == i for _, k, _ in marked) for i in range(3)), hashlib.sha256(told.encode()).hexdigest()
-
-
 def _rule_sql(place: int, rule: Rule) -> str:
     """One row for each finding of a rule: what lies between matches gives their starts."""
     pattern = rule.pattern.replace("'", "''")

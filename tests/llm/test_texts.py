@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -244,6 +245,7 @@ def test_links_of_null_and_repeated_ids(spark):
     assert told == Counter([(1, 36, 1, True), (None, 36, 1, False), (5, 36, 1, False), (5, 36, 5, True), (NO_ID, 36, NO_ID, True), (None, 37, 5, False)])
 
 
+RULES = secrets_dfa.BASE_RULES + secrets_dfa.MORE_RULES
 SECRETS = [
     'Password = "abc+/123=" then token:short and TOKEN:=abcdef',
     "api_key='x' secret: 123456\napikey==abcdef passwdpassword=longenough",
@@ -259,7 +261,11 @@ def test_secrets(spark):
     rows = [(i, t, "en", "s", 0, "b", 1, "z", 7, 9) for i, t in enumerate(SECRETS)] + documents()
     got = secrets_dfa.digest(secrets_dfa.scan_secrets(frame(spark, rows))).collect()
     assert len(got) == len(rows)
-    want = Counter((d, *secrets_dfa.reference_digest(t)) for d, t, *_ in rows)
+    want = Counter()
+    for d, t, *_ in rows:
+        base = [(s, k, e) for s, k, e in ((m.start(), k, m.end()) for k, r in enumerate(secrets_dfa.BASE_RULES) for m in re.finditer(r.pattern, t or "") if m.end(r.group) - m.start(r.group) >= r.least)]
+        told = ",".join(f"{RULES[k].kind}:{s}:{e}" for s, k, e in sorted(base))
+        want[d, *(sum(k == i for _, k, _ in base) for i in range(3)), hashlib.sha256(told.encode()).hexdigest()] += 1
     assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == want
     assert sum(r.n_assign for r in got) >= 7 and sum(r.n_access for r in got) == 2 and sum(r.n_hex for r in got) >= 3
     more = next(r.spans for r in got if r.doc_id == 4 and "github" in r.spans)
@@ -268,19 +274,53 @@ def test_secrets(spark):
     assert secrets_dfa.scan_secrets(empty(spark)).count() == 0
 
 
-DFA = secrets_dfa.compile_rules(secrets_dfa.BASE_RULES + secrets_dfa.MORE_RULES)
+SCANNER = secrets_dfa.Scanner(RULES)
+
+
+def found(texts, stride=1024):
+    data = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    return SCANNER.find(np.frombuffer(b"".join(data), np.uint8), offsets, stride)
+
+
+def plain_spans(text):
+    """(start, rule, end) in bytes, by the plain expressions."""
+    at = lambda i: len(text[:i].encode())
+    return sorted((at(m.start()), k, at(m.end())) for k, r in enumerate(RULES) for m in re.finditer(r.pattern, text) if m.end(r.group) - m.start(r.group) >= r.least)
+
+
+PARTS = [*"token:= \"'aAKI9f_\n,secrt.-é", "password", "passwd", "AKIA", "0123456789abcdef", "gho_", "eyJ", "xoxb-", "AIza", "-----", "BEGIN ", "PRIVATE KEY", "api_key", "ABCDEFGHIJKLMNOPQRST", "abcdefgh" * 5]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=40).map("".join), min_size=1, max_size=3), st.integers(1, 40))
+def test_automata_find_what_expressions_find(texts, stride):
+    want, zero = [], 0
+    for d, t in enumerate(texts):
+        want += [(d, s + zero, k, e + zero) for s, k, e in plain_spans(t)]
+        zero += len(t.encode())
+    assert found(texts, stride) == want
+
+
+def test_matches_that_fail_take_their_bytes():
+    for text in ("secret=token: abcdefgh", "gho_abghp_" + "A" * 40, "eyJa.eyJeyJb.eyJc.d" + "x" * 30, "AKIAAAKIA" + "B" * 15):
+        assert [(s, k, e) for _, s, k, e in found([text])] == plain_spans(text)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from([*"token:= \"'aAKI9f_\n,secrt", "password", "AKIA", "0123456789abcdef"]), max_size=60).map("".join), st.integers(1, 40))
-def test_automaton_misses_no_line(text, stride):
-    data = np.frombuffer(text.encode(), np.uint8)
-    hits = secrets_dfa.accepted(DFA, data, np.array([0, len(data)]), stride)
-    lines = {text.encode()[:h].count(b"\n") for h in hits.tolist()}
-    at = 0
-    for i, line in enumerate(text.split("\n")):
-        if secrets_dfa.exact_spans(secrets_dfa.BASE_RULES, [re.compile(r.pattern) for r in secrets_dfa.BASE_RULES], line, at):
-            assert i in lines
+def test_long_texts_without_a_break():
+    """20 MB of letters, digits and spaces, in which no byte resets the automaton, at the speed of ordinary text."""
+    rng = np.random.default_rng(4)
+    long = bytes(rng.choice(np.frombuffer(b"ghijklmnopqrstuvw xyz019", np.uint8), 20 << 20)).decode()
+    place = len(long) // 2
+    long = long[:place] + " token = 'abcdef' eyJaaaa.eyJbbbb." + long[place:].replace(" ", "q")
+    ordinary = (long[: 5 << 20] + " ").replace("q", ",")
+    took = []
+    for text in (ordinary, long):
+        began = time.perf_counter()
+        spans = found([text])
+        took.append((time.perf_counter() - began) / len(text))
+    assert took[1] < 4 * took[0] + 1e-6
+    assert [(k, s) for _, s, k, _ in spans] == [(0, place + 1), (7, place + 18)] and spans[1][3] == len(long)
 
 
 def test_licences(spark):
