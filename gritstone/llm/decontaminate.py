@@ -14,9 +14,9 @@
 4. Checks. The longest common subsequence of the item with the passage and its surroundings must hold ``SHARE`` of the
    item's words, and half of its last words, the answer. Single words replaced, dropped or added leave enough.
 
-Items are broadcast ``ITEMS`` at a time: more items take more passes. No document leaves its task. Defined results: null
-or empty texts hold nothing and null or empty items are found nowhere; items of under ``LEAST_WORDS`` words are too
-short to tell and are skipped; a null id is kept; repeated rows give repeated results; items with equal texts are each
+Items of under ``LEAST_WORDS`` words are too short for a paraphrase to tell: they are found by their exact sequence of
+words. Items are broadcast ``ITEMS`` at a time: more items take more passes. No document leaves its task. Defined
+results: null or empty texts hold nothing and null or empty items are found nowhere; a null id is kept; repeated rows give repeated results; items with equal texts are each
 reported; empty tables give an empty result; other columns are ignored.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.llm.storage import ship
-from gritstone.llm.words import Words, mix, slices, trimmed, words_of
+from gritstone.llm.words import Words, gram_hash, mix, slices, trimmed, words_of
 
 TERMS = 8192
 RANK = 96
@@ -221,18 +221,72 @@ def stretches(word: np.ndarray, doc: np.ndarray, rare: tuple[np.ndarray, np.ndar
     return np.concatenate(out_at), np.concatenate(out_item)
 
 
+def verbatim(words: Words, items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, item) of the short items that documents hold word for word."""
+    doc, item = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in sorted({len(i) for i in items}):
+        mine = [k for k, i in enumerate(items) if len(i) == n]
+        asked = gram_hash(Words(words.data, words.starts, words.ends, np.arange(len(mine) + 1) * n, np.concatenate([items[k] for k in mine]), words.raw), n)[0][::n]
+        gram, ok = gram_hash(words, n)
+        order = np.argsort(asked, kind="stable")
+        at = np.flatnonzero(ok & np.isin(gram, asked))
+        low, many = np.searchsorted(asked[order], gram[at], "left"), np.searchsorted(asked[order], gram[at], "right")
+        many -= low
+        which = order[np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+        doc.append(np.searchsorted(words.first, np.repeat(at, many), side="right") - 1)
+        item.append(np.array(mine)[which])
+    return np.concatenate(doc), np.concatenate(item)
+
+
 def _search(space: tuple[np.ndarray, np.ndarray], ids: list, items: list[np.ndarray], clean: bool = False):
     """Third pass: documents' leaks of some items, or with ``clean`` the rows of documents without any."""
     weights, idf = space
+    size = np.array([len(i) for i in items])
+    every, short = (items, size), np.flatnonzero(size < LEAST_WORDS)
+    long = np.flatnonzero(size >= LEAST_WORDS)
+    items, size = [items[k] for k in long], size[long]
     lists = [i.tolist() for i in items]
-    known = np.unique(np.concatenate(items))
+    known = np.unique(np.concatenate([np.zeros(0, np.uint64), *items]))
     has = np.zeros((len(items), len(known) + 1), bool)
     for k, i in enumerate(items):
         has[k, np.searchsorted(known, i)] = True
-    size = np.array([len(i) for i in items])
     need = np.ceil(0.35 * np.minimum([len(np.unique(i)) for i in items], 2 * BLOCK)).astype(int)
-    rare = rare_words(items, idf, known)
-    asked = _unit(np.array([weights[(i % np.uint64(TERMS)).astype(np.int64)].sum(axis=0) for i in items]))
+    rare = rare_words(items, idf, known) if items else None
+    asked = _unit(np.array([weights[(i % np.uint64(TERMS)).astype(np.int64)].sum(axis=0) for i in items])) if items else None
+
+    def passages(b: Blocks, n: int) -> dict[tuple[int, int], tuple[int, float]]:
+        """For each document and item that it holds by LCS and answer checks: the common words and the cosine."""
+        single = b.fold(weights)
+        pair = single.copy()
+        joined = np.append(b.doc[1:] == b.doc[:-1], False)
+        pair[joined] += single[1:][joined[:-1]]
+        near = np.maximum(_unit(single) @ asked.T, _unit(pair) @ asked.T)
+        block, item = np.nonzero(near >= COSINE)
+        place = np.minimum(np.searchsorted(known, b.words.hashes), len(known) - 1)
+        word = np.append(np.where(known[place] == b.words.hashes, place, len(known)), len(known))
+        keep = np.zeros(len(block), bool)
+        for at in range(0, len(block), 1 << 15):
+            some = slice(at, at + (1 << 15))
+            span = b.start[block[some]][:, None] + np.arange(2 * BLOCK)
+            span = word[np.where(span < b.words.first[b.doc[block[some]] + 1][:, None], span, n)]
+            span.sort(axis=1)
+            span[:, 1:][span[:, 1:] == span[:, :-1]] = len(known)
+            keep[some] = has[item[some][:, None], span].sum(axis=1) >= need[item[some]]
+        at, of = stretches(word[:-1], b.doc[b.of_word], rare, size)
+        both = np.unique(np.concatenate([block[keep] * len(items) + item[keep], b.of_word[at] * len(items) + of]))
+        block, item = both // len(items), both % len(items)
+        best: dict[tuple[int, int], tuple[int, float]] = {}
+        for x, k in zip(block.tolist(), item.tolist()):
+            d = int(b.doc[x])
+            old = best.get((d, k), (0, 0.0))
+            if old[0] == size[k]:
+                continue
+            low = max(int(b.words.first[d]), int(b.start[x]) - int(size[k]))
+            high = min(int(b.words.first[d + 1]), int(b.start[x]) + 2 * BLOCK + int(size[k]))
+            common = holds(lists[k], b.words.hashes[low:high].tolist())
+            if common:
+                best[d, k] = max(old, (common, float(near[x, k])))
+        return best
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,36 +298,9 @@ def _search(space: tuple[np.ndarray, np.ndarray], ids: list, items: list[np.ndar
                     if clean:
                         yield batch.drop_columns("text")
                     continue
-                single = b.fold(weights)
-                pair = single.copy()
-                joined = np.append(b.doc[1:] == b.doc[:-1], False)
-                pair[joined] += single[1:][joined[:-1]]
-                near = np.maximum(_unit(single) @ asked.T, _unit(pair) @ asked.T)
-                block, item = np.nonzero(near >= COSINE)
-                place = np.minimum(np.searchsorted(known, b.words.hashes), len(known) - 1)
-                word = np.append(np.where(known[place] == b.words.hashes, place, len(known)), len(known))
-                keep = np.zeros(len(block), bool)
-                for at in range(0, len(block), 1 << 15):
-                    some = slice(at, at + (1 << 15))
-                    span = b.start[block[some]][:, None] + np.arange(2 * BLOCK)
-                    span = word[np.where(span < b.words.first[b.doc[block[some]] + 1][:, None], span, n)]
-                    span.sort(axis=1)
-                    span[:, 1:][span[:, 1:] == span[:, :-1]] = len(known)
-                    keep[some] = has[item[some][:, None], span].sum(axis=1) >= need[item[some]]
-                at, of = stretches(word[:-1], b.doc[b.of_word], rare, size)
-                both = np.unique(np.concatenate([block[keep] * len(items) + item[keep], b.of_word[at] * len(items) + of]))
-                block, item = both // len(items), both % len(items)
-                best: dict[tuple[int, int], tuple[int, float]] = {}
-                for x, k in zip(block.tolist(), item.tolist()):
-                    d = int(b.doc[x])
-                    old = best.get((d, k), (0, 0.0))
-                    if old[0] == size[k]:
-                        continue
-                    low = max(int(b.words.first[d]), int(b.start[x]) - int(size[k]))
-                    high = min(int(b.words.first[d + 1]), int(b.start[x]) + 2 * BLOCK + int(size[k]))
-                    common = holds(lists[k], b.words.hashes[low:high].tolist())
-                    if common:
-                        best[d, k] = max(old, (common, float(near[x, k])))
+                best = {(d, int(long[k])): x for (d, k), x in (passages(b, n) if items else {}).items()}
+                if len(short):
+                    best |= {(int(d), int(short[k])): (int(every[1][short[k]]), 1.0) for d, k in zip(*verbatim(b.words, [every[0][k] for k in short]))}
                 if clean:
                     stay = np.ones(batch.num_rows, bool)
                     stay[[d for d, _ in best]] = False
@@ -284,7 +311,7 @@ def _search(space: tuple[np.ndarray, np.ndarray], ids: list, items: list[np.ndar
                         [
                             batch.column("id").take(pa.array([d for d, _ in keys])),
                             pa.array([ids[k] for _, k in keys], pa.int64()),
-                            pa.array([int(size[k]) for _, k in keys], pa.int64()),
+                            pa.array([int(every[1][k]) for _, k in keys], pa.int64()),
                             pa.array([best[x][0] for x in keys], pa.int64()),
                             pa.array([best[x][1] for x in keys], pa.float64()),
                         ],
@@ -304,7 +331,7 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[tuple[list, list[np.ndarray]]
     for part in range(blocks):
         rows = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == part).collect()
         words = words_of(pa.array([r["text"] for r in rows], pa.string()), plain=True)
-        items = [(r["item_id"], words.hashes[a:z]) for r, a, z in zip(rows, words.first, words.first[1:]) if z - a >= LEAST_WORDS]
+        items = [(r["item_id"], words.hashes[a:z]) for r, a, z in zip(rows, words.first, words.first[1:]) if z > a]
         if items:
             yield [k for k, _ in items], [i for _, i in items]
 

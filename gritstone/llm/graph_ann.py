@@ -218,8 +218,9 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 5, id_col:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     per_shard = min(max(vectors.count() // parts, shard_rows[0]), shard_rows[1])
     n = max(1, -(-vectors.count() // per_shard))
-    rows = chosen.select(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
-    asked = chosen.filter(queries).select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard"), F.lit(1).alias("kind"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
+    kind = "array<float>" if vectors.schema[vector_col].dataType.elementType.typeName() == "float" else "array<double>"  # scores are of the vectors as given
+    rows = chosen.select(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("vector"))
+    asked = chosen.filter(queries).select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard"), F.lit(1).alias("kind"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("vector"))
     dealt = rows.unionAll(asked).repartition(min(n, parts), "shard").sortWithinPartitions("shard", "kind")
     found = dealt.mapInArrow(_search(k), "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -7,12 +7,15 @@ document's label, and the field's conditional likelihood is maximised by Adam on
 A document's score is the length-weighted mean of its lines' marginals of "good", put through a logistic curve fitted
 on the training documents.
 
-Training uses a bounded sample (``TRAIN_DOCS`` documents, ``TRAIN_LINES`` lines; the smallest hashes of their ids); every
-whole text is scored, in one scan without a shuffle. Inputs of a score are the characters of the text alone.
+Training uses a bounded sample: labelled documents by the hash of their ids, of ``TRAIN_DOCS`` of these each one that
+still fits into ``TRAIN_LINES`` lines and ``TRAIN_BYTES`` bytes, whatever its own length; only sizes are looked at before
+texts travel. Every whole text is scored, in one scan without a shuffle. Inputs of a score are the characters of the text
+alone.
 
 Defined results: a null text is an empty one, and an empty text is one empty line, scored like any other; lines end at
 line feeds; rows that repeat get equal scores; without any label, or with labels of one kind only, the score is the
-share of good labels (0.5 if there is none); an empty table gives an empty result; other columns are ignored.
+share of good labels (0.5 if there is none); of rows that repeat an id and a text one is learned from; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from gritstone.llm.words import slices, trimmed, words_of
 
 TRAIN_DOCS = 2500
 TRAIN_LINES = 60_000
+TRAIN_BYTES = 16 << 20
 BINS = 8
 SLICE = 1 << 20
 FEATURES = ("log_length", "letters", "capitals", "digits", "symbols", "bars", "stops", "spaces", "word_length", "distinct", "repeats", "ends", "twin_before", "twin_after", "edge_marks")
@@ -279,19 +283,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS, most_lines: int = TRAIN_LINES) -> Field:
-    """Fit on a bounded sample of labelled documents that are not held out."""
-    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    lines = F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").filter(lines <= most_lines // most_docs * 8).select("text", F.col("quality").cast("int"), "doc_id")
-    rows = sorted(texts.collect(), key=lambda r: (r["doc_id"], r["text"] or ""))  # bounded: most_docs texts of few lines
-    kept, n = [], 0
+def sample(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS, most_lines: int = TRAIN_LINES, most_bytes: int = TRAIN_BYTES) -> list[tuple[str, int]]:
+    """The (text, label) pairs that the field learns from, in the order of the hashes of their ids."""
+    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    sized = docs.select(F.col("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("lines"), F.octet_length("text").alias("bytes"))
+    sized = sized.join(known, "doc_id").dropDuplicates(["doc_id", "text_key"])
+    rows = sized.orderBy(F.xxhash64("doc_id"), "doc_id", "text_key").limit(most_docs).collect()  # numbers only
+    chosen, lines, size = {}, 0, 0
     for r in rows:
-        n += (r["text"] or "").count("\n") + 1
-        if n <= most_lines:
-            kept.append(r)
-    return fit([r["text"] for r in kept], [r["quality"] for r in kept])
+        if lines + r["lines"] <= most_lines and size + r["bytes"] <= most_bytes:
+            chosen[r["doc_id"], r["text_key"]] = (len(chosen), r["label"])
+            lines, size = lines + r["lines"], size + r["bytes"]
+    if not chosen:
+        return []
+    keys = docs.sparkSession.createDataFrame([(d, k) for d, k in chosen], "doc_id bigint, text_key bigint")
+    texts = docs.select("doc_id", text.alias("text")).withColumn("text_key", F.xxhash64("text")).join(F.broadcast(keys), ["doc_id", "text_key"])
+    found = {(r["doc_id"], r["text_key"]): r["text"] for r in texts.dropDuplicates(["doc_id", "text_key"]).collect()}  # at most most_bytes
+    return [(found[k], label) for k, (_, label) in sorted(chosen.items(), key=lambda x: x[1][0])]
+
+
+def train(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS, most_lines: int = TRAIN_LINES, most_bytes: int = TRAIN_BYTES) -> Field:
+    """Fit on a bounded sample of labelled documents that are not held out."""
+    rows = sample(docs, labels, most_docs, most_lines, most_bytes)
+    return fit([t for t, _ in rows], [y for _, y in rows])
 
 
 def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -2,16 +2,20 @@
 
 Only DataFrame functions and Spark's own writers move rows: no Python runs on the executors.
 
-* Append. An arrival is written as small immutable shards by one scan: no shuffle, no rewriting.
-* Tiers. A shard's tier is how many times ``fanout`` fits between the least shard size and its own. A tier with at
-  least ``fanout`` shards is merged: Spark's reader packs whole files into partitions of the target size, each of
-  which one task writes as one shard, so merging needs no shuffle either. Shards of the target size are never
-  rewritten. Merging goes on until no tier is due, so each row is rewritten about log(target / arrival) times.
-* Manifest. A version lists its shards with rows, bytes and tier. It is written beside the table and then renamed in
-  one step to its number; the rename fails if that version exists, so of two writers one loses and nothing is half seen.
-  Readers list the newest version and read just its files; older versions stay readable until they are expired.
-
-Tasks that are lost write their files again; files that no manifest names are never read.
+* Append. An arrival is written as one run: a folder of small immutable shards of about the same size, made by one scan
+  without a shuffle or rewriting.
+* Tiers. A run's tier is how many times ``fanout`` fits between the least shard size and its shards' mean size. A tier
+  whose runs have at least ``fanout`` shards is merged into one run: Spark's reader packs whole files into partitions of
+  the target size, each of which one task writes as one shard, so merging needs no shuffle either. Runs whose shards are
+  over half the target on average are settled and never rewritten. Merging goes on until no tier is due; every merge
+  lifts its rows by a tier at least, so it ends, and each row is rewritten about log(target / arrival) times.
+* Manifest. A version lists its shards with run, rows, bytes and tier. It is written beside the table and then renamed
+  to its number; the rename fails if that version exists, so of two writers one loses and nothing is half seen. This
+  asks for a file system that renames folders in one step (HDFS, local and most mounted ones; not plain object stores).
+  Readers list the newest version and read the folders of its runs; older versions stay readable until they expire.
+
+The driver handles names of runs, one for each write that still has rows, never those of shards. Tasks that are lost
+write their files again: a run's folder is complete when its write has been committed, and only then named.
 
 Defined results: null columns are kept as they are; an empty table commits a manifest without shards and reads back as
 an empty table; repeated rows stay repeated; columns may have any name, as file facts come from hidden metadata.
@@ -19,16 +23,17 @@ an empty table; repeated rows stay repeated; columns may have any name, as file
 
 from __future__ import annotations
 
+import math
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gritstone.llm.storage import scratch_path
 
-MANIFEST = "path string, rows bigint, bytes bigint, tier int"
+MANIFEST = "run string, path string, rows bigint, bytes bigint, tier int"
 TARGET_BYTES = 64 << 20
 ARRIVAL_ROWS = 2000
 LEAST_BYTES = 1 << 20
@@ -79,7 +84,7 @@ class ShardTable:
     def commit(self, shards: DataFrame, after: int) -> int:
         """Publish ``shards`` as version ``after + 1``, in one rename; FileAlreadyExistsException if another writer did."""
         draft = f"manifest-drafts/{uuid.uuid4().hex}"
-        shards.select("path", "rows", "bytes", "tier").coalesce(1).write.parquet(f"{self.root}/{draft}")
+        shards.select("run", "path", "rows", "bytes", "tier").write.parquet(f"{self.root}/{draft}")
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         folder = self._path("manifest")
         folder.getFileSystem(conf).mkdirs(folder)
@@ -87,72 +92,74 @@ class ShardTable:
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder.toUri(), conf).rename(self._path(draft), self._path(f"manifest/v{after + 1}"), none)
         return after + 1
 
-    def _tier(self) -> F.Column:
-        steps = F.floor(F.log(F.greatest(F.col("bytes") / F.lit(float(self.least_bytes)), F.lit(1.0))) / F.log(F.lit(float(self.fanout))))
-        return F.when(F.col("bytes") * 2 > self.target_bytes, F.lit(SETTLED)).otherwise(steps).cast("int")
+    def _tier(self, mean: float, least: int = 0) -> int:
+        if 2 * mean > self.target_bytes:
+            return SETTLED
+        return max(least, int(math.log(max(mean / self.least_bytes, 1.0), self.fanout)))
+
+    def _rows(self, runs: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/data/{r}" for r in runs])
 
-    def _written(self, folder: str) -> DataFrame:
-        """What a write left in ``folder``, as manifest rows."""
-        made = self.spark.read.schema(self.schema).parquet(f"{self.root}/{folder}")
+    def _written(self, run: str, least: int = 0) -> DataFrame:
+        """What a write left as ``run``, as manifest rows."""
+        made = self._rows([run])
         facts = made.select(made.metadataColumn("_metadata").alias("m")).select(F.col("m.file_path").alias("path"), F.col("m.file_size").alias("bytes"))
-        return facts.groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.max("bytes").alias("bytes")).withColumn("tier", self._tier())
+        shards = facts.groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.max("bytes").alias("bytes"))
+        mean = shards.agg(F.avg("bytes")).first()[0] or 0.0
+        return shards.select(F.lit(run).alias("run"), "path", "rows", "bytes", F.lit(self._tier(mean, least)).alias("tier"))
 
     def append(self, rows: DataFrame, arrival_rows: int = ARRIVAL_ROWS) -> int:
-        """Write an arrival as small shards, and commit them beside the ones there are."""
+        """Write an arrival as a run of small shards, and commit it beside the ones there are."""
         have = self.versions()
-        folder = f"data/{uuid.uuid4().hex}"
-        rows.write.option("maxRecordsPerFile", arrival_rows).parquet(f"{self.root}/{folder}")
-        return self.commit(self.manifest().unionByName(self._written(folder)), have[-1] if have else 0)
+        run = uuid.uuid4().hex
+        rows.write.option("maxRecordsPerFile", arrival_rows).parquet(f"{self.root}/data/{run}")
+        return self.commit(self.manifest().unionByName(self._written(run)), have[-1] if have else 0)
+
+    def runs(self, version: int | None = None) -> list:
+        """The runs of a version: run, tier, shards; one row for each write that it still reads."""
+        return self.manifest(version).groupBy("run", "tier").agg(F.count(F.lit(1)).alias("shards")).orderBy("run").collect()
 
-    def compact(self, most_rounds: int = 16) -> int:
+    def compact(self) -> int:
         """Merge due tiers until none is due; each round is one commit. The newest version."""
-        for _ in range(most_rounds):
-            have = self.versions()
-            tiers = self.manifest().filter(F.col("tier") < SETTLED).groupBy("tier").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= self.fanout)
-            due = sorted(r["tier"] for r in tiers.collect())
+        while True:
+            have, tiers = self.versions(), {}
+            for r in self.runs():
+                tiers.setdefault(r["tier"], []).append(r)
+            due = sorted(t for t, runs in tiers.items() if t < SETTLED and sum(r["shards"] for r in runs) >= self.fanout)
             if not due:
-                break
-            now = self.manifest()
-            kept = now.filter(~F.col("tier").isin(due))
+                return have[-1]
+            kept = self.manifest().filter(~F.col("tier").isin(due))
             for tier in due:
-                paths = [r["path"] for r in now.filter(F.col("tier") == tier).select("path").collect()]  # names of files, not data
-                folder = f"data/{uuid.uuid4().hex}"
+                run = uuid.uuid4().hex
                 with _settings(self.spark, maxPartitionBytes=str(self.target_bytes), openCostInBytes="0", minPartitionNum="1"):
-                    self.spark.read.schema(self.schema).parquet(*paths).write.parquet(f"{self.root}/{folder}")
-                merged = self._written(folder)
-                # merged shards go up a tier at least; where the reader cannot pack files tighter, the tier is settled
-                least = SETTLED if 4 * merged.count() > 3 * len(paths) else tier + 1
-                kept = kept.unionByName(merged.withColumn("tier", F.greatest("tier", F.lit(least))))
+                    self._rows([r["run"] for r in tiers[tier]]).write.parquet(f"{self.root}/data/{run}")
+                kept = kept.unionByName(self._written(run, tier + 1))
             self.commit(kept, have[-1])
-        return self.versions()[-1]
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version."""
-        paths = [r["path"] for r in self.manifest(version).select("path").collect()]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+        runs = [r["run"] for r in self.runs(version)]
+        return self._rows(runs) if runs else self.spark.createDataFrame([], self.schema)
 
     def rows_by_shard(self, version: int | None = None) -> DataFrame:
-        """The rows of a version with _shard: struct(shard, shard_rows, shard_bytes, tier); shards are numbered by path."""
+        """The rows of a version with _shard: struct(shard, shard_rows, shard_bytes, tier); a shard is named by its file."""
         rows = self.read(version)
         if not self.manifest(version).take(1):
-            return rows.withColumn("_shard", F.lit(None).cast("struct<shard:int,shard_rows:bigint,shard_bytes:bigint,tier:int>"))
-        numbered = self.manifest(version).withColumn("shard", F.row_number().over(Window.orderBy("path")) - 1)
-        facts = numbered.select(F.col("path").alias("_gritstone_of"), F.struct("shard", F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), "tier").alias("_shard"))
+            return rows.withColumn("_shard", F.lit(None).cast("struct<shard:string,shard_rows:bigint,shard_bytes:bigint,tier:int>"))
+        name = F.concat_ws("/", "run", F.regexp_extract("path", r"part-(\d+)[^/]*?-c(\d+)", 1), F.regexp_extract("path", r"part-(\d+)[^/]*?-c(\d+)", 2))
+        facts = self.manifest(version).select(F.col("path").alias("_gritstone_of"), F.struct(name.alias("shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), "tier").alias("_shard"))
         return rows.withColumn("_gritstone_path", rows.metadataColumn("_metadata")["file_path"]).join(facts, F.col("_gritstone_path") == F.col("_gritstone_of")).drop("_gritstone_path", "_gritstone_of")
 
     def expire(self, keep: int = 1) -> None:
-        """Delete all but the newest ``keep`` versions, and the shards that only those name."""
+        """Delete all but the newest ``keep`` versions, and the runs that only those name."""
         have = self.versions()
         old, new = have[:-keep], have[-keep:]
-        named = lambda vs: {r["path"] for v in vs for r in self.manifest(v).select("path").collect()}
+        named = lambda vs: {r["run"] for v in vs for r in self.runs(v)}
         drop = named(old) - named(new) if old else set()
-        conf, path = self.spark._jsc.hadoopConfiguration(), self.spark._jvm.org.apache.hadoop.fs.Path
-        for v in old:
-            p = self._path(f"manifest/v{v}")
-            p.getFileSystem(conf).delete(p, True)
-        for name in drop:
-            p = path(path(name).toUri()) if "%" not in name else path(self.spark._jvm.java.net.URI(name))
-            p.getFileSystem(conf).delete(p, False)
+        conf = self.spark._jsc.hadoopConfiguration()
+        for name in [f"manifest/v{v}" for v in old] + [f"data/{run}" for run in drop]:
+            path = self._path(name)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def shard_documents(docs: DataFrame, root: str | None = None, target_bytes: int = TARGET_BYTES, arrival_rows: int = ARRIVAL_ROWS) -> ShardTable:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gritstone.session import ship_package
+from gritstone.session import shared_dir, ship_package
 
 
 #: Rows of an Arrow batch: texts are whole and some are long, so the default of 10,000 rows would hold too much at once.
@@ -15,23 +14,15 @@ BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Get a session ready for Python operators: bounded Arrow batches, and this package on the executors, sent once."""
+    """Get a session ready for Python operators: this package on the executors, sent once, and bounded Arrow batches.
+
+    The bound stays set in the session, as plans read it when they run, which may be after an operator returns.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     ship_package(spark)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where a test session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="gritstone-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/gritstone/{label}-{uuid.uuid4().hex}"
 
@@ -73,4 +64,4 @@ def bucket_count(df: DataFrame, bytes_per_bucket: int = 16 << 20, per_partition:
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     size = sum(s for s in sizes if s < 1 << 56)
     least = per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return int(min(max(least, size // bytes_per_bucket), 1 << 20))
+    return int(max(least, size // bytes_per_bucket))
