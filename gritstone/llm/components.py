@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritstone.llm.storage import discard, materialize
+from gritstone.llm.storage import discard, few, materialize, small
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -18,20 +18,22 @@ def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
 
     Each round is one large star (every larger neighbour points to the least) and one small star (every smaller
     neighbour does); it ends when a round changes nothing, after about log(diameter) rounds. Loops and repeated links do
-    no harm; nodes without links are not listed; an empty table gives an empty one.
+    no harm; nodes without links are not listed; an empty table gives an empty one. Rounds over few links take few tasks
+    and join by broadcast. The result is a table in the shared folder.
     """
     edges = materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
     seen = _mark(edges)
     for _ in range(most_rounds):
-        if not seen[0]:
+        n = seen[0]
+        if not n:
             break
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = few(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), 2 * n)
+        large = few(both.filter("v > u").join(small(least, 2 * n), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), n)
         # after a large star every link points from larger to smaller, so u's smaller neighbours are its v
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).filter("u <> v").distinct()
-        old, edges = edges, materialize(small, "links")
+        low = few(large.groupBy("u").agg(F.min("v").alias("m")), n)
+        starred = large.join(small(low, n), "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).filter("u <> v").distinct()
+        old, edges = edges, materialize(few(starred, 2 * n), "links")
         discard(old)
         now = _mark(edges)
         if now == seen:
@@ -39,4 +41,7 @@ def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
         seen = now
     else:
         raise RuntimeError("components did not converge")
-    return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    of = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = materialize(few(of, 2 * seen[0]), "components")
+    discard(edges)
+    return out

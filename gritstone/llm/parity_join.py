@@ -37,15 +37,13 @@ from pyspark.sql import functions as F
 
 from gritstone.llm.components import components
 from gritstone.llm.packed import blocks, by_bucket, ragged, schema_of
-from gritstone.llm.storage import bucket_count, discard, materialize, release, ship
+from gritstone.llm.storage import bucket_count, discard, few, materialize, release, ship, small
 from gritstone.llm.substring_dedup import NO_ID, ids_of
 from gritstone.llm.words import WORD_BASE, Words, gram_hash, mix, run_hash, slices, trimmed, words_of
 
 SHINGLE = 5
 SMALL = 3
 FAN = 256
-#: Rows of five numbers that may be broadcast.
-MOST_BROADCAST = 1 << 18
 #: Asking members and asked ones of a block of a large group.
 ASKERS, ASKED = 1024, 1 << 16
 #: Words of 64 bits in a bit sketch, for sets of fewer shingles than the bound; a sketch folds to any smaller one.
@@ -366,20 +364,17 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def small(table: DataFrame) -> DataFrame:
-    """A materialized table, marked for broadcast if it is under the bound."""
-    return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
-
-
 def verify(source: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link, by whole sets; a is the centre. A table in the shared folder."""
-    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
-    fans = pairs.join(degree, "a").select(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.ceil(F.col("deg") / FAN)).cast("int").alias("fan"), F.col("b").alias("key"))
-    needs = fans.unionAll(fans.select("centre", "fan", F.col("centre").alias("key")).distinct()).join(classes.select("key", F.col("first.id").alias("of"), "first.text_key"), "key")
+    n = pairs.count()
+    degree = few(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("deg")), n)
+    fans = pairs.join(small(degree, n), "a").select(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.ceil(F.col("deg") / FAN)).cast("int").alias("fan"), F.col("b").alias("key"))
+    members = few(fans.unionAll(fans.select("centre", "fan", F.col("centre").alias("key"))).distinct(), 2 * n)
+    needs = classes.select("key", F.col("first.id").alias("of"), "first.text_key").join(small(members, 2 * n), "key")
     needs = materialize(needs, "needs")
-    texts = source.select(F.coalesce("id", F.lit(int(NO_ID))).alias("of"), "text_key", "text")
     # under the bound only the texts that are needed move, once; beyond it all take a shuffle by id and hash first
-    texts = texts.join(small(needs), ["of", "text_key"])
+    texts = source.select(F.coalesce("id", F.lit(int(NO_ID))).alias("of"), "text_key", "text")
+    texts = texts.join(small(needs, 2 * n), ["of", "text_key"])
     parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.select("centre", "fan", "key", "text").repartition(parts, "centre", "fan")
     links = dealt.sortWithinPartitions("centre", "fan", (F.col("key") != F.col("centre"))).mapInArrow(compare, "u bigint, v bigint")
@@ -409,6 +404,7 @@ def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = verify(source, tested, classes)
     release(spark)
     joined = components(links)
+    n_large = found.filter("kind = 2").count()
     # the size of a group is known where it is found, so rows of a large one can be salted in every join by group
     salts = lambda many: F.ceil(F.col(many) / ASKED).cast("int")
     apart = found.filter("kind = 2").select(F.col("x").alias("sig"), F.col("y").alias("key"), F.col("n").alias("many"))
@@ -416,26 +412,29 @@ def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     while True:
         large = apart.join(small(joined.withColumnRenamed("node", "key")), "key", "left").withColumn("component", F.coalesce("component", "key"))
         large = large.withColumn("asks", F.lit(True)) if asking is None else large.drop("asks").join(small(asking), ["sig", "key"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-        large = materialize(large.withColumn("salt", F.pmod(F.xxhash64("key"), salts("many")).cast("int")), "large-groups")
-        each = large.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("asks").cast("long")).alias("asking"), F.max("many").alias("many"))
+        large = materialize(few(large, n_large).withColumn("salt", F.pmod(F.xxhash64("key"), salts("many")).cast("int")), "large-groups")
+        each = few(large.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("asks").cast("long")).alias("asking"), F.max("many").alias("many")), n_large)
         groups = each.groupBy("sig").agg(F.sum("c").alias("c"), F.max("many").alias("many"), F.sum("asking").alias("asking"), F.count(F.lit(1)).alias("components"), F.max(F.struct("c", "component")).alias("largest"))
         groups = groups.filter("components > 1 AND asking > 0").withColumn("asking", F.col("c") - F.col("largest.c") if asking is None else F.col("asking"))
-        groups = materialize(groups.select("sig", F.explode(F.sequence(F.lit(0), salts("many") - 1)).alias("salt"), "asking", F.col("largest.component").alias("largest")), "groups")
+        groups = materialize(few(groups, n_large).select("sig", F.explode(F.sequence(F.lit(0), salts("many") - 1)).alias("salt"), "asking", F.col("largest.component").alias("largest")), "groups")
         rest = large.join(small(groups), ["sig", "salt"])
         rest = rest.withColumn("asks", F.col("component") != F.col("largest")) if asking is None else rest
-        rest = materialize(rest.select("sig", "key", "component", "many", "asks", "asking"), "mixed-groups")
+        rest = materialize(few(rest, n_large).select("sig", "key", "component", "many", "asks", "asking"), "mixed-groups")
         discard(large, groups, *spent)
         spent = [rest]
-        if rest.isEmpty():
+        n_large = rest.count()
+        if not n_large:
             break
         lines = F.ceil(F.col("asking") / ASKERS).cast("int")
-        shown = rest.join(classes.select("key", "n", "sketch"), "key")
+        shown = classes.select("key", "n", "sketch").join(small(rest, n_large), "key")
         every = shown.select("sig", F.explode(F.sequence(F.lit(0), lines - 1)).alias("ask"), F.pmod(F.xxhash64("key"), salts("many")).cast("int").alias("of"), F.lit(False).alias("asks"), "key", "component", "n", "sketch")
         askers = shown.filter("asks").select("sig", F.pmod(F.xxhash64("key"), lines).cast("int").alias("ask"), F.explode(F.sequence(F.lit(0), salts("many") - 1)).alias("of"), "asks", "key", "component", "n", "sketch")
         dealt = every.unionAll(askers).repartition(parts, "sig", "ask", "of").sortWithinPartitions("sig", "ask", "of", F.desc("asks"))
         asked = materialize(dealt.mapInArrow(across(width), ACROSS), "asked")
-        late = materialize(asked.filter("NOT more").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "late")
-        asking = materialize(asked.filter("more").select(F.col("a").alias("sig"), F.col("b").alias("key")).distinct().withColumn("asks", F.lit(True)), "asking")
+        n_asked = asked.count()
+        late = few(asked.filter("NOT more").select("a", "b").distinct(), n_asked)
+        late = materialize(late.join(small(tested), ["a", "b"], "left_anti"), "late")
+        asking = materialize(few(asked.filter("more").select(F.col("a").alias("sig"), F.col("b").alias("key")).distinct(), n_asked).withColumn("asks", F.lit(True)), "asking")
         discard(asked)
         spent.append(asking)
         if not late.isEmpty():

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gritstone.session import shared_dir, ship_package
 
@@ -46,6 +47,21 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a few numbers that may be broadcast, and that one task may well take.
+MOST_BROADCAST = 1 << 18
+TASK_ROWS = 1 << 17
+
+
+def small(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """A table of a few numbers a row, marked for broadcast if its rows (counted, or at most ``rows``) are under the bound."""
+    return F.broadcast(table) if (table.count() if rows is None else rows) <= MOST_BROADCAST else table
+
+
+def few(table: DataFrame, rows: int) -> DataFrame:
+    """The result of a shuffle of at most ``rows`` rows of a few numbers, in no more tasks than those are worth."""
+    return table.coalesce(max(1, -(-rows // TASK_ROWS))) if rows < 64 * TASK_ROWS else table
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files of finished steps: it acts when the driver collects garbage."""
     import gc
