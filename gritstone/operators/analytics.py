@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gritstone.functions.measures import improvement_column, reward_column
 from gritstone.operators.promotion import BOOTSTRAP_SAMPLES, BOOTSTRAP_SEED, bootstrap_interval, coefficient_of_variation, rank_biserial, signed_ranks, wilcoxon_p
 from gritstone.session import ship_package
+from gritstone.sources.files import write_csv
 
 
 def require_single_run(rows: DataFrame, run_id: str | None = None) -> str:
@@ -83,7 +84,8 @@ def _statistics(samples: int, seed: int):
 def template_summary(pairs: DataFrame, min_improvement_pct: float = 2.0, alpha: float = 0.05, samples: int = BOOTSTRAP_SAMPLES, seed: int = BOOTSTRAP_SEED) -> DataFrame:
     """Per template, candidate and phase over valid pairs: percentiles in the JVM, exact tests per group.
 
-    A group is one candidate's pairs in one phase, which the parameter files bound (100 by default).
+    A group is one candidate's pairs in one phase, which the parameter files bound (100 by default); one of more than
+    ``promotion.MOST_PAIRS`` pairs that differ is an error.
     """
     ship_package(pairs.sparkSession)
     keys = ["template_fingerprint", "candidate_id", "benchmark_phase"]
@@ -171,12 +173,22 @@ def rate_per_second(samples: DataFrame, labels: list[str], ts: str = "ts", value
     return samples.withColumn("rate", F.when(since.isNotNull() & (seconds > 0), risen / seconds))
 
 
+def window_totals(samples: DataFrame, label: str, every: str = "1 hour", ts: str = "ts", value: str = "value") -> DataFrame:
+    """Per window and value of ``label``: samples, their sum, and the share of the window's sum over all labels."""
+    each = samples.groupBy(F.window(ts, every)["start"].alias("window_start"), label).agg(F.count(F.lit(1)).alias("samples"), F.sum(value).alias("total"))
+    whole = each.groupBy("window_start").agg(F.sum("total").alias("_whole"))
+    return each.join(whole, "window_start").withColumn("share", F.when(F.col("_whole") != 0, F.col("total") / F.col("_whole"))).drop("_whole")
+
+
 def write_reports(folder: str, pairs: DataFrame, summary: DataFrame, sources: DataFrame, funnel: DataFrame, outcomes: DataFrame) -> dict[str, Path]:
-    """Three CSV tables, one JSON and one Markdown summary, in a local folder of the driver: these are reports, not data."""
+    """Three CSV tables, one JSON and one Markdown summary, in a local folder of the driver. Spark writes the pairs, of which
+    there may be many; the summaries have a row for each candidate or source."""
     out = Path(folder)
     out.mkdir(parents=True, exist_ok=True)
     made = {}
-    frames = {"pair-summary": pairs.orderBy("run_pair_id"), "template-summary": summary.orderBy("template_fingerprint", "candidate_id", "benchmark_phase"), "source-summary": sources.orderBy("source_type", "source_detail")}
+    made["pair-summary"] = out / "pair-summary.csv"
+    write_csv(pairs.orderBy("run_pair_id"), made["pair-summary"].resolve().as_uri())
+    frames = {"template-summary": summary.orderBy("template_fingerprint", "candidate_id", "benchmark_phase"), "source-summary": sources.orderBy("source_type", "source_detail")}
     tables = {name: df.toPandas() for name, df in frames.items()}
     for name, t in tables.items():
         made[name] = out / f"{name}.csv"

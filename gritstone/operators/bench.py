@@ -118,7 +118,7 @@ def measure(spark: SparkSession, sql: str, values: ParameterSet, iterations: int
     rows = df.count()
     if not plans:
         return Measurement(tuple(times), rows)
-    df.collect() if rows <= 10_000 else df.foreachPartition(lambda _: None)
+    catalyst.run(df)
     return Measurement(tuple(times), rows, plan_stats(df), catalyst.plan_json(df))
 
 

@@ -14,6 +14,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
@@ -93,12 +94,12 @@ def time_limit(spark: SparkSession, seconds: float | None) -> Iterator[None]:
 
 
 def comparable(df: DataFrame, epsilon: float) -> DataFrame:
-    """Columns by place; floats as buckets of ``epsilon`` (values at a bucket's edge may part: decimals never do)."""
+    """Columns by place; floats as buckets of ``epsilon`` (values at a bucket's edge may part: decimals never do); numbers too large for a bucket compare as they are."""
     cells: list[Column] = []
     for i, f in enumerate(df.schema.fields):
         c = F.col(f"_{i}")
         if isinstance(f.dataType, (DoubleType, FloatType)) and epsilon:
-            c = F.when(F.isnan(c) | F.isnull(c) | (F.abs(c) == float("inf")), c.cast("string")).otherwise(F.round(c / F.lit(epsilon)).cast("decimal(38,0)").cast("string"))
+            c = F.when(F.isnan(c) | F.isnull(c) | (F.abs(c) >= F.lit(epsilon * 1e37)), c.cast("string")).otherwise(F.round(c / F.lit(epsilon)).cast("decimal(38,0)").cast("string"))
         cells.append(c.alias(f"_{i}"))
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(*cells)
 
@@ -135,12 +136,25 @@ def sort_keys(sql: str, df: DataFrame) -> list[int] | None:
 
 
 def with_rank(df: DataFrame, keys: list[int]) -> DataFrame:
-    """Rows with the number of their run of equal sort keys, in the order in which they come."""
-    placed = df.withColumn("_at", F.monotonically_increasing_id())
-    order = Window.orderBy("_at")
+    """Rows with ``_run``, the number of their run of equal sort keys, in the order in which they come.
+
+    Runs are counted inside each of the sorted partitions; what the partitions before hold is a table of one row for each
+    partition. The sorted rows are persisted, as both sides of that must see the same partitions; ``_gritstone_persisted`` of the result is to be unpersisted.
+    """
     cells = F.struct(*[F.col(f"_{k}") for k in keys])
-    moved = placed.withColumn("_new", F.coalesce((~cells.eqNullSafe(F.lag(cells).over(order))).cast("int"), F.lit(0)))
-    return moved.withColumn("_run", F.sum("_new").over(order)).drop("_at", "_new")
+    placed = df.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")).persist(StorageLevel.MEMORY_AND_DISK)
+    inner = Window.partitionBy("_part").orderBy("_at")
+    new = (~cells.eqNullSafe(F.lag(cells).over(inner)) & (F.row_number().over(inner) > 1)).cast("int")
+    counted = placed.withColumn("_new", new).withColumn("_inner", F.sum("_new").over(inner))
+    ends = placed.groupBy("_part").agg(F.min_by(cells, "_at").alias("first"), F.max_by(cells, "_at").alias("last"))
+    ends = ends.join(counted.groupBy("_part").agg(F.max("_inner").alias("runs")), "_part")
+    order = Window.orderBy("_part")  # one row for each partition
+    starts = (~F.col("first").eqNullSafe(F.lag("last").over(order)) & (F.row_number().over(order) > 1)).cast("long")
+    offsets = ends.withColumn("starts", starts).withColumn("before", F.sum(F.col("starts") + F.col("runs")).over(order) - F.col("runs")).select("_part", "before")
+    out = counted.join(F.broadcast(offsets), "_part").withColumn("_run", F.col("before") + F.col("_inner"))
+    out = out.select(*df.columns, "_run")
+    out._gritstone_persisted = placed
+    return out
 
 
 def compare(spark: SparkSession, original: str, candidate: str, values: ParameterSet, most_rows: int | None, epsilon: float, timeout_s: float | None) -> Check:
@@ -159,7 +173,7 @@ def compare(spark: SparkSession, original: str, candidate: str, values: Paramete
     shape = [[(f.name.lower(), f.dataType.simpleString()) for f in x.schema.fields] for x in (a, b)]
     if shape[0] != shape[1]:
         return done(False, "schema", "output_schema_mismatch", original=shape[0], candidate=shape[1])
-    side = "original"
+    side, held = "original", []
     try:
         with time_limit(spark, timeout_s):
             rows = []
@@ -170,7 +184,9 @@ def compare(spark: SparkSession, original: str, candidate: str, values: Paramete
             keys = sort_keys(original, a)
             if keys is not None:
                 # the order of equal keys is free, so rows are compared as (run of equal keys, row)
-                x, y = (comparable(with_rank(q.toDF(*[f"_{i}" for i in range(len(q.columns))]), keys), epsilon) for q in (a, b))
+                ranked = [with_rank(q.toDF(*[f"_{i}" for i in range(len(q.columns))]), keys) for q in (a, b)]
+                held += [q._gritstone_persisted for q in ranked]
+                x, y = (comparable(q, epsilon) for q in ranked)
                 method, reason = "ordered", "ordered_rows_mismatch"
             else:
                 x, y = comparable(a, epsilon), comparable(b, epsilon)
@@ -178,6 +194,9 @@ def compare(spark: SparkSession, original: str, candidate: str, values: Paramete
             different = multiset_difference(x, y).limit(10).collect()
     except Exception as e:
         return done(False, "execution", "query_execution_error", side=side, type=type(e).__name__, message=str(e)[:500])
+    finally:
+        for x in held:
+            x.unpersist()
     if different:
         told = [{"row": [str(v) for v in r[:-2]], "in_original": r[-2], "in_candidate": r[-1]} for r in different]
         return done(False, method, reason, tuple(rows), examples=told)

@@ -115,5 +115,10 @@ def plan_nodes(df: DataFrame) -> list[dict]:
     return out
 
 
+def run(df: DataFrame) -> int:
+    """Run this frame's own physical plan in the JVM, so that its nodes get their metrics; rows are counted, not moved."""
+    return int(df._jdf.queryExecution().toRdd().count())
+
+
 def plan_json(df: DataFrame) -> str:
     return json.dumps(plan_nodes(df))

@@ -8,16 +8,16 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from gritstone import queries, queries_engine
+from gritstone import queries, queries_engine, queries_records
 
 DATA = "/root/testdata/sf0.01"
-NAMES = sorted(queries.QUERIES | queries_engine.QUERIES)
+NAMES = sorted(queries.QUERIES | queries_engine.QUERIES | queries_records.QUERIES)
 
 
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem".split():
+    for t in "region nation customer supplier part orders lineitem events".split():
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return con
 
