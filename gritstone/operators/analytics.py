@@ -169,7 +169,7 @@ def rate_per_second(samples: DataFrame, labels: list[str], ts: str = "ts", value
     w = Window.partitionBy(*labels).orderBy(ts)
     before, since = F.lag(value).over(w), F.lag(ts).over(w)
     risen = F.when(F.col(value) >= before, F.col(value) - before).otherwise(F.col(value))
-    seconds = F.unix_micros(ts) / 1e6 - F.unix_micros(since) / 1e6
+    seconds = (F.unix_micros(ts) - F.unix_micros(since)) / 1e6
     return samples.withColumn("rate", F.when(since.isNotNull() & (seconds > 0), risen / seconds))
 
 

@@ -234,12 +234,12 @@ HYPOTHESES_ORACLE = f"""SELECT *, round(h1_positive / attempted * 100.0, 6) AS h
 def rates(spark: SparkSession, sf: str) -> DataFrame:
     """Counters of events, as rates by second; one sample for each second and kind."""
     samples = Catalog(spark, sf).base("events").groupBy("event_type", F.date_trunc("second", "ts").alias("ts")).agg(F.max("value").alias("value"))
-    return analytics.rate_per_second(samples, ["event_type"]).select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.round("rate", 6).alias("rate"))
+    return analytics.rate_per_second(samples, ["event_type"]).select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "rate")
 
 
 RATES_ORACLE = """WITH samples AS (SELECT event_type, date_trunc('second', ts) AS ts, max(value) AS value FROM events GROUP BY ALL),
 lagged AS (SELECT *, lag(value) OVER w AS before, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS us FROM samples WINDOW w AS (PARTITION BY event_type ORDER BY ts))
-SELECT event_type, epoch_us(ts) AS at, round(CASE WHEN us > 0 THEN CASE WHEN value >= before THEN value - before ELSE value END / (us / 1e6) END, 6) AS rate FROM lagged"""
+SELECT event_type, epoch_us(ts) AS at, CASE WHEN us > 0 THEN CASE WHEN value >= before THEN value - before ELSE value END / (us / 1e6) END AS rate FROM lagged"""
 
 
 def windows(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,12 +1,15 @@
-"""The metadata store: one Parquet table per kind of record, versioned, each change an atomic rename.
+"""The metadata store: one Parquet table per kind of record, all under one sequence of commits.
 
-A change writes the next version beside the table and renames it into place; the rename fails if that version exists, so
-of two writers one loses. Small control tables are rewritten whole, which Parquet without a table format asks for.
+A change writes the tables' next contents beside the present ones, and then one small file that names the folder of every
+table, renamed to the next commit's number: all tables change in that one step or none does, and the rename fails if the
+number exists, so of two writers one loses. Small control tables are rewritten whole, which Parquet without a table format
+asks for.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 from collections.abc import Iterable
 
@@ -45,42 +48,53 @@ class Store:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def _version(self, table: str) -> int:
-        folder = self._path(table)
+    def _commit(self) -> tuple[int, dict[str, str]]:
+        """The newest commit's number and the folder of each table in it."""
+        folder = self._path("commits")
         fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return max([int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()], default=0)
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        newest = max([int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()], default=0)
+        if not newest:
+            return 0, {}
+        stream = fs.open(self._path(f"commits/v{newest}"))
+        try:
+            return newest, json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
 
     def schema(self, table: str) -> StructType:
         return StructType.fromDDL(SCHEMAS[table])
 
     def table(self, table: str) -> DataFrame:
-        version = self._version(table)
-        if not version:
+        place = self._commit()[1].get(table)
+        if not place:
             return self.spark.createDataFrame([], self.schema(table))
-        return self.spark.read.schema(self.schema(table)).parquet(f"{self.root}/{table}/v{version}")
+        return self.spark.read.schema(self.schema(table)).parquet(f"{self.root}/{table}/{place}")
 
     def frame(self, table: str, rows: Iterable[dict]) -> DataFrame:
         names = self.schema(table).names
         return self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], self.schema(table))
 
-    def swap(self, table: str, rows: DataFrame) -> None:
-        """Make ``rows`` the table's next version, in one rename."""
-        version = self._version(table)
-        draft = f"drafts/{new_id()}"
-        rows.select(*self.schema(table).names).coalesce(1).write.parquet(f"{self.root}/{draft}")
+    def swap(self, **tables: DataFrame) -> None:
+        """Make these the tables' contents, all in one rename."""
+        last, places = self._commit()
+        for table, rows in tables.items():
+            places[table] = new_id()
+            rows.select(*self.schema(table).names).coalesce(1).write.parquet(f"{self.root}/{table}/{places[table]}")
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        folder = self._path(table)
-        folder.getFileSystem(conf).mkdirs(folder)
+        folder, draft = self._path("commits"), self._path(f"drafts/{new_id()}")
+        fs = folder.getFileSystem(conf)
+        fs.mkdirs(folder)
+        stream = fs.create(draft)
+        stream.write(bytearray(json.dumps(places).encode()))
+        stream.close()
         none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder.toUri(), conf).rename(self._path(draft), self._path(f"{table}/v{version + 1}"), none)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder.toUri(), conf).rename(draft, self._path(f"commits/v{last + 1}"), none)
 
     def insert(self, table: str, rows: Iterable[dict]) -> None:
         rows = list(rows)
         if rows:
-            self.swap(table, self.table(table).unionByName(self.frame(table, rows)))
+            self.swap(**{table: self.table(table).unionByName(self.frame(table, rows))})
 
     def upsert(self, table: str, rows: Iterable[dict]) -> None:
         """New rows take the place of those with equal keys."""
@@ -88,18 +102,22 @@ class Store:
         if rows:
             new = self.frame(table, rows)
             kept = self.table(table).join(new.select(*KEYS[table]), KEYS[table], "left_anti")
-            self.swap(table, kept.unionByName(new))
+            self.swap(**{table: kept.unionByName(new)})
 
     def insert_missing(self, table: str, rows: Iterable[dict]) -> None:
         """Rows whose keys are there already are left out."""
         rows = list(rows)
         if rows:
             new = self.frame(table, rows).join(self.table(table).select(*KEYS[table]), KEYS[table], "left_anti")
-            self.swap(table, self.table(table).unionByName(new.select(*self.schema(table).names)))
+            self.swap(**{table: self.table(table).unionByName(new.select(*self.schema(table).names))})
 
-    def update(self, table: str, condition: F.Column, **values) -> None:
+    def changed(self, table: str, condition: F.Column, **values) -> DataFrame:
+        """The table with new values where the condition holds."""
         now_ = self.table(table)
-        self.swap(table, now_.select(*[F.when(condition, F.lit(values[f.name]).cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) if f.name in values else F.col(f.name) for f in now_.schema.fields]))
+        return now_.select(*[F.when(condition, F.lit(values[f.name]).cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) if f.name in values else F.col(f.name) for f in now_.schema.fields])
+
+    def update(self, table: str, condition: F.Column, **values) -> None:
+        self.swap(**{table: self.changed(table, condition, **values)})
 
     def arms(self, template: str) -> DataFrame:
         """Validated candidates of a template with their state, oldest first."""
@@ -113,15 +131,19 @@ class Store:
         return b.join(c, F.col("b.run_pair_id") == F.col("c.run_pair_id")).select("b.run_pair_id", "b.template_fingerprint", "c.candidate_id", "b.benchmark_phase", "b.parameter_set_id", F.col("b.median_execution_time").alias("baseline_median_ms"), F.col("c.median_execution_time").alias("candidate_median_ms"))
 
     def promote(self, template: str, candidate: str, decision: dict) -> None:
-        """Demote the previous one to the pool, promote this one if it is validated, point the template at it, and record why."""
+        """Demote the previous one to the pool, promote this one if it is validated, point the template at it, and record why:
+        all in one commit."""
         found = self.table("candidates").filter(F.col("id") == candidate).select("semantic_status", "template_fingerprint").first()
         if found is None or found["semantic_status"] != "validated" or found["template_fingerprint"] != template:
             raise ValueError("only a validated candidate of the template can be promoted")
         mine = F.col("template_fingerprint") == template
         status = F.when(mine & (F.col("id") == candidate), F.lit("promoted")).when(mine & (F.col("promotion_status") == "promoted"), F.lit("pool")).otherwise(F.col("promotion_status"))
-        self.swap("candidates", self.table("candidates").withColumn("promotion_status", status))
-        self.update("query_templates", mine, current_candidate_id=candidate)
-        self.insert("decisions", [{"id": new_id(), "template_fingerprint": template, "decision_type": "promote", "candidate_id": candidate, "decided_at": now()} | decision])
+        made = self.frame("decisions", [{"id": new_id(), "template_fingerprint": template, "decision_type": "promote", "candidate_id": candidate, "decided_at": now()} | decision])
+        self.swap(
+            candidates=self.table("candidates").withColumn("promotion_status", status),
+            query_templates=self.changed("query_templates", mine, current_candidate_id=candidate),
+            decisions=self.table("decisions").unionByName(made),
+        )
 
 
 def template_status(templates: DataFrame, candidates: DataFrame, bandit: DataFrame) -> DataFrame:

@@ -195,3 +195,19 @@ def test_previous_row_rewrite(spark):
 def test_rates(spark):
     df = spark.sql("SELECT * FROM VALUES (TIMESTAMP '2024-01-01 00:00:00', 'a', 10.0D), (TIMESTAMP '2024-01-01 00:00:05', 'a', 20.0D), (TIMESTAMP '2024-01-01 00:00:10', 'a', 5.0D) AS t(ts, job, value)")
     assert [r.rate for r in analytics.rate_per_second(df, ["job"]).orderBy("ts").collect()] == [None, 2.0, 1.0]
+
+
+def test_a_promotion_is_one_commit(spark, tmp_path):
+    """Candidates, template and decision change together; a writer that comes second loses and changes nothing."""
+    store = Store(spark, (tmp_path / "store").as_uri())
+    store.insert("query_templates", [{"template_fingerprint": "t"}])
+    store.insert("candidates", [{"id": i, "template_fingerprint": "t", "canonical_hash": i, "semantic_status": "validated", "promotion_status": "pool"} for i in "ab"])
+    before = store._commit()
+    store.promote("t", "a", {"reason": "x"})
+    after = store._commit()
+    assert after[0] == before[0] + 1 and set(after[1]) == {"query_templates", "candidates", "decisions"}
+    late = Store(spark, store.root)
+    late._commit = lambda: (before[0], dict(before[1]))
+    with pytest.raises(Exception, match="(?i)exist"):
+        late.promote("t", "b", {"reason": "y"})
+    assert store._commit() == after and [r.candidate_id for r in store.table("decisions").collect()] == ["a"]
