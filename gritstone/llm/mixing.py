@@ -74,7 +74,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         *[docs[f"`{c}`"] for c in docs.columns],
         F.when(docs[source_col].isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), docs[source_col].cast("string"))).alias("_key"),
         word_count(docs[text_col]).alias("_size"),
-        F.md5(F.coalesce(docs[id_col].cast("string"), F.lit("")).cast("binary")).alias("_hash"),
+        F.md5(F.concat(F.coalesce(docs[id_col].cast("string"), F.lit("")), F.lit(":"), F.coalesce(docs[text_col], F.lit(""))).cast("binary")).alias("_hash"),  # of both, so that rows of one id or without any spread
         docs[id_col].alias("_id"),
     )
     sized = sized.withColumn("_four", F.substring("_hash", 1, 4))
@@ -132,7 +132,7 @@ ORACLE_SQL = r"""
 WITH sized AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS h
   FROM documents),
 sources AS (SELECT k, CAST(sum(size) AS BIGINT) AS s FROM sized GROUP BY k),
 weighed AS (
