@@ -53,7 +53,7 @@ class Templates:
         size = np.array([len(s) for s in self.sets])
         self.shared = np.maximum(np.ceil(size * least / (2 - least) - 1e-9), 1).astype(int)
         self.most = np.floor(size * (2 - least) / least + 1e-9).astype(int)
-        # a passage may repeat bigrams, which its set counts once; repeats may be as many as the bound again
+        # a passage longer than this holds more repeats of bigrams, which its set counts once, than ``most`` and one
         self.span = 2 * self.most + 2
 
     def find(self, words: Words) -> list[tuple[int, int, float, int, int]]:
@@ -66,13 +66,19 @@ class Templates:
         if not len(spot):
             return []
         doc = np.searchsorted(words.first, spot, side="right") - 1
-        begins, found = None, []
+        begins, found, spare = None, [], {}
         for t in range(len(self.names)):
             mine = self.has[t][place[spot]]
             at, owner, need = spot[mine], doc[mine], int(self.shared[t])
             if len(at) < need:
                 continue
-            close = np.flatnonzero((at[need - 1 :] - at[: len(at) - need + 1] <= self.span[t]) & (owner[need - 1 :] == owner[: len(at) - need + 1]))
+            for d in np.unique(owner).tolist():  # a document with few repeats has no passage beyond the span
+                if d not in spare:
+                    own = gram[words.first[d] : words.first[d + 1]][ok[words.first[d] : words.first[d + 1]]]
+                    spare[d] = len(own) - len(np.unique(own))
+            span = {d: int(self.span[t]) if spare[d] < self.most[t] + 2 else len(gram) for d in np.unique(owner).tolist()}
+            reach = np.array([span[d] for d in owner.tolist()])
+            close = np.flatnonzero((at[need - 1 :] - at[: len(at) - need + 1] <= reach[need - 1 :]) & (owner[need - 1 :] == owner[: len(at) - need + 1]))
             if not len(close):
                 continue
             if begins is None:
@@ -81,20 +87,23 @@ class Templates:
             for i in close.tolist():
                 d = int(owner[i])
                 end = int(words.first[d + 1])
-                for s in range(int(np.searchsorted(begins, max(at[i] - self.span[t], words.first[d]))), int(np.searchsorted(begins, at[i], side="right"))):
+                for s in range(int(np.searchsorted(begins, max(at[i] - span[d], words.first[d]))), int(np.searchsorted(begins, at[i], side="right"))):
                     if (t, s) in tried:
                         continue
                     tried.add((t, s))
                     low, e = int(begins[s]), s
+                    run, shared, done = set(), 0, low
                     while True:
                         e += 1
                         high = int(begins[e]) if e < len(begins) else len(words.starts)
                         high = min(high, end)
-                        if high - low - 1 > self.span[t]:
+                        fresh = set(gram[done : high - 1].tolist()) - run
+                        run |= fresh
+                        shared, done = shared + len(fresh & self.sets[t]), max(done, high - 1)
+                        if high - low - 1 > span[d] or len(run) > self.most[t]:
                             break
                         if high - low - 1 >= need:
-                            run = set(gram[low : high - 1].tolist())
-                            dice = 2 * len(run & self.sets[t]) / (len(run) + len(self.sets[t]))
+                            dice = 2 * shared / (len(run) + len(self.sets[t]))
                             if dice >= self.least:
                                 found.append((d, t, dice, low - int(words.first[d]), high - low))
                         if high == end:
