@@ -306,6 +306,19 @@ def test_neighbours(spark):
     assert graph_ann.nearest_neighbours(df.limit(0), df["vec_id"] % 50 == 0).count() == 0
 
 
+def test_recall_of_a_larger_shard():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 24))
+    v = (centres[rng.integers(0, 60, 7000)] + rng.normal(scale=0.7, size=(7000, 24))).astype(np.float32)
+    asked = rng.choice(7000, 200, replace=False)
+    q, found, _ = graph_ann.Shard(np.arange(7000), v, 5).nearest(asked, v[asked])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = unit[asked] @ unit.T
+    near[np.arange(200), asked] = -2
+    want = {(int(a), int(b)) for a, row in zip(asked, np.argsort(-near, axis=1)[:, :5]) for b in row}
+    assert len(want & set(zip(q.tolist(), found.tolist()))) >= 0.95 * len(want)
+
+
 def test_recall_on_data(spark):
     got = QUERIES["op6_ann"](spark, "/root/testdata/sf0.01").collect()
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
