@@ -12,6 +12,13 @@ stage's ``docs``. All but the last return the columns of documents.
 4. ``mix``: sources are mixed to their target weights; a document comes as often as the mix takes it, in training order.
 5. ``shard``: the mixture is appended to a new shard table and compacted; the result is read back through the committed
    manifest, each row with its shard.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, empty tables and further columns of any
+name, which stay as they are. ``quality`` scores a null or empty text like one empty line; without usable labels it keeps
+all rows if the share of good labels is at least a half (or unknown), else none. ``decontaminate`` keeps null and empty
+texts, as they hold nothing, and every row if the benchmark is empty. ``mix`` never takes documents without words, takes a
+null source for one of its own, last in order, and treats repeated rows like any. ``shard`` keeps every row it is given; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
