@@ -5,7 +5,7 @@ sizes a <= b link when 100 * intersection >= 80 * union, so that they differ in
 
 1. Sketch. Per size band [L, 2L), shingle hashes are dealt by hash to P parts and XORed there; a shingle of just one of
    two sets changes one part only, so the number of unequal parts never exceeds the symmetric difference. A second
-   sketch of single bits, about two or three to a shingle, has the same property for the Hamming distance.
+   sketch of single bits, about three to five to a shingle, has the same property for the Hamming distance.
 2. Pigeonhole. With at most D differences, D + 1 filled parts hold an equal one: each class sends its first D + 1
    filled parts in its own band, and in the band below if a set of that band can be small enough. A class with fewer
    filled parts also sends its empty ones.
@@ -14,10 +14,11 @@ sizes a <= b link when 100 * intersection >= 80 * union, so that they differ in
 4. Verification compares whole sets: members travel to their star's centre, at most ``FAN`` of them to one task.
 5. Components by large and small stars. In large groups that still hold several components, each member outside the
    one that is largest at first asks its nearest members of other components, by bit sketches; pairs that the Hamming
-   bound lets through are verified, and the components are found again. The number asked grows eightfold a round, and a
-   member goes on asking in a group, whatever its component has become, until it has asked there all that the bound
-   allows. So no link is lost, and no group of copies emits its pairs. A group is dealt to tasks in blocks of ``ASKERS``
-   asking members against ``ASKED`` members; a task holds the former and streams the latter.
+   bound lets through are verified, and the components are found again. A member asks in its smallest large group first,
+   in 16 times as many groups each round, and for eightfold as many members; it goes on, whatever its component has
+   become, until it has asked in each of its groups all that the bound allows, or the group is one component. So no link
+   is lost, and no group of copies emits its pairs. A group is dealt to tasks in blocks of ``ASKERS`` asking members
+   against ``ASKED`` members; a task holds the former and streams the latter.
 
 Sets are told apart by 64-bit hashes of their shingles. A class is named by the hash of its set, never by an id, so null
 and repeated ids do no harm. Defined results: null and wordless texts have no shingles and link with nothing; texts of
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritstone.llm.components import components
@@ -47,7 +48,7 @@ FAN = 256
 #: Asking members and asked ones of a block of a large group.
 ASKERS, ASKED = 1024, 1 << 16
 #: Words of 64 bits in a bit sketch, for sets of fewer shingles than the bound; a sketch folds to any smaller one.
-SKETCH_WORDS = (*((40 << i, 1 << i) for i in range(10)), (1 << 62, 1024))
+SKETCH_WORDS = (*((25 << i, 1 << i) for i in range(10)), (1 << 62, 1024))
 ENTRIES = {"sig": np.dtype("i8"), "key": np.dtype("i8")}
 #: doc_n is negative where the id is null.
 MEMBERS = {"doc": np.dtype("i8"), "doc_key": np.dtype("i8"), "doc_n": np.dtype("i4"), "text_key": np.dtype("i8"), "sketch": np.dtype("u8")}
@@ -407,26 +408,35 @@ def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n_large = found.filter("kind = 2").count()
     # the size of a group is known where it is found, so rows of a large one can be salted in every join by group
     salts = lambda many: F.ceil(F.col(many) / ASKED).cast("int")
-    apart = found.filter("kind = 2").select(F.col("x").alias("sig"), F.col("y").alias("key"), F.col("n").alias("many"))
-    width, asking, spent = 4, None, []
+    state = found.filter("kind = 2").select(F.col("x").alias("sig"), F.col("y").alias("key"), F.col("n").alias("many"))
+    width, turns, first_round = 4, 1, True
     while True:
-        large = apart.join(small(joined.withColumnRenamed("node", "key")), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        large = large.withColumn("asks", F.lit(True)) if asking is None else large.drop("asks").join(small(asking), ["sig", "key"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        large = state.join(small(joined.withColumnRenamed("node", "key")), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        if first_round:
+            large = large.withColumn("pending", F.lit(True)).withColumn("turn", F.lit(1))
         large = materialize(few(large, n_large).withColumn("salt", F.pmod(F.xxhash64("key"), salts("many")).cast("int")), "large-groups")
-        each = few(large.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("asks").cast("long")).alias("asking"), F.max("many").alias("many")), n_large)
-        groups = each.groupBy("sig").agg(F.sum("c").alias("c"), F.max("many").alias("many"), F.sum("asking").alias("asking"), F.count(F.lit(1)).alias("components"), F.max(F.struct("c", "component")).alias("largest"))
-        groups = groups.filter("components > 1 AND asking > 0").withColumn("asking", F.col("c") - F.col("largest.c") if asking is None else F.col("asking"))
-        groups = materialize(few(groups, n_large).select("sig", F.explode(F.sequence(F.lit(0), salts("many") - 1)).alias("salt"), "asking", F.col("largest.component").alias("largest")), "groups")
+        each = few(large.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("pending").cast("long")).alias("left"), F.sum((F.col("pending") & (F.col("turn") <= turns)).cast("long")).alias("asking"), F.max("many").alias("many")), n_large)
+        groups = each.groupBy("sig").agg(F.max("many").alias("many"), F.sum("left").alias("left"), F.sum("asking").alias("asking"), F.count(F.lit(1)).alias("components"), F.max(F.struct("c", "component")).alias("largest"))
+        groups = few(groups, n_large).filter("components > 1 AND left > 0")  # a group of one component has no link left that matters
+        groups = materialize(groups.select("sig", F.explode(F.sequence(F.lit(0), salts("many") - 1)).alias("salt"), "asking", F.col("largest.component").alias("largest")), "groups")
         rest = large.join(small(groups), ["sig", "salt"])
-        rest = rest.withColumn("asks", F.col("component") != F.col("largest")) if asking is None else rest
-        rest = materialize(few(rest, n_large).select("sig", "key", "component", "many", "asks", "asking"), "mixed-groups")
-        discard(large, groups, *spent)
-        spent = [rest]
+        if first_round:
+            rest = rest.withColumn("pending", F.col("component") != F.col("largest"))
+            rest = rest.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy(~F.col("pending"), "many", "sig")))  # a class is in no more groups than it has parts
+            rest = materialize(few(rest, n_large).drop("asking"), "mixed-groups")
+            per_sig = few(rest.groupBy("sig").agg(F.sum((F.col("pending") & (F.col("turn") <= turns)).cast("long")).alias("asking")), n_large)
+            rest_, rest = rest, materialize(rest.join(small(per_sig, n_large), "sig").select("sig", "key", "component", "many", "pending", "turn", "asking"), "mixed-groups")
+            discard(rest_)
+        else:
+            rest = materialize(few(rest, n_large).select("sig", "key", "component", "many", "pending", "turn", "asking"), "mixed-groups")
+        discard(large, groups, state)
+        state, first_round = rest, False
         n_large = rest.count()
         if not n_large:
             break
+        now = F.col("pending") & (F.col("turn") <= turns)
         lines = F.ceil(F.col("asking") / ASKERS).cast("int")
-        shown = classes.select("key", "n", "sketch").join(small(rest, n_large), "key")
+        shown = classes.select("key", "n", "sketch").join(small(rest.filter("asking > 0").withColumn("asks", now), n_large), "key")
         every = shown.select("sig", F.explode(F.sequence(F.lit(0), lines - 1)).alias("ask"), F.pmod(F.xxhash64("key"), salts("many")).cast("int").alias("of"), F.lit(False).alias("asks"), "key", "component", "n", "sketch")
         askers = shown.filter("asks").select("sig", F.pmod(F.xxhash64("key"), lines).cast("int").alias("ask"), F.explode(F.sequence(F.lit(0), salts("many") - 1)).alias("of"), "asks", "key", "component", "n", "sketch")
         dealt = every.unionAll(askers).repartition(parts, "sig", "ask", "of").sortWithinPartitions("sig", "ask", "of", F.desc("asks"))
@@ -434,17 +444,16 @@ def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         n_asked = asked.count()
         late = few(asked.filter("NOT more").select("a", "b").distinct(), n_asked)
         late = materialize(late.join(small(tested), ["a", "b"], "left_anti"), "late")
-        asking = materialize(few(asked.filter("more").select(F.col("a").alias("sig"), F.col("b").alias("key")).distinct(), n_asked).withColumn("asks", F.lit(True)), "asking")
-        discard(asked)
-        spent.append(asking)
+        again = materialize(few(asked.filter("more").select(F.col("a").alias("sig"), F.col("b").alias("key")).distinct(), n_asked).withColumn("again", F.lit(True)), "asking")
+        state = rest.join(small(again, n_asked), ["sig", "key"], "left").withColumn("pending", F.col("pending") & (~(F.col("turn") <= turns) | F.coalesce("again", F.lit(False))))
+        state = materialize(few(state, n_large).select("sig", "key", "many", "pending", "turn"), "large-groups")
+        discard(asked, rest, again)
         if not late.isEmpty():
             links = links.unionAll(verify(source, late, classes))
             joined = components(links)
             tested = tested.unionAll(late)
         release(spark)
-        if asking.isEmpty():
-            break
-        apart, width = rest.select("sig", "key", "many"), width * 8
+        width, turns = width * 8, turns * 16
     each = classes.select("key", "first").join(small(joined.withColumnRenamed("node", "key")), "key", "left")
     least = materialize(each.filter("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("least")), "components")
     named = each.join(small(least), "component", "left").select("key", F.coalesce("least", "first").alias("of"))
@@ -453,7 +462,7 @@ def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = rows.select(given("first").alias("id"), "first.text_key", F.col("n").cast("long").alias("n_shingles"), given("of").alias("component_id"), (F.col("first") == F.col("of")).alias("stays"))
     without = source.filter(F.coalesce(F.regexp_replace(F.col("text"), r"[\x20\x09-\x0D]+", ""), F.lit("")) == "").select("id", "text_key", F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("stays"))
     out = materialize(rows.unionAll(without), "linked")
-    discard(found, classes, least, *spent)
+    discard(found, classes, least, state)
     release(spark)
     return out
 
