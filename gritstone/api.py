@@ -20,12 +20,13 @@ def context_from_json(x: dict | None) -> SchemaContext:
     tables = {}
     for t in (x or {}).get("tables", []):
         keys = tuple(tuple(c.lower() for c in k["columns"]) for k in t.get("constraints", []) + [i for i in t.get("indexes", []) if i.get("unique")] if k.get("type", "u") in ("p", "u", "primary", "unique"))
-        tables[t["name"].lower()] = TableInfo(t["name"].lower(), {c["name"].lower(): bool(c.get("nullable", True)) for c in t.get("columns", [])}, keys, t.get("rowEstimate"))
+        references = tuple((c.lower(), k["referencedTable"].lower(), r.lower()) for k in t.get("constraints", []) if k.get("type") in ("f", "foreign") for c, r in zip(k["columns"], k["referencedColumns"]))
+        tables[t["name"].lower()] = TableInfo(t["name"].lower(), {c["name"].lower(): bool(c.get("nullable", True)) for c in t.get("columns", [])}, keys, t.get("rowEstimate"), references)
     return SchemaContext(tables)
 
 
 def context_to_json(context: SchemaContext) -> dict:
-    return {"snapshotHash": context.snapshot_hash, "tables": [{"name": t.name, "rowEstimate": t.rows, "columns": [{"name": c, "nullable": n, "ordinalPosition": i} for i, (c, n) in enumerate(t.columns.items(), 1)], "constraints": [{"type": "unique", "columns": list(k)} for k in t.keys]} for t in context.tables.values()]}
+    return {"snapshotHash": context.snapshot_hash, "tables": [{"name": t.name, "rowEstimate": t.rows, "columns": [{"name": c, "nullable": n, "ordinalPosition": i} for i, (c, n) in enumerate(t.columns.items(), 1)], "constraints": [{"type": "unique", "columns": list(k)} for k in t.keys] + [{"type": "foreign", "columns": [c], "referencedTable": other, "referencedColumns": [its]} for c, other, its in t.references]} for t in context.tables.values()]}
 
 
 class Service:

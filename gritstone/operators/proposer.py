@@ -119,7 +119,7 @@ class PromptBuilder:
                 *[f"- {h}" for h in HINTS],
             ]
         )
-        facts = [f"{t.name}({', '.join(c + (' NOT NULL' if not nullable else '') for c, nullable in t.columns.items())})" + (f" keys {list(t.keys)}" if t.keys else "") for t in context.tables.values()]
+        facts = [f"{t.name}({', '.join(c + (' NOT NULL' if not nullable else '') for c, nullable in t.columns.items())})" + (f" keys {list(t.keys)}" if t.keys else "") + "".join(f"; {c} refers to {other}.{its}" for c, other, its in t.references) + (f"; about {t.rows} rows" if t.rows is not None else "") for t in context.tables.values()]
         return Prompt(system, "\n".join([f"At most {most} rewrites.", "Tables:", *facts, "Query:", sql.strip()]), PROMPT_VERSION)
 
 

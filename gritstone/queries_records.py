@@ -307,6 +307,34 @@ def orders_of_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(i, p.parameter_set_id, p.order, p.baseline.median_ms, p.candidate.median_ms) for i, p in enumerate(pairs)], "pair bigint, parameter_set_id string, ran string, baseline_at double, candidate_at double")
 
 
+def schema_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns, keys, references and row counts of the relational tables but the lines', whose declared key the data break."""
+    return Catalog(spark, sf).facts([t for t in VIEWS if t != "lineitem"])
+
+
+#: column, not null, in the key, refers to.
+_COLUMNS = {
+    "region": ("r_regionkey !*", "r_name"),
+    "nation": ("n_nationkey !*", "n_name", "n_regionkey ! region.r_regionkey"),
+    "supplier": ("s_suppkey !*", "s_name", "s_address", "s_nationkey ! nation.n_nationkey", "s_phone", "s_acctbal", "s_comment"),
+    "customer": ("c_custkey !*", "c_name", "c_address", "c_nationkey ! nation.n_nationkey", "c_phone", "c_acctbal", "c_mktsegment", "c_comment"),
+    "part": ("p_partkey !*", "p_name", "p_mfgr", "p_brand", "p_type", "p_size", "p_container", "p_retailprice"),
+    "orders": ("o_orderkey !*", "o_custkey ! customer.c_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "o_clerk", "o_shippriority", "o_comment"),
+    "partsupp": ("ps_partkey !* part.p_partkey", "ps_suppkey !* supplier.s_suppkey", "ps_availqty", "ps_supplycost"),
+}
+
+
+def _facts_sql() -> str:
+    rows = []
+    for table, columns in _COLUMNS.items():
+        source = f"({VIEWS[table]})" if table == "partsupp" else table
+        for i, c in enumerate(columns, 1):
+            name, marks, target = (c.split(" ") + ["", ""])[:3]
+            told = f"'{target}'" if target else "NULL"
+            rows.append(f"SELECT '{table}' AS table_name, '{name}' AS column_name, CAST({i} AS BIGINT) AS place, {'false' if '!' in marks else 'true'} AS nullable, {'true' if '*' in marks else 'false'} AS in_key, CAST({told} AS VARCHAR) AS refers_to, (SELECT count(*) FROM {source}) AS row_estimate")
+    return "\nUNION ALL ".join(rows)
+
+
 def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """A table through the CSV sink and scan, with quotes, separators and line ends in its text."""
     path = f"{shared_dir(spark)}/gritstone/csv-{new_id()}"
@@ -344,6 +372,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rule_candidates": rewrites,
     "parameter_sets": sets,
     "pair_orders": orders_of_pairs,
+    "schema_facts": schema_facts,
     "csv_round_trip": csv_round_trip,
     **{name: _join(name) for name in movies.JOINS},
     **{f"{name}_explicit": _join(name, explicit_joins if i % 2 else explicit_joins_from_last) for i, name in enumerate(movies.JOINS)},
@@ -365,6 +394,7 @@ ORACLES: dict[str, str] = {
     "parameter_sets": f"SELECT name, CAST(20 AS BIGINT) AS search, CAST(10 AS BIGINT) AS held_out, CAST(len(list_distinct(regexp_extract_all(text, '\\$(\\d+)', 1))) AS BIGINT) AS places, true AS repeatable, true AS disjoint FROM {_texts_sql}",
     "pair_orders": """SELECT i AS pair, 'p' || CAST(i AS STRING) AS parameter_set_id, CASE WHEN i % 2 = 0 THEN 'baseline_first' ELSE 'candidate_first' END AS ran,
   CAST(2 * i + CASE WHEN i % 2 = 0 THEN 3 ELSE 4 END AS DOUBLE) AS baseline_at, CAST(2 * i + CASE WHEN i % 2 = 0 THEN 4 ELSE 3 END AS DOUBLE) AS candidate_at FROM range(25) AS t(i)""",
+    "schema_facts": _facts_sql(),
     **{name: movies.oracle(sql) for name, sql in movies.JOINS.items()},
     **{f"{name}_explicit": movies.oracle(sql) for name, sql in movies.JOINS.items()},
     "csv_round_trip": "SELECT p_partkey, p_name || ', \"x\"' || chr(10) || 'y' AS p_name, p_retailprice FROM part",

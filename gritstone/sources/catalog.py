@@ -35,6 +35,16 @@ NOT_NULL = {t: set(k) for t, k in KEYS.items()} | {
 }
 
 
+# Which column of another table a column refers to.
+REFERENCES = {
+    "nation": (("n_regionkey", "region", "r_regionkey"),),
+    "supplier": (("s_nationkey", "nation", "n_nationkey"),),
+    "customer": (("c_nationkey", "nation", "n_nationkey"),),
+    "partsupp": (("ps_partkey", "part", "p_partkey"), ("ps_suppkey", "supplier", "s_suppkey")),
+    "orders": (("o_custkey", "customer", "c_custkey"),),
+    "lineitem": (("l_orderkey", "orders", "o_orderkey"), ("l_partkey", "part", "p_partkey"), ("l_suppkey", "supplier", "s_suppkey")),
+}
+
 # The delivered columns. Known types spare a look at the files' footers for every view.
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -109,6 +119,7 @@ class TableInfo:
     columns: dict[str, bool]  # column -> nullable
     keys: tuple[tuple[str, ...], ...] = ()
     rows: int | None = None
+    references: tuple[tuple[str, str, str], ...] = ()  # (column, table, its column)
 
 
 @dataclass(frozen=True)
@@ -119,7 +130,7 @@ class SchemaContext:
 
     @property
     def snapshot_hash(self) -> str:
-        told = "\n".join(f"{t.name}|{sorted(t.columns.items())}|{t.keys}|{t.rows}" for _, t in sorted(self.tables.items()))
+        told = "\n".join(f"{t.name}|{sorted(t.columns.items())}|{t.keys}|{t.rows}|{t.references}" for _, t in sorted(self.tables.items()))
         return sha256(told.encode()).hexdigest()
 
     def columns(self, table: str) -> dict[str, bool]:
@@ -166,6 +177,16 @@ class Catalog:
             self.table(name).createOrReplaceTempView(name)
         return self
 
+    def facts(self, names: list[str] | tuple[str, ...] = tuple(VIEWS)) -> DataFrame:
+        """The schema context as rows, with the tables' numbers of rows, which Parquet's footers hold."""
+        context = self.schema_context(names, rows=True)
+        told = [
+            (t.name, column, place, nullable, any(column in k for k in t.keys), next((f"{table}.{other}" for own, table, other in t.references if own == column), None), t.rows)
+            for t in context.tables.values()
+            for place, (column, nullable) in enumerate(t.columns.items(), 1)
+        ]
+        return self.spark.createDataFrame(told, "table_name string, column_name string, place bigint, nullable boolean, in_key boolean, refers_to string, row_estimate bigint")
+
     def schema_context(self, names: list[str] | tuple[str, ...] = tuple(VIEWS), rows: bool = False) -> SchemaContext:
         """Introspected columns, with the declared NOT NULL facts (Parquet calls every column nullable) and keys."""
         tables = {}
@@ -173,5 +194,5 @@ class Catalog:
             df = self.table(name)
             known = NOT_NULL.get(name, set())
             keys = () if name == "lineitem" else (KEYS[name],)
-            tables[name] = TableInfo(name, {f.name.lower(): f.name.lower() not in known for f in df.schema.fields}, keys, df.count() if rows else None)
+            tables[name] = TableInfo(name, {f.name.lower(): f.name.lower() not in known for f in df.schema.fields}, keys, df.count() if rows else None, REFERENCES.get(name, ()))
         return SchemaContext(tables)
