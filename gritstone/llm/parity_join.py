@@ -5,7 +5,7 @@ sizes a <= b link when 100 * intersection >= 80 * union, so that they differ in
 
 1. Sketch. Per size band [L, 2L), shingle hashes are dealt by hash to P parts and XORed there; a shingle of just one of
    two sets changes one part only, so the number of unequal parts never exceeds the symmetric difference. A second
-   sketch of single bits, about three to five to a shingle, has the same property for the Hamming distance.
+   sketch of single bits, about two or three to a shingle, has the same property for the Hamming distance.
 2. Pigeonhole. With at most D differences, D + 1 filled parts hold an equal one: each class sends its first D + 1
    filled parts in its own band, and in the band below if a set of that band can be small enough. A class with fewer
    filled parts also sends its empty ones.
@@ -15,8 +15,8 @@ sizes a <= b link when 100 * intersection >= 80 * union, so that they differ in
 5. Components by large and small stars. In large groups that still hold several components, each member outside the
    one that is largest at first asks its nearest members of other components, by bit sketches; pairs that the Hamming
    bound lets through are verified, and the components are found again. A member asks in its smallest large group first,
-   in 16 times as many groups each round, and for eightfold as many members; it goes on, whatever its component has
-   become, until it has asked in each of its groups all that the bound allows, or the group is one component. So no link
+   then in all that still hold several components, each round for eightfold as many members; it goes on, whatever its
+   component has become, until it has asked in each of its groups all that the bound allows, or the group is one component. So no link
    is lost, and no group of copies emits its pairs. A group is dealt to tasks in blocks of ``ASKERS`` asking members
    against ``ASKED`` members; a task holds the former and streams the latter.
 
@@ -48,7 +48,7 @@ FAN = 256
 #: Asking members and asked ones of a block of a large group.
 ASKERS, ASKED = 1024, 1 << 16
 #: Words of 64 bits in a bit sketch, for sets of fewer shingles than the bound; a sketch folds to any smaller one.
-SKETCH_WORDS = (*((25 << i, 1 << i) for i in range(10)), (1 << 62, 1024))
+SKETCH_WORDS = (*((40 << i, 1 << i) for i in range(10)), (1 << 62, 1024))
 ENTRIES = {"sig": np.dtype("i8"), "key": np.dtype("i8")}
 #: doc_n is negative where the id is null.
 MEMBERS = {"doc": np.dtype("i8"), "doc_key": np.dtype("i8"), "doc_n": np.dtype("i4"), "text_key": np.dtype("i8"), "sketch": np.dtype("u8")}
@@ -453,7 +453,7 @@ def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             joined = components(links)
             tested = tested.unionAll(late)
         release(spark)
-        width, turns = width * 8, turns * 16
+        width, turns = width * 8, 1 << 30
     each = classes.select("key", "first").join(small(joined.withColumnRenamed("node", "key")), "key", "left")
     least = materialize(each.filter("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("least")), "components")
     named = each.join(small(least), "component", "left").select("key", F.coalesce("least", "first").alias("of"))
