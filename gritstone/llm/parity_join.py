@@ -15,7 +15,7 @@ sizes a <= b link when 100 * intersection >= 80 * union, so that they differ in
 5. Components by large and small stars. In large groups that still hold several components, each member outside the
    one that is largest at first asks its nearest members of other components, by bit sketches; pairs that the Hamming
    bound lets through are verified, and the components are found again. A member asks in its smallest large group first,
-   then in all that still hold several components, each round for eightfold as many members; it goes on, whatever its
+   then each round in 16 times as many and for eightfold as many members; it goes on, whatever its
    component has become, until it has asked in each of its groups all that the bound allows, or the group is one component. So no link
    is lost, and no group of copies emits its pairs. A group is dealt to tasks in blocks of ``ASKERS`` asking members
    against ``ASKED`` members; a task holds the former and streams the latter.
@@ -453,7 +453,7 @@ def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             joined = components(links)
             tested = tested.unionAll(late)
         release(spark)
-        width, turns = width * 8, 1 << 30
+        width, turns = width * 8, turns * 16
     each = classes.select("key", "first").join(small(joined.withColumnRenamed("node", "key")), "key", "left")
     least = materialize(each.filter("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("least")), "components")
     named = each.join(small(least), "component", "left").select("key", F.coalesce("least", "first").alias("of"))
