@@ -362,6 +362,30 @@ def test_licence_dice_by_brute_force():
         assert {(t, low, n) for _, t, _, low, n in templates.find(words_of(pa.array([text]), plain=True))} == want
 
 
+def test_licence_scan_of_long_repetitive_texts():
+    """Common words of templates and repeats in every sentence: a beginning without enough of a template costs next to nothing."""
+    rng = random.Random(4)
+    common = TEMPLATES["MIT"].split() + TEMPLATES["GPL-3.0-header"].split()
+    lines = [" ".join(common[i : i + 6] + [f"w{rng.randrange(40)}"] * 2).replace(".", "") + "." for i in range(0, len(common) - 6, 3)]
+    text = " ".join([rng.choice(lines) for _ in range(10_000)] + [TEMPLATES["MIT-notice"]])
+    began = time.process_time()
+    found = license_scan.Templates(TEMPLATES).best(words_of(pa.array([text]), plain=True))
+    assert [x[0] for x in found[0]] == ["MIT-notice"] and time.process_time() - began < 10
+
+
+def test_licence_passages_that_stay_do_not_overlap():
+    """The choice among passages equals one that lists all of them."""
+    rng = random.Random(6)
+    templates = license_scan.Templates(TEMPLATES)
+    for _ in range(30):
+        text = " ".join(rng.choice([TEMPLATES["Apache-2.0-header"], TEMPLATES["MIT-notice"], "Released under the MIT License!", "x y."]) for _ in range(rng.randrange(1, 12)))
+        words, want = words_of(pa.array([text]), plain=True), []
+        for _, t, dice, low, n in sorted(templates.find(words), key=lambda x: (-x[2], -x[4], x[3], templates.names[x[1]])):
+            if all(low + n <= a or a + m <= low for _, _, a, m in want):
+                want.append((templates.names[t], dice, low, n))
+        assert templates.best(words).get(0, []) == sorted(want, key=lambda x: x[2])
+
+
 def test_nothing_else_imports_this_package():
     from pathlib import Path
 
