@@ -8,7 +8,9 @@ Only DataFrame functions and Spark's own writers move rows: no Python runs on th
   whose runs have at least ``fanout`` shards is merged into one run: Spark's reader packs whole files into partitions of
   the target size, each of which one task writes as one shard, so merging needs no shuffle either. Runs whose shards are
   over half the target on average are settled and never rewritten. Merging goes on until no tier is due; every merge
-  lifts its rows by a tier at least, so it ends, and each row is rewritten about log(target / arrival) times.
+  lifts its rows by a tier at least, so it ends, and each row is rewritten about log(target / arrival) times. Where a
+  session's own settings keep the reader from packing, its partitions are joined without a shuffle instead, and a merge
+  that leaves as many shards as there were settles them.
 * Manifest. A version lists its shards with run, rows, bytes and tier. It is written beside the table and then renamed
   to its number; the rename fails if that version exists, so of two writers one loses and nothing is half seen. This
   asks for a file system that renames folders in one step (HDFS, local and most mounted ones; not plain object stores).
@@ -100,13 +102,23 @@ class ShardTable:
     def _rows(self, runs: list[str]) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/data/{r}" for r in runs])
 
-    def _written(self, run: str, least: int = 0) -> DataFrame:
-        """What a write left as ``run``, as manifest rows."""
+    def _packed(self, runs: list[str], size: int) -> DataFrame:
+        """The rows of ``runs``, ``size`` bytes in all, in partitions of about the target size.
+
+        Packed files fill more than half of any two partitions, so more partitions than these come from other settings.
+        """
+        rows, want = self._rows(runs), max(1, -(-size // self.target_bytes))
+        made = rows._jdf.queryExecution().toRdd().getNumPartitions()
+        return rows.coalesce(want) if made > 2 * want + 1 else rows
+
+    def _written(self, run: str, least: int = 0, before: int | None = None) -> DataFrame:
+        """What a write left as ``run``, as manifest rows; ``before`` is how many shards it merged."""
         made = self._rows([run])
         facts = made.select(made.metadataColumn("_metadata").alias("m")).select(F.col("m.file_path").alias("path"), F.col("m.file_size").alias("bytes"))
         shards = facts.groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.max("bytes").alias("bytes"))
-        mean = shards.agg(F.avg("bytes")).first()[0] or 0.0
-        return shards.select(F.lit(run).alias("run"), "path", "rows", "bytes", F.lit(self._tier(mean, least)).alias("tier"))
+        mean, n = shards.agg(F.avg("bytes"), F.count(F.lit(1))).first()
+        tier = SETTLED if before is not None and n >= before else self._tier(mean or 0.0, least)
+        return shards.select(F.lit(run).alias("run"), "path", "rows", "bytes", F.lit(tier).alias("tier"))
 
     def append(self, rows: DataFrame, arrival_rows: int = ARRIVAL_ROWS) -> int:
         """Write an arrival as a run of small shards, and commit it beside the ones there are."""
@@ -116,8 +128,8 @@ class ShardTable:
         return self.commit(self.manifest().unionByName(self._written(run)), have[-1] if have else 0)
 
     def runs(self, version: int | None = None) -> list:
-        """The runs of a version: run, tier, shards; one row for each write that it still reads."""
-        return self.manifest(version).groupBy("run", "tier").agg(F.count(F.lit(1)).alias("shards")).orderBy("run").collect()
+        """The runs of a version: run, tier, shards, bytes; one row for each write that it still reads."""
+        return self.manifest(version).groupBy("run", "tier").agg(F.count(F.lit(1)).alias("shards"), F.sum("bytes").alias("bytes")).orderBy("run").collect()
 
     def compact(self) -> int:
         """Merge due tiers until none is due; each round is one commit. The newest version."""
@@ -132,8 +144,8 @@ class ShardTable:
             for tier in due:
                 run = uuid.uuid4().hex
                 with _settings(self.spark, maxPartitionBytes=str(self.target_bytes), openCostInBytes="0", minPartitionNum="1"):
-                    self._rows([r["run"] for r in tiers[tier]]).write.parquet(f"{self.root}/data/{run}")
-                kept = kept.unionByName(self._written(run, tier + 1))
+                    self._packed([r["run"] for r in tiers[tier]], sum(r["bytes"] for r in tiers[tier])).write.parquet(f"{self.root}/data/{run}")
+                kept = kept.unionByName(self._written(run, tier + 1, sum(r["shards"] for r in tiers[tier])))
             self.commit(kept, have[-1])
 
     def read(self, version: int | None = None) -> DataFrame:

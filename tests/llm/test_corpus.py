@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from contextlib import nullcontext
 
 import duckdb
 import numpy as np
@@ -131,6 +132,22 @@ def test_many_arrivals_settle(spark):
     assert Counter((r.doc_id, r.text) for r in table.read().collect()) == Counter((d, t) for d, t, *_ in documents())
 
 
+def test_shards_under_settings_that_keep_the_reader_from_packing(spark, monkeypatch):
+    """Merging ends and gives shards of the target size where every file stays a partition of its own."""
+    docs = frame(spark, parts=12)
+    monkeypatch.setattr(sharding, "_settings", lambda spark, **conf: nullcontext())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        table = sharding.ShardTable(spark, scratch_path(spark, "t"), docs.schema, target_bytes=4_000_000)
+        table.append(docs)
+        assert table.manifest().count() == 12
+        assert table.compact() == 2 and [r["shards"] for r in table.runs()] == [1]
+        assert Counter((r.doc_id, r.text) for r in table.read().collect()) == Counter((d, t) for d, t, *_ in documents())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_sharding_is_native(spark, capsys):
     QUERIES["op1_sharding"](spark, SMALL).explain()
     assert not any(x in capsys.readouterr().out for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
