@@ -84,8 +84,8 @@ def _statistics(samples: int, seed: int):
 def template_summary(pairs: DataFrame, min_improvement_pct: float = 2.0, alpha: float = 0.05, samples: int = BOOTSTRAP_SAMPLES, seed: int = BOOTSTRAP_SEED) -> DataFrame:
     """Per template, candidate and phase over valid pairs: percentiles in the JVM, exact tests per group.
 
-    A group is one candidate's pairs in one phase, which the parameter files bound (100 by default); one of more than
-    ``promotion.MOST_PAIRS`` pairs that differ is an error.
+    A group is one candidate's pairs in one phase, which the parameter files bound (100 by default); it is held by one
+    task, whatever its size.
     """
     ship_package(pairs.sparkSession)
     keys = ["template_fingerprint", "candidate_id", "benchmark_phase"]

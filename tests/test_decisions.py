@@ -4,10 +4,12 @@ import math
 import random
 from itertools import product
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from gritstone.operators import promotion
 from gritstone.operators.bandit import UCB, Arm, choose, reward, update
 from gritstone.operators.bench import Measurement, Pair, check_phase, improvement_pct, percentile, run_pairs
 from gritstone.operators.equivalence import ParameterSet
@@ -55,6 +57,28 @@ def test_wilcoxon_is_exact(values):
     assert math.isclose(wilcoxon_p([float(v) for v in values]), want)
 
 
+@pytest.mark.parametrize("values,shift", [(2, 0.0), (7, 0.05), (10**7, 0.02), (10**7, -0.3), (3, 1.0)])
+def test_signed_ranks_of_any_number_of_pairs(values, shift):
+    """The transform's integral against the whole distribution, and groups beyond it."""
+    rng = random.Random(values)
+    drawn = [float(rng.randint(1, values) * (1 if rng.random() < 0.5 + shift / 2 else -1)) for _ in range(promotion.MOST_PAIRS + 1)]
+    ranks = promotion.signed_ranks(drawn[:200])
+    observed = sum(round(2 * r) for r, s in ranks if s > 0)
+    assert math.isclose(promotion.rank_sum_tail(np.array([round(2 * r) for r, _ in ranks]), observed), wilcoxon_p(drawn[:200]), abs_tol=1e-12)
+    more = wilcoxon_p(drawn)  # near enough to the normal distribution, with a half unit's correction
+    ranks = promotion.signed_ranks(drawn)
+    over = sum(r * s for r, s in ranks) / 2 - 0.25
+    assert math.isclose(more, math.erfc(over / math.sqrt(sum(r * r for r, _ in ranks) / 2)) / 2, abs_tol=2e-2)
+
+
+def test_bootstrap_draws_do_not_depend_on_blocks(monkeypatch):
+    rng = random.Random(1)
+    base, cand = [[rng.random() for _ in range(301)] for _ in range(2)]
+    whole = bootstrap_interval(base, cand)
+    monkeypatch.setattr(promotion, "BLOCK", 301 * 7)
+    assert bootstrap_interval(base, cand) == whole
+
+
 def test_effect_sizes():
     assert rank_biserial([1, 2, 3]) == 1 and rank_biserial([-1, -2]) == -1 and rank_biserial([0]) == 0
     assert coefficient_of_variation([1]) == 0 and coefficient_of_variation([0, 0]) == 0 and math.isclose(coefficient_of_variation([1, 3]), math.sqrt(2) / 2)
