@@ -17,7 +17,8 @@ sizes a <= b link when 100 * intersection >= 80 * union, so that they differ in
    bound lets through are verified, and the components are found again. A member asks in its smallest large group first,
    then each round in 16 times as many and for eightfold as many members; it goes on, whatever its
    component has become, until it has asked in each of its groups all that the bound allows, or the group is one component. So no link
-   is lost, and no group of copies emits its pairs. A group is dealt to tasks in blocks of ``ASKERS`` asking members
+   is lost, and no group of copies emits its pairs. Each class carries the classes it was compared with, and of two that
+   ask in one group only one asks the other, so a pair does not come up again in a later round. A group is dealt to tasks in blocks of ``ASKERS`` asking members
    against ``ASKED`` members; a task holds the former and streams the latter.
 
 Sets are told apart by 64-bit hashes of their shingles. A class is named by the hash of its set, never by an id, so null
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -248,20 +250,31 @@ ACROSS = "a bigint, b bigint, more boolean"
 
 
 class Block:
-    """Some members of a large group: their classes, components, sizes and sketches."""
+    """Some members of a large group: their classes, components, sizes, sketches and compared classes, and which of them ask."""
 
     def __init__(self, rows: list[pa.RecordBatch]):
         t = pa.Table.from_batches(rows).combine_chunks()
         self.key, self.part, self.n = (np.asarray(t.column(c)).astype(np.int64) for c in ("key", "component", "n"))
         self.bits = folded(t.column("sketch").to_pylist())
+        self.own = np.asarray(t.column("own"))
+        known = t.column("known").combine_chunks()
+        self.owner, self.known = np.asarray(pc.list_parent_indices(known)), np.asarray(pc.list_flatten(known))
+
+    def compared(self, other: Block) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs (member here, member there) of which the former carries the latter."""
+        order = np.argsort(other.key)
+        at = order[np.minimum(np.searchsorted(other.key, self.known, sorter=order), len(order) - 1)]
+        hit = other.key[at] == self.known
+        return self.owner[hit], at[hit]
 
     def width(self, w: int) -> np.ndarray:
         return np.bitwise_xor.reduce(self.bits.reshape(len(self.bits), -1, w), axis=1)
 
 
 def _likely(p: Block, q: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, Hamming distance) of the pairs of different components that sizes and sketches let through.
+    """(i, j, Hamming distance) of the pairs of different components, not compared yet, that sizes and sketches let through.
 
+    Of two that ask, the one that asks the other follows from their hashes; what it leaves, it goes on asking itself.
     A part of a sketch bounds the distance like the whole, so most pairs go after the first quarter of its words.
     """
     w = min(p.bits.shape[1], q.bits.shape[1])
@@ -269,6 +282,10 @@ def _likely(p: Block, q: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     small, large = np.minimum(p.n[:, None], q.n[None, :]), np.maximum(p.n[:, None], q.n[None, :])
     bound = most_apart(small, large)
     ok = (p.part[:, None] != q.part[None, :]) & (small * 5 >= large * 4)
+    a, b = p.key[:, None], q.key[None, :]
+    ok &= ~q.own[None, :] | (((a ^ b) & 1 == 0) == (a < b))
+    ok[p.compared(q)] = False
+    ok[q.compared(p)[::-1]] = False
     near = np.zeros(ok.shape, np.uint16)
     for k in range(first):
         near += np.bitwise_count(one[:, k][:, None] ^ two[:, k][None, :])
@@ -436,14 +453,15 @@ def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             break
         now = F.col("pending") & (F.col("turn") <= turns)
         lines = F.ceil(F.col("asking") / ASKERS).cast("int")
-        shown = classes.select("key", "n", "sketch").join(small(rest.filter("asking > 0").withColumn("asks", now), n_large), "key")
-        every = shown.select("sig", F.explode(F.sequence(F.lit(0), lines - 1)).alias("ask"), F.pmod(F.xxhash64("key"), salts("many")).cast("int").alias("of"), F.lit(False).alias("asks"), "key", "component", "n", "sketch")
-        askers = shown.filter("asks").select("sig", F.pmod(F.xxhash64("key"), lines).cast("int").alias("ask"), F.explode(F.sequence(F.lit(0), salts("many") - 1)).alias("of"), "asks", "key", "component", "n", "sketch")
+        shown = classes.select("key", "n", "sketch").join(small(rest.filter("asking > 0").withColumn("own", now), n_large), "key")
+        known = tested.groupBy(F.col("b").alias("key")).agg(F.collect_list("a").alias("known"))
+        shown = shown.join(known, "key", "left").withColumn("known", F.coalesce("known", F.array().cast("array<bigint>")))
+        every = shown.select("sig", F.explode(F.sequence(F.lit(0), lines - 1)).alias("ask"), F.pmod(F.xxhash64("key"), salts("many")).cast("int").alias("of"), F.lit(False).alias("asks"), "own", "key", "component", "n", "sketch", "known")
+        askers = shown.filter("own").select("sig", F.pmod(F.xxhash64("key"), lines).cast("int").alias("ask"), F.explode(F.sequence(F.lit(0), salts("many") - 1)).alias("of"), F.lit(True).alias("asks"), "own", "key", "component", "n", "sketch", "known")
         dealt = every.unionAll(askers).repartition(parts, "sig", "ask", "of").sortWithinPartitions("sig", "ask", "of", F.desc("asks"))
         asked = materialize(dealt.mapInArrow(across(width), ACROSS), "asked")
         n_asked = asked.count()
-        late = few(asked.filter("NOT more").select("a", "b").distinct(), n_asked)
-        late = materialize(late.join(small(tested), ["a", "b"], "left_anti"), "late")
+        late = materialize(few(asked.filter("NOT more").select("a", "b").distinct(), n_asked), "late")
         again = materialize(few(asked.filter("more").select(F.col("a").alias("sig"), F.col("b").alias("key")).distinct(), n_asked).withColumn("again", F.lit(True)), "asking")
         state = rest.join(small(again, n_asked), ["sig", "key"], "left").withColumn("pending", F.col("pending") & (~(F.col("turn") <= turns) | F.coalesce("again", F.lit(False))))
         state = materialize(few(state, n_large).select("sig", "key", "many", "pending", "turn"), "large-groups")

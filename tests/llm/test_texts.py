@@ -323,6 +323,24 @@ def test_long_texts_without_a_break():
     assert [(k, s) for _, s, k, _ in spans] == [(0, place + 1), (7, place + 18)] and spans[1][3] == len(long)
 
 
+def test_members_of_large_groups_ask_about_a_pair_once():
+    """Over the blocks of a group in which all members ask, each pair comes once, and none that was compared before."""
+    keys, known = [11, 24, 35, 46, 57, 68, -7], {68: [11, 24], -7: [68]}
+    names = ["sig", "ask", "of", "asks", "own", "key", "component", "n", "sketch", "known"]
+
+    def block(ask, members, asks):
+        rows = [(5, ask, 0, asks, True, k, k, 20, bytes(8), known.get(k, [])) for k in members]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    made = []
+    for ask, members in enumerate([keys[:3], keys[3:]]):
+        (out,) = parity_join.across(9)(iter([block(ask, members, True), block(ask, keys, False)]))
+        made += [(a, b) for a, b, more in zip(*(c.to_pylist() for c in out.columns)) if not more]
+    compared = {(min(a, b), max(a, b)) for a, others in known.items() for b in others}
+    assert sorted(made) == sorted({(min(a, b), max(a, b)) for a in keys for b in keys if a != b} - compared)
+
+
 def test_licences(spark):
     spoilt = TEMPLATES["MIT"].replace("sublicense, and/or sell", "sell").upper()
     texts = ["Intro.\n" + TEMPLATES["MIT"] + "\nfoo bar.\nLicensed under CC BY-NC 4.0.\nmore", spoilt, "Released under the MIT License.", "released under a license", "All rights\nreserved.", "a. b. All rights reserved! c", None, ""]
